@@ -4,19 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op6_decontaminate": op6_decontaminate,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": r"""
+        WITH low AS (
+            SELECT doc_id, CAST(NULL AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, true AS is_doc FROM documents
+            UNION ALL
+            SELECT NULL, CAST(item_id AS VARCHAR), regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), false FROM benchmark
+        ), items AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(generate_series(1, greatest(len(w) - 9, 1)),
+                lambda i: array_to_string(w[i:i + 9], ' '))) AS win
+            FROM low WHERE NOT is_doc AND len(w) > 0
+        ), docs AS (SELECT doc_id, coalesce(w, []) AS w FROM low WHERE is_doc),
+        places AS (
+            SELECT doc_id, n, unnest(generate_series(1, len(w) - n + 1)) AS i,
+                unnest(list_transform(generate_series(1, len(w) - n + 1), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win
+            FROM docs, (SELECT DISTINCT n FROM items) WHERE len(w) >= n
+        ), hits AS (SELECT doc_id, i, places.n, item_id FROM places JOIN items ON places.win = items.win AND places.n = items.n),
+        covered AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id
+        ), named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+}
