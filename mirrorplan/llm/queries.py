@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, quality, simhash, topk
+from . import decontaminate, language, quality, simhash, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled outcome of a page is the quality mark of its number in `labels`: 0 is bad."""
+    labels = _table(spark, sf_dir, "labels")
+    outcomes = labels.selectExpr("doc_id AS page_id", "1 - quality AS bad")
+    return urls.judge(_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality.score(docs, quality.train(docs, labels))
@@ -37,6 +47,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op5_topk": op5_topk,
     "op6_decontaminate": op6_decontaminate,
+    "op8_urls": op8_urls,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
@@ -80,4 +91,46 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op8_urls": r"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parts AS (
+            SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut
+        ), rows AS (
+            SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts
+        ), named AS (
+            SELECT *, string_split(host, '.') AS l FROM rows
+        ), units AS (
+            SELECT page_id, host, path, array_to_string(l[greatest(1, len(l) - 1):], '.') AS domain, l[len(l)] AS suffix FROM named
+        ), hosts AS (
+            SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(1 - quality) AS bad
+            FROM units JOIN labels ON page_id = doc_id WHERE quality IN (0, 1) AND host <> '' GROUP BY host
+        ), whole AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1)::DOUBLE AS rate FROM hosts),
+        s0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, (SELECT rate FROM whole) AS prior FROM hosts GROUP BY suffix),
+        sk AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 10.0::DOUBLE ELSE 1 / least(0.99::DOUBLE, greatest(0.001::DOUBLE,
+            (sum(n * (bad / n - prior) * (bad / n - prior) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)))) - 1 END AS k FROM s0),
+        s1 AS (SELECT suffix, bad + k * prior AS a, n - bad + k * (1 - prior) AS b FROM s0, sk),
+        d0 AS (SELECT domain, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, any_value(a / (a + b)) AS prior FROM hosts JOIN s1 USING (suffix) GROUP BY domain),
+        dk AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 10.0::DOUBLE ELSE 1 / least(0.99::DOUBLE, greatest(0.001::DOUBLE,
+            (sum(n * (bad / n - prior) * (bad / n - prior) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)))) - 1 END AS k FROM d0),
+        d1 AS (SELECT domain, bad + k * prior AS a, n - bad + k * (1 - prior) AS b FROM d0, dk),
+        h0 AS (SELECT host, n::DOUBLE AS n, bad::DOUBLE AS bad, a / (a + b) AS prior FROM hosts JOIN d1 USING (domain)),
+        hk AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 10.0::DOUBLE ELSE 1 / least(0.99::DOUBLE, greatest(0.001::DOUBLE,
+            (sum(n * (bad / n - prior) * (bad / n - prior) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)))) - 1 END AS k FROM h0),
+        h1 AS (SELECT host, bad + k * prior AS a, n - bad + k * (1 - prior) AS b FROM h0, hk),
+        judged AS (
+            SELECT u.page_id, u.host, u.path, coalesce(h1.a, d1.a, s1.a, rate) AS a, coalesce(h1.b, d1.b, s1.b, 1 - rate) AS b
+            FROM units u, whole LEFT JOIN h1 ON h1.host = u.host LEFT JOIN d1 ON d1.domain = u.domain LEFT JOIN s1 ON s1.suffix = u.suffix
+        ), bound AS (
+            SELECT *, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS low FROM judged
+        )
+        SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block'
+            WHEN 'org/fr/' THEN 'allow' ELSE CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END END AS verdict
+        FROM (SELECT *, CASE
+            WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+            WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+            WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+            WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM bound)
+    """,
 }
