@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, quality, simhash, topk, urls
+from . import decontaminate, language, packing, quality, simhash, topk, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_topk": op5_topk,
     "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
     "op8_urls": op8_urls,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
@@ -102,6 +107,14 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+        d AS (SELECT page_id, payload_bytes, sha1(html) AS payload_digest FROM p),
+        k AS (SELECT payload_digest, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+        FROM d LEFT JOIN k ON d.payload_digest = k.payload_digest AND payload_bytes >= 1000
+    """,
     "op8_urls": r"""
         WITH cut AS (
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
