@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, quality, simhash, topk, urls, warc
+from . import decontaminate, language, lines, packing, quality, simhash, topk, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
@@ -58,6 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_language": op2_language,
     "op4_packing": op4_packing,
     "op5_topk": op5_topk,
@@ -69,6 +74,35 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_lines": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS no
+            FROM documents WHERE text IS NOT NULL
+        ), firsts AS (
+            SELECT line, min((doc_id, no)) AS place, length(line) AS n FROM lines WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY line
+        ), long AS (SELECT * FROM firsts WHERE n >= 16),
+        near AS (
+            SELECT a.line FROM long a JOIN long b ON a.n = b.n AND left(a.line, a.n // 2) = left(b.line, b.n // 2) AND b.place < a.place
+            WHERE len(list_filter(list_zip(string_split(a.line, ''), string_split(b.line, '')), lambda x: x[1] <> x[2])) <= 1
+            UNION
+            SELECT a.line FROM long a JOIN long b ON a.n = b.n AND right(a.line, a.n - a.n // 2) = right(b.line, b.n - b.n // 2) AND b.place < a.place
+            WHERE len(list_filter(list_zip(string_split(a.line, ''), string_split(b.line, '')), lambda x: x[1] <> x[2])) <= 1
+            UNION
+            SELECT CASE WHEN s.place < l.place THEN l.line ELSE s.line END FROM long s JOIN long l
+                ON l.n = s.n + 1 AND left(l.line, s.n // 2) = left(s.line, s.n // 2)
+            WHERE len(list_filter(generate_series(0, s.n), lambda p: left(l.line, p) = left(s.line, p) AND substr(l.line, p + 2) = substr(s.line, p + 1))) > 0
+            UNION
+            SELECT CASE WHEN s.place < l.place THEN l.line ELSE s.line END FROM long s JOIN long l
+                ON l.n = s.n + 1 AND right(l.line, s.n - s.n // 2) = right(s.line, s.n - s.n // 2)
+            WHERE len(list_filter(generate_series(0, s.n), lambda p: left(l.line, p) = left(s.line, p) AND substr(l.line, p + 2) = substr(s.line, p + 1))) > 0
+        ), kept AS (
+            SELECT doc_id, no, l.line FROM lines l LEFT JOIN firsts f USING (line)
+            WHERE f.line IS NULL OR (f.place = (doc_id, no) AND NOT EXISTS (SELECT 1 FROM near WHERE near.line = l.line))
+        ), joined AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY no) AS text FROM kept GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
+            CAST(coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(j.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(j.text, '')) AS kept_sha256
+        FROM documents d LEFT JOIN joined j USING (doc_id)
+    """,
     "op5_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
