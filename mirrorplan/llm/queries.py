@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, lines, packing, quality, simhash, topk, urls, warc
+from . import decontaminate, language, lines, packing, quality, simhash, substrings, topk, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.train(docs))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_report(_table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -64,6 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_language": op2_language,
+    "op3_substrings": op3_substrings,
     "op4_packing": op4_packing,
     "op5_topk": op5_topk,
     "op6_decontaminate": op6_decontaminate,
