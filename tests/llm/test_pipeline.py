@@ -18,7 +18,7 @@ def test_each_stage_against_a_plain_one(spark, tmp_path):
         if k < 4:
             assert docs.columns == columns
     (raw, good), (_, lined), (_, single), (_, clean), (_, packed) = kept
-    assert 0.7 * len(raw) < len(good) < len(raw)
+    assert 0.7 * len(raw) < len(good) <= len(raw)
     want = brute_lines([(r.doc_id, r.text) for r in good], 16)
     assert {r.doc_id: r.text for r in lined} == {i: t for i, t in want.items() if t.strip()}
     assert all(r.n_chars == len(r.text) for r in lined)
@@ -33,5 +33,14 @@ def test_each_stage_against_a_plain_one(spark, tmp_path):
     assert check([(r.doc_id, r.text) for r in clean], packed) < 2 * 2048 + 0.02 * sum(r.length for r in packed) and vocabulary()
 
 
+def test_quality_stage_rejects_bad_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in cp.quality_stage(spark, docs, sf).collect()}
+    marks = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    assert sum(r.doc_id in kept for r in marks if r.quality == 1) > 0.97 * sum(r.quality == 1 for r in marks)
+    assert sum(r.doc_id in kept for r in marks if r.quality == 0) < 0.4 * sum(r.quality == 0 for r in marks)
+
+
 def test_run(spark):
     assert cp.run(spark, SF).count() > 0
