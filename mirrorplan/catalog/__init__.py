@@ -1,8 +1,8 @@
 """Registered queries of the library's own operators, and the SQL that checks them."""
 
-from . import scalars
+from . import library, lineage, scalars
 
 QUERIES, ORACLES = {}, {}
-for _module in (scalars,):
+for _module in (scalars, library, lineage):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

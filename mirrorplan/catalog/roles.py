@@ -62,6 +62,20 @@ ROLES = {
             CASE o_orderkey % 5 WHEN 0 THEN ' Remix  Cover ' WHEN 1 THEN ' ' WHEN 2 THEN 'SAMPLE' ELSE '' END AS clip_attribution_type,
             CASE WHEN o_orderkey % 4 = 0 THEN {clip_id('o_orderkey + 11')} ELSE '' END AS attributed_id, CASE WHEN o_orderkey % 8 = 0 THEN ' ' || lower(c_name) ELSE 'other' END AS attributed_handle
         FROM {{named_orders}}""",
+    "areas": """
+        SELECT account_id, k, a AS area_ord, CASE a WHEN 0 THEN 'library' WHEN 1 THEN 'liked' ELSE 'playlist' END AS kind, 'area-' || CAST(a AS STRING) AS area_id,
+            CASE WHEN (k + a) % 2 = 0 THEN 'mirror' ELSE 'copy' END AS mode, (k * 3 + a) % 7 <> 0 OR k % 4 = 1 AS complete, (k + a) % 11 = 0 AND k % 4 <> 1 AS any_filtered, (k + 2 * a) % 13 = 0 AND k % 4 <> 1 AS narrowed
+        FROM {accounts} CROSS JOIN (SELECT DISTINCT l_linenumber % 5 AS a FROM {lineitem}) n WHERE k <> 24""",
+    "area_clips": """
+        SELECT account_id, CAST(left(tags, 1) AS INTEGER) - 1 AS area_ord, ord AS pos, clip_id, title FROM {clips} WHERE CAST(left(tags, 1) AS INTEGER) < 5 OR ord % 2 = 1 AND CAST(account_id AS INTEGER) % 2 = 0
+        UNION ALL SELECT account_id, 0, ord + 1, clip_id, title || '*' FROM {clips} WHERE ord % 3 = 0
+        UNION ALL SELECT account_id, 1, ord + 2, clip_id, title || '+' FROM {clips} WHERE ord % 4 = 0""",
+    "playlists": """
+        SELECT account_id, p_brand || '-' || account_id AS playlist_id, CASE WHEN p % 5 = 0 THEN 'Mix' WHEN p % 7 = 0 THEN 'MIX' WHEN p % 3 = 0 THEN lower(p_brand) ELSE p_brand END AS name, p
+        FROM {accounts} CROSS JOIN (SELECT p_brand, min(p_partkey) AS p FROM {part} GROUP BY p_brand) b""",
+    "members": """
+        SELECT account_id, 'Brand#' || CAST(1 + l_partkey % 25 AS STRING) || '-' || account_id AS playlist_id, l_linenumber * 1000000 + l_orderkey AS pos, clip_id, title, duration
+        FROM {clips} JOIN {lineitem} ON l_orderkey = ord WHERE l_linenumber <= 3""",
 }
 
 
