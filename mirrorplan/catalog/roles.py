@@ -31,7 +31,7 @@ ROLES = {
     "named_orders": """
         SELECT o.*, c_name, c_nationkey, p_name, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev_key,
             row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth, count(*) OVER (PARTITION BY o_custkey) AS of_customer,
-            max(o_orderkey) OVER (PARTITION BY o_custkey) AS last_key
+            last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_key
         FROM {orders} o JOIN {customer} ON o_custkey = c_custkey JOIN {part} ON p_partkey = o_orderkey % (SELECT count(*) FROM {part})""",
     "clips": f"""
         SELECT CAST(c_nationkey AS STRING) AS account_id, {clip_id('o_orderkey')} AS clip_id, o_orderkey AS ord,
