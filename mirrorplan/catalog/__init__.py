@@ -1,8 +1,8 @@
 """Registered queries of the library's own operators, and the SQL that checks them."""
 
-from . import library, lineage, scalars
+from . import library, lineage, plan, scalars
 
 QUERIES, ORACLES = {}, {}
-for _module in (scalars, library, lineage):
+for _module in (scalars, library, lineage, plan):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

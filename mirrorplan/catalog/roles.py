@@ -107,3 +107,39 @@ def with_roles(sql: str) -> str:
         return body
     head = ", ".join(f"{n} AS ({bare(ROLES[n])})" for n in order)
     return f"WITH {head}{', ' + body[5:] if body[:5].upper() == 'WITH ' else ' ' + body}"
+
+
+ROLES |= {
+    "desired": """
+        SELECT account_id, clip_id, ord, 'a' || CAST(ord % 50 AS STRING) || '/' || clip_id || CASE WHEN ord % 2 = 0 THEN '.mp3' ELSE '.flac' END AS path, CASE WHEN ord % 2 = 0 THEN 'mp3' ELSE 'flac' END AS format,
+            md5(title) AS meta_hash, CASE WHEN image_url = '' THEN '' ELSE md5(image_url) END AS art_hash, '' AS embedded_lyrics_hash, '' AS embedded_timed_lyrics_hash, ord % 8 <> 1 AS lyrics_reencode_safe,
+            ord % 3 <> 0 AS mirrored, ord % 4 = 0 AS copied, ord % 6 = 0 AS trashed, ord % 37 = 0 AS private, ord % 5 <> 0 AS stems_authoritative
+        FROM {clips} WHERE ord % 9 <> 0
+        UNION ALL SELECT account_id, clip_id, ord + 1000000000, 'Z/' || clip_id || '.mp3', 'mp3', md5(title), '', '', '', TRUE, ord % 2 = 0, ord % 10 = 0, ord % 5 <> 0, ord % 71 = 0, TRUE FROM {clips} WHERE ord % 14 = 1 AND ord % 9 <> 0""",
+    "merged": """
+        SELECT * FROM (SELECT account_id, clip_id, ord, path, format, meta_hash, art_hash, embedded_lyrics_hash, embedded_timed_lyrics_hash, lyrics_reencode_safe, stems_authoritative,
+            max(CASE WHEN mirrored THEN 1 ELSE 0 END) OVER w = 1 AS mirrored, max(CASE WHEN copied THEN 1 ELSE 0 END) OVER w = 1 AS copied, min(CASE WHEN trashed THEN 1 ELSE 0 END) OVER w = 1 AS trashed, max(CASE WHEN private THEN 1 ELSE 0 END) OVER w = 1 AS private,
+            row_number() OVER (PARTITION BY account_id, clip_id ORDER BY path, meta_hash, art_hash, CASE format WHEN 'mp3' THEN 0 ELSE 1 END, ord) AS nth
+        FROM {desired} WINDOW w AS (PARTITION BY account_id, clip_id)) x WHERE nth = 1""",
+    "manifest": """
+        SELECT account_id, clip_id, ord, CASE WHEN ord % 97 = 0 THEN '' WHEN ord % 5 = 0 THEN 'old/' || clip_id || CASE WHEN ord % 2 = 0 THEN '.mp3' ELSE '.flac' END WHEN ord % 33 = 2 THEN 'a' || CAST((ord + 1) % 50 AS STRING) || '/' || clip_id || '.flac'
+                WHEN ord % 5 = 1 THEN 'A' || CAST(ord % 50 AS STRING) || '/' || upper(clip_id) || CASE WHEN ord % 2 = 0 THEN '.mp3' ELSE '.flac' END ELSE 'a' || CAST(ord % 50 AS STRING) || '/' || clip_id || CASE WHEN ord % 2 = 0 THEN '.mp3' ELSE '.flac' END END AS path,
+            CASE WHEN ord % 11 = 0 THEN 'wav' WHEN ord % 2 = 0 THEN 'mp3' ELSE 'flac' END AS format, CASE WHEN ord % 12 = 0 THEN 'stale' ELSE md5(title) END AS meta_hash, CASE WHEN image_url = '' THEN '' ELSE md5(image_url) END AS art_source_hash,
+            CAST(NULL AS STRING) AS art_content_hash, '' AS embedded_lyrics_hash, '' AS embedded_timed_lyrics_hash, CAST(100 AS BIGINT) AS size, ord % 13 = 0 AS preserve
+        FROM {clips} WHERE ord % 7 <> 0""",
+    "desired_slots": """
+        SELECT account_id, clip_id, ord, n, kind, key, 'a' || CAST(ord % 50 AS STRING) || '/' || clip_id || suffix AS path, CASE WHEN kind IN ('cover_jpg', 'video_mp4', 'stem') THEN 'u' || CAST(ord AS STRING) ELSE '' END AS source_url,
+            CASE WHEN kind = 'details_txt' THEN 'd' || CAST(ord AS STRING) ELSE 'h' || CAST(ord % 1000 AS STRING) END AS hash, CASE WHEN kind = 'details_txt' THEN 'text ' || CAST(ord AS STRING) END AS content, '' AS stem_id, 'mp3' AS format
+        FROM {clips} CROSS JOIN (SELECT 0 AS n, 'cover_jpg' AS kind, '' AS key, '.jpg' AS suffix UNION ALL SELECT 1, 'details_txt', '', '.details.txt' UNION ALL SELECT 2, 'lyrics_txt', '', '.lyrics.txt' UNION ALL SELECT 3, 'stem', 's1', '.stems/one.mp3' UNION ALL SELECT 4, 'stem', 's2', '.stems/two.mp3') k
+        WHERE ord % 9 <> 0 AND (ord + n) % 4 <> 0""",
+    "manifest_slots": """
+        SELECT account_id, clip_id, ord, n, kind, key, CASE WHEN (ord + n) % 97 = 0 THEN '' WHEN (ord + n) % 7 = 0 THEN 'old/' || clip_id || suffix ELSE 'a' || CAST(ord % 50 AS STRING) || '/' || clip_id || suffix END AS path,
+            CASE WHEN (ord + n) % 11 = 0 THEN 'stale' WHEN kind = 'details_txt' THEN 'd' || CAST(ord AS STRING) ELSE 'h' || CAST(ord % 1000 AS STRING) END AS source_hash, CASE WHEN (ord + n) % 3 = 0 THEN 'seen' END AS content_hash
+        FROM {clips} CROSS JOIN (SELECT 0 AS n, 'cover_jpg' AS kind, '' AS key, '.jpg' AS suffix UNION ALL SELECT 1, 'details_txt', '', '.details.txt' UNION ALL SELECT 2, 'lyrics_txt', '', '.lyrics.txt' UNION ALL SELECT 3, 'stem', 's1', '.stems/one.mp3' UNION ALL SELECT 4, 'stem', 's3', '.stems/three.mp3' UNION ALL SELECT 5, 'cover_webp', '', '.webp') k
+        WHERE ord % 7 <> 0 AND (ord + n) % 5 <> 0""",
+    "inventory": """
+        SELECT account_id, path, ord % 17 <> 0 AS exists, CASE WHEN ord % 19 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(100 AS BIGINT) END AS size, CAST(NULL AS STRING) AS content_hash, ord % 23 = 0 AS unreadable FROM {manifest} WHERE path <> '' AND ord % 29 <> 0
+        UNION ALL SELECT account_id, path, (ord + n) % 17 <> 0, CASE WHEN (ord + n) % 19 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(7 AS BIGINT) END, CASE WHEN (ord + n) % 2 = 0 THEN CASE WHEN (ord + n) % 4 = 0 THEN 'seen' ELSE 'other' END END, (ord + n) % 31 = 0 FROM {manifest_slots} WHERE path <> '' AND kind <> 'stem' AND (ord + n) % 13 <> 0
+        UNION ALL SELECT account_id, path, (ord + n) % 17 <> 0, CAST(9 AS BIGINT), CAST(NULL AS STRING), FALSE FROM {manifest_slots} WHERE path <> '' AND kind = 'stem'""",
+    "gate": "SELECT account_id, k % 3 <> 0 AS can_delete FROM {accounts}",
+}
