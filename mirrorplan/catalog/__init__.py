@@ -1,8 +1,8 @@
 """Registered queries of the library's own operators, and the SQL that checks them."""
 
-from . import library, lineage, outputs, plan, scalars
+from . import library, lineage, lyrics, outputs, plan, scalars
 
 QUERIES, ORACLES = {}, {}
-for _module in (scalars, library, lineage, plan, outputs):
+for _module in (scalars, library, lineage, plan, outputs, lyrics):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
