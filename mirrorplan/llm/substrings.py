@@ -148,11 +148,13 @@ def _repeats(docs: DataFrame) -> DataFrame:
     """(did, reaches, windows): hashes of what is to go from each document, besides its own repeats."""
     texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_FIRST)).alias("did"), "text")
     seeds = _seeds(texts)
-    again = seeds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = seeds.join(again, "anchor", "left_semi")
-    reaches = shared.groupBy("anchor", "reach").agg(F.min("did").alias("leader"))
+    # each step is written, so that both sides of every join come straight from a shuffle on that join's
+    # own keys, and Spark can split a very common anchor
+    again = materialise(seeds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    shared = materialise(seeds.join(again, "anchor", "left_semi"), "shared")
+    reaches = materialise(shared.groupBy("anchor", "reach").agg(F.min("did").alias("leader")), "reaches")
     several = reaches.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("several"))
-    kinds = reaches.join(several, "anchor", "left")
+    kinds = materialise(reaches.join(materialise(several, "several"), "anchor", "left"), "kinds")
     judged = shared.join(kinds, ["anchor", "reach"]).where("did > leader or several")
     per_doc = judged.groupBy("did").agg(
         F.collect_set(F.when(F.col("did") > F.col("leader"), F.col("reach"))).alias("reaches"),
