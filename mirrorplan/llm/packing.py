@@ -16,13 +16,17 @@ from __future__ import annotations
 import base64
 import functools
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ._state import materialise
 from ._text import column
@@ -42,18 +46,13 @@ def encoder(vocabulary: str):
 
     Texts that hold a special token's string go through the tokenizer itself, which knows those.
     """
-    from tokenizers import Tokenizer
-
     whole = Tokenizer.from_file(vocabulary)
     plain = lambda text: whole.encode(text, add_special_tokens=False).ids
-    try:
-        import public_tokenizers
-        import tiktoken
-
-        with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    except (OSError, ImportError):
+    table = vocabulary.removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(table):
         return plain
+    with open(table, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
     return lambda text: plain(text) if any(s in text for s in special) else fast(text)
