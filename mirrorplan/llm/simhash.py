@@ -128,7 +128,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = MAX_DISTANCE
     Of rows that share that doc_id the least by text stays. Rows with a null doc_id stay.
     """
     groups = near_duplicates(docs.select("doc_id", "text"), shingle, max_distance)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    first = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_simhash_gone")).distinct()
+    first = docs.join(gone, F.col("doc_id") == F.col("_simhash_gone"), "left_anti")
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return first.withColumn("_row", at).where("_row = 1 or doc_id is null").drop("_row")
+    return first.withColumn("_simhash_row", at).where("_simhash_row = 1 or doc_id is null").drop("_simhash_row")

@@ -116,5 +116,5 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], max_bad: flo
 
 def filter_pages(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], max_bad: float = 0.5) -> DataFrame:
     """pages whose verdict is 'allow'; all columns stay. Rows that repeat a page_id stand or fall by it."""
-    gone = judge(pages, outcomes, rules, max_bad).where("verdict = 'block'").select(F.col("page_id").alias("_gone")).distinct()
-    return pages.join(gone, F.col("page_id") == F.col("_gone"), "left_anti")
+    gone = judge(pages, outcomes, rules, max_bad).where("verdict = 'block'").select(F.col("page_id").alias("_url_gone")).distinct()
+    return pages.join(gone, F.col("page_id") == F.col("_url_gone"), "left_anti")
