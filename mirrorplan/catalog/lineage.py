@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clips as fn
 from ..functions import naming
 from ..operators import lineage
+from ..tables import written
 from .roles import role, with_roles
 from .scalars import EDGE_SQL, PARENTS_SQL, clips, norm
 
@@ -216,6 +217,7 @@ def g09(spark, sf_dir):
 
 @query("e03_render_names")
 def e03(spark, sf_dir):
-    rows, found = contexts(spark, sf_dir).withColumns({"track": F.lit(0), "track_total": F.lit(0)}), roots(spark, sf_dir)
-    archive = role(spark, sf_dir, "clips")
-    return naming.render_names(rows, lineage.colliding_root_titles(found, nodes(archive), overrides(found)), naming.colliding_clip_ids(archive))
+    rows, found = written(clips(spark, sf_dir), "role"), written(roots(spark, sf_dir), "found")
+    past = nodes(rows)
+    context = lineage.lineage_context(rows, found, past, overrides(found)).withColumns({"track": F.lit(0), "track_total": F.lit(0)})
+    return naming.render_names(context, lineage.colliding_root_titles(found, past, overrides(found)), naming.colliding_clip_ids(rows))
