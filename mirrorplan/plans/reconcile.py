@@ -296,9 +296,8 @@ def reconcile(
 ) -> DataFrame:
     """The whole plan. albums and playlists: their desired and stored tables; authority: run_authority rows."""
     gate = deletion_allowed(accounts, statuses)
-    merged = aggregate_desired(desired)
-    slots = desired_slots.join(merged.select(*CLIP, "ord"), [*CLIP, "ord"], "left_semi").drop("ord")
-    inputs = plan_inputs(merged, manifest, inventory, gate)
+    inputs = written(plan_inputs(aggregate_desired(desired), manifest, inventory, gate), "inputs")  # four readers below
+    slots = desired_slots.join(inputs.where("d").select(*CLIP, F.col("d_ord").alias("ord")), [*CLIP, "ord"], "left_semi").drop("ord")
     audio = written(plan_audio(inputs).unionByName(absent_actions(inputs)), "audio")
     blocked = audio.where("action in ('delete', 'unverifiable')").select(*CLIP)
     kept = inputs.where("d").join(blocked, CLIP, "left_anti").select(*CLIP, "can_delete", "m", "m_preserve", "d_path", "d_format", "d_trashed", "protected_now", "d_stems_authoritative")
