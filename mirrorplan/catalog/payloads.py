@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import ingest
+from ..sources import ingest, state
 from .roles import role, with_roles
 from .scalars import clips as clip_rows
 
@@ -140,3 +140,54 @@ def a11(spark, sf_dir):
     body = F.to_json(F.struct(F.col("credits_left").alias("total_credits_left"), limit.alias("monthly_limit"), "is_past_due", "is_paused", "is_active", F.when(k % 4 % 2 == 1, feature("a", "b")).alias("accessible_features"), plan.alias("plan")))
     rows = ingest.decode_accounts(role(spark, sf_dir, "accounts").select("account_id", body.alias("payload")))
     return rows.select("account_id", "credits_left", "monthly_limit", "is_past_due", "is_paused", "is_active", F.array_join("features", ",").alias("features"), "features_known")
+
+
+@query(
+    "a09_decode_stems",
+    """WITH s AS (SELECT account_id, CAST(ord % 12 AS INTEGER) AS list, CAST(ord % 24 // 12 AS INTEGER) AS page, ord FROM {clips}),
+        kept AS (SELECT account_id, list, CAST(ord % 36 AS INTEGER) AS k, min(page) AS page FROM s WHERE ord % 5 <> 0 GROUP BY account_id, list, CAST(ord % 36 AS INTEGER)),
+        found AS (SELECT account_id, list, count(DISTINCT page) AS have FROM s GROUP BY account_id, list),
+        status AS (SELECT account_id, list, have >= CASE WHEN list % 4 = 0 THEN 3 ELSE 2 END AND list % 4 <> 1 AS whole FROM found)
+        SELECT account_id, 'l' || list AS clip_id, 's' || k AS stem_id, 'https://stems.example/' || k || '.mp3' AS url, page, coalesce(whole AND k IS NOT NULL, FALSE) AS complete,
+        count(k) OVER (PARTITION BY account_id, list) AS n_stems FROM status LEFT JOIN kept USING (account_id, list)""",
+)
+def a09(spark, sf_dir):
+    o = F.col("ord")
+    k = (o % 36).cast("int").cast("string")
+    one = F.to_json(F.struct(F.when(o % 5 != 0, F.concat(F.lit("s"), k)).alias("id"), F.concat(F.lit("https://stems.example/"), k, F.lit(".mp3")).alias("audio_url")))
+    pages = role(spark, sf_dir, "clips").groupBy("account_id", (o % 12).cast("int").alias("list"), (o % 24 / 12).cast("int").alias("page")).agg(F.array_join(F.collect_list(one), ",").alias("b"))
+    form = F.col("list") % 4
+    body = F.concat(F.lit('{"pages":'), F.when(form == 0, "3").when(form == 1, "101").otherwise("2"), F.lit(',"stems":['), "b", F.lit("]}"))
+    stems, status = ingest.decode_stems(pages.select("account_id", F.concat(F.lit("l"), F.col("list").cast("string")).alias("clip_id"), "page", body.alias("payload")))
+    rows = status.join(stems.select("account_id", "clip_id", "stem_id", "url", "page"), ["account_id", "clip_id"], "left")
+    return rows.select("account_id", "clip_id", "stem_id", "url", "page", "complete", F.col("n_stems").cast("bigint").alias("n_stems"))
+
+
+@query(
+    "a10_decode_aligned_lyrics",
+    """SELECT account_id, ord, n AS line_no, CASE WHEN n = 0 THEN coalesce(title, '') ELSE '' END AS text, CAST(CASE WHEN n = 0 AND ord % 3 <> 0 THEN ord / 2.0 ELSE 0 END AS DOUBLE) AS start_s,
+        CASE WHEN n = 0 THEN 'verse' ELSE '' END AS section, CASE WHEN n = 0 THEN clip_id ELSE '' END AS words, CASE WHEN ord % 4 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS n_flat
+        FROM {clips}, (SELECT unnest([0, 1]) AS n) WHERE ord % 11 <> 0""",
+)
+def a10(spark, sf_dir):
+    o = F.col("ord")
+    word = F.struct(F.col("clip_id").alias("text"), F.lit(1.5).alias("start_s"))
+    first = F.to_json(F.struct(F.col("title").alias("text"), F.when(o % 3 != 0, o / F.lit(2.0)).alias("start_s"), F.lit("verse").alias("section"), F.array(word).alias("words")))
+    flat = F.when(o % 4 == 0, "7").otherwise(F.concat(F.lit('[{"success":true,"word":'), F.to_json(F.struct("clip_id")), F.lit("}]")))
+    body = F.concat(F.lit('{"aligned_lyrics":['), first, F.lit(',{"text":7,"words":false}],"aligned_words":'), flat, F.lit("}"))
+    raw = role(spark, sf_dir, "clips").select("account_id", "ord", F.when(o % 11 == 0, F.concat(F.lit("{"), body)).otherwise(body).alias("payload"))
+    lines, words = ingest.decode_aligned_lyrics(raw)
+    flat_words = words.groupBy("account_id", "ord").agg(F.count("*").alias("n_flat"))
+    text = F.coalesce(F.array_join(F.transform("words", lambda w: w["text"]), " "), F.lit(""))
+    return lines.join(flat_words, ["account_id", "ord"], "left").select("account_id", "ord", "line_no", "text", "start_s", "section", text.alias("words"), F.coalesce("n_flat", F.lit(0)).alias("n_flat"))
+
+
+@query(
+    "b25_unpack_verified",
+    """SELECT account_id, clip_id, CASE ord % 4 WHEN 2 THEN 'verified:' || md5(clip_id) WHEN 3 THEN 'plain' ELSE md5(clip_id) END AS source_hash, CASE ord % 4 WHEN 0 THEN md5(title) WHEN 1 THEN 'a:b' END AS content_hash FROM {clips}""",
+)
+def b25(spark, sf_dir):
+    form, source = F.col("ord") % 4, F.md5("clip_id")
+    packed = F.when(form == 0, F.concat(F.lit("verified:"), source, F.lit(":"), F.md5("title"))).when(form == 1, F.concat(F.lit("verified-art:"), source, F.lit(":a:b"))).when(form == 2, F.concat(F.lit("verified:"), source)).otherwise("plain")
+    rows = role(spark, sf_dir, "clips").withColumn("packed", packed)
+    return rows.select("account_id", "clip_id", *(x.alias(n) for n, x in state.unpack_verified("packed").items()))
