@@ -1,0 +1,187 @@
+"""Near copies by Jaccard similarity of word shingles, exact: every pair of 0.8 or more is linked.
+
+Tokens are 64-bit hashes of five-word shingles, put in one order for all documents. Sets of n tokens that reach
+the similarity share one of their first n - ceil(0.8 n) + 1 tokens, so those are joined. The order is free: tokens
+that are common in a sample come last, which keeps groups small and loses nothing. Pairs are thinned by bounds that
+never drop a true pair (sizes; parity bitmaps, whose bits differ in at most as many places as the sets) and then
+counted token by token. Pairs within one component are not compared, so a large group costs little once linked.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import simhash
+from ._state import materialise
+from ._text import LOWER, byte_table, chunks, column, gram_hashes, hash_words, mix, split_words, text_buffers
+from .components import connected_components
+
+SHINGLE = 5
+#: The least similarity, as a fraction.
+NUM, DEN = 4, 5
+_WORDS = 8  # 64-bit words of a parity bitmap
+_SAMPLE, _COMMON = 20_000, 50_000
+_BLOCK = 2000
+_SPACE = byte_table("space")
+
+
+def token_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct tokens of every row, ascending; a text of fewer words is one shingle, one of none has no token."""
+    for i, j in chunks(offsets):
+        lo, hi = offsets[i], offsets[j]
+        part = LOWER[data[lo:hi]]
+        starts, ends, rows = split_words(part, offsets[i : j + 1] - lo, _SPACE)
+        words = hash_words(part, starts, ends)
+        grams = gram_hashes(words, SHINGLE)
+        cuts = np.searchsorted(rows, np.arange(j - i + 1))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a >= SHINGLE:
+                yield np.unique(grams[a : b - SHINGLE + 1])
+            else:
+                yield gram_hashes(words[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64)
+
+
+def _key(tokens: np.ndarray) -> int:
+    """64 bits that stand for the set."""
+    return int(mix(np.array([mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64))[0])
+
+
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    size = 64 * _WORDS
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, key, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(token_sets(*text_buffers(column(batch, "text"))))
+            keys = np.fromiter((_key(s) for s in sets), np.uint64, len(sets))
+            tokens = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(keys.view(np.int64)), tokens], ["doc_id", "key", "tokens"])
+
+    return docs.mapInArrow(run, "doc_id bigint, key bigint, tokens array<bigint>")
+
+
+def _prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(doc_id, text) -> (doc_id, key, n, parity words p0.., prefix); common tokens, ascending, go last by their count."""
+    names = [f"p{k}" for k in range(_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, bits, firsts = [], [], [], []
+            for s in token_sets(*text_buffers(column(batch, "text"))):
+                n, rank = len(s), np.zeros(len(s), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    rank = np.where(common[at] == s, counts[at], 0)
+                keys.append(_key(s))
+                sizes.append(n)
+                bits.append(_parity(s))
+                firsts.append(s[np.argsort(rank, kind="stable")[: n + (-n * NUM) // DEN + 1 if n else 0]].view(np.int64))
+            table = np.array(bits, np.int64).reshape(-1, _WORDS)
+            columns = [column(batch, "doc_id"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32())]
+            columns += [pa.array(np.ascontiguousarray(table[:, k])) for k in range(_WORDS)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "key", "n", *names, "prefix"])
+
+    return docs.mapInArrow(run, f"doc_id bigint, key bigint, n int, {', '.join(f'{p} bigint' for p in names)}, prefix array<bigint>")
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest tokens of about 20000 documents and their counts; they only decide the order of tokens."""
+    step = max(1, docs.count() // _SAMPLE)
+    tokens = _sets(docs.where(F.expr(f"pmod(xxhash64(doc_id), {step}) = 0"))).select(F.explode("tokens").alias("t"))
+    top = tokens.groupBy("t").count().where("count > 2").orderBy(F.desc("count"), "t").limit(_COMMON).toArrow()
+    t = top["t"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(t)
+    return t[order], top["count"].to_numpy().astype(np.int64)[order]
+
+
+def _bounds(a: str, b: str) -> str:
+    """What every pair of the similarity meets."""
+    apart = " + ".join(f"bit_count({a}.p{k} ^ {b}.p{k})" for k in range(_WORDS))
+    return (
+        f"{DEN} * least({a}.n, {b}.n) >= {NUM} * greatest({a}.n, {b}.n)"
+        f" and {NUM + DEN} * ({apart}) <= {DEN - NUM} * ({a}.n + {b}.n)"
+    )
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose sets reach the similarity, counted token by token."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ids = ends.join(nodes, "key").select(F.col("node").alias("doc_id"), F.col("key").alias("want"))
+    texts = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    # a repeated doc_id may bring other texts along: its sets are kept by key
+    sets = materialise(_sets(texts).join(ids.select(F.col("want").alias("key")), "key", "left_semi").select("key", "tokens"), "tokens")
+    sets = sets.groupBy("key").agg(F.first("tokens").alias("tokens"))
+    both = pairs.join(sets.withColumnsRenamed({"key": "a", "tokens": "s"}), "a").join(sets.withColumnsRenamed({"key": "b", "tokens": "t"}), "b")
+    return both.where(f"{NUM + DEN} * size(array_intersect(s, t)) >= {NUM} * (size(s) + size(t))").select("a", "b")
+
+
+def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, component_id): the smallest doc_id reachable over pairs of similarity 0.8 or more.
+
+    One row per input row with a doc_id. Words are runs without ASCII white space, A-Z in lower case. Null and
+    blank texts are copies of each other. Rows that repeat a doc_id belong together.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    marks = materialise(_prefixes(docs, *_common(docs)), "prefixes")
+    nodes = materialise(marks.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(f"p{k}").alias(f"p{k}") for k in range(_WORDS)]), "sets")
+    firsts = marks.select("key", F.explode("prefix").alias("token")).distinct()
+    groups = firsts.groupBy("token").agg(F.count("*").alias("size"), F.min("key").alias("lead")).where("size > 1")
+    live = materialise(firsts.join(groups, "token"), "shared")
+
+    ids = marks.select("doc_id", "key").distinct()
+    same = ids.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
+    links = ids.join(same, "doc_id").where("a <> key").select("a", F.col("key").alias("b"))
+
+    # first every member of a group with the group's leader
+    stars = live.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
+    stars = stars.join(nodes.alias("x"), F.col("x.key") == F.col("a")).join(nodes.alias("y"), F.col("y.key") == F.col("b")).where(_bounds("x", "y"))
+    stars = materialise(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    links = materialise(links.union(_verified(stars, docs, nodes)), "links")
+    comps = materialise(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+
+    # then every pair of a group that is in two components
+    rows = _with_component(live.select("token", "key", "size"), comps)
+    mixed = rows.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("token")
+    rows = rows.join(mixed, "token").join(nodes.drop("node"), "key")
+    blocks = f"cast(ceil(size / {_BLOCK}) as int)"
+    x = rows.withColumn("block", F.explode(F.expr(f"sequence(0, {blocks} - 1)"))).alias("x")
+    y = rows.withColumn("block", F.expr(f"cast(pmod(xxhash64(key), {blocks}) as int)")).alias("y")
+    close = x.join(y, F.expr(f"x.token = y.token and x.block = y.block and x.key < y.key and x.component <> y.component and {_bounds('x', 'y')}"))
+    apart = " + ".join(f"bit_count(x.p{k} ^ y.p{k})" for k in range(_WORDS))
+    pairs = close.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.expr(f"({apart}) / (x.n + y.n)").alias("far")).distinct()
+    pairs = pairs.join(stars, ["a", "b"], "left_anti")
+    at = F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))
+    pairs = materialise(pairs.withColumn("batch", F.floor(F.log(8.0, at)).cast("int")), "pairs")
+    last = pairs.agg(F.max("batch")).first()[0]
+    for k in range(0 if last is None else last + 1):  # nearest first, eight times as many in each batch
+        of = lambda end: comps.withColumnsRenamed({"node": end, "component": f"c{end}"})  # noqa: B023, E731
+        todo = pairs.where(f"batch = {k}").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        todo = todo.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        links = materialise(links.union(_verified(todo, docs, nodes)), "links")
+        comps = materialise(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+
+    of_key = _with_component(nodes.select("key", "node"), comps)
+    least = of_key.groupBy("component").agg(F.min("node").alias("component_id"))
+    return marks.select("doc_id", "key").join(of_key.join(least, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs, with the row of the smallest doc_id of each group of near copies; all columns stay.
+
+    Of rows that share that doc_id the least by text stays. Rows with a null doc_id stay.
+    """
+    return simhash.keep_smallest(docs, near_copies(docs))

@@ -127,7 +127,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = MAX_DISTANCE
 
     Of rows that share that doc_id the least by text stays. Rows with a null doc_id stay.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle, max_distance)
+    return keep_smallest(docs, near_duplicates(docs.select("doc_id", "text"), shingle, max_distance))
+
+
+def keep_smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is not the component_id of its group; one row of each doc_id, the least by text."""
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_simhash_gone")).distinct()
     first = docs.join(gone, F.col("doc_id") == F.col("_simhash_gone"), "left_anti")
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
