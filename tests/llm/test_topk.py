@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 import __spark_entry__ as entry
 from mirrorplan.llm import topk
 from tests.llm.oracle import compare
@@ -25,8 +27,8 @@ def test_oracle(spark):
 
 
 def test_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_COMPONENTS", 18)
+    monkeypatch.setattr(topk, "CANDIDATE_COMPONENTS", 240)
     rnd = random.Random(3)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(400)]
     rows += [(i, [0.5] * 6) for i in range(400, 520)]  # ties
@@ -39,3 +41,21 @@ def test_brute_force(spark, monkeypatch):
     assert topk.search(df.limit(0)).collect() == []
     big = [(i, [1e4 * (i - 3), 1e3, -1e4 * i]) for i in range(120)]
     assert {tuple(r) for r in topk.search(spark.createDataFrame(big, "vec_id bigint, embedding array<double>")).collect()} == brute(big)
+
+
+def test_threshold_prunes_and_keeps_what_counts():
+    """Few survive a cutoff that few reach; none that reaches it is lost, in each type of number."""
+    rnd = np.random.default_rng(5)
+    for scale in (1, 300, 10**6):
+        c = np.floor(rnd.normal(size=(900, 32)) * 40).astype(np.int64) * scale
+        q = np.concatenate([c[:20], c[:20] + 3 * scale])
+        exact, kind = q @ c.T, topk._kind(q, c)
+        assert kind is {1: np.float32, 300: np.float64, 10**6: np.int64}[scale]
+        cut = np.sort(exact, axis=1)[:, -3]
+        total, alive = topk.survivors(q.astype(kind), c.astype(kind), cut)
+        assert alive[exact >= cut[:, None]].all() and alive.mean() < 0.3
+        for mask in (alive, exact >= cut[:, None]):
+            rows, cols, score = topk.resolve(q.astype(kind), c.astype(kind), total, mask)
+            assert (score == exact[rows, cols]).all() and len(rows) == mask.sum()
+        rows, cols, score = topk.heads(q.astype(kind), c.astype(kind), np.zeros(exact.shape, bool))
+        assert (score == exact[rows, cols]).all() and len(rows) == 40 * topk.HEADS
