@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, language, lines, packing, quality, simhash, substrings, topk, urls, warc
 
@@ -49,10 +50,10 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled outcome of a page is the quality mark of its number in `labels`: 0 is bad."""
-    labels = _table(spark, sf_dir, "labels")
-    outcomes = labels.selectExpr("doc_id AS page_id", "1 - quality AS bad")
-    return urls.judge(_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    """No table marks pages as bad, so every page's outcome is read from itself (urls.outcome)."""
+    pages = _table(spark, sf_dir, "pages")
+    outcomes = pages.select("url", urls.outcome(F.col("url"), F.col("html")).alias("bad"))
+    return urls.judge(pages.select("page_id", "url"), outcomes, URL_RULES)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,19 +156,24 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op8_urls": r"""
         WITH cut AS (
-            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+            SELECT page_id, coalesce(html, '') AS html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
         ), parts AS (
-            SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut
+            SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut
         ), rows AS (
-            SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            SELECT page_id, html, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                 regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts
         ), named AS (
             SELECT *, string_split(host, '.') AS l FROM rows
+        ), ends AS (
+            SELECT *, array_to_string(l[greatest(1, len(l) - 1):], '.') AS two, array_to_string(l[greatest(1, len(l) - 2):], '.') AS three,
+                2 * length(html) AS wide, length(html) - length(replace(html, '!!', '')) AS shouts FROM named
         ), units AS (
-            SELECT page_id, host, path, array_to_string(l[greatest(1, len(l) - 1):], '.') AS domain, l[len(l)] AS suffix FROM named
+            SELECT page_id, host, path, CASE WHEN long THEN three ELSE two END AS domain, CASE WHEN long THEN two ELSE l[len(l)] END AS suffix,
+                regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') OR (shouts > 0 AND shouts * 100 >= wide) AS bad
+            FROM (SELECT *, two IN ('co.uk', 'org.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz', 'co.za') AS long FROM ends)
         ), hosts AS (
-            SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(1 - quality) AS bad
-            FROM units JOIN labels ON page_id = doc_id WHERE quality IN (0, 1) AND host <> '' GROUP BY host
+            SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, count(*) FILTER (bad) AS bad
+            FROM units WHERE host <> '' GROUP BY host
         ), whole AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1)::DOUBLE AS rate FROM hosts),
         s0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, (SELECT rate FROM whole) AS prior FROM hosts GROUP BY suffix),
         sk AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 10.0::DOUBLE ELSE 1 / least(0.99::DOUBLE, greatest(0.001::DOUBLE,

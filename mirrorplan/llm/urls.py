@@ -9,16 +9,21 @@ host's bad rate passes `max_bad`. Hosts without labelled pages take the posterio
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._state import discard, materialise
+
 #: Suffixes of more than one label; all others have one.
 LONG_SUFFIXES = ("co.uk", "org.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str, str]  # host, path, verdict
 
+#: Labels of a host, or parts of one between hyphens, that mark its pages as bad.
+BAD_TERMS = ("ads", "adult", "bets", "casino", "pills", "spam")
+#: A page shouts if it has one '!!' or more for so many characters of html.
+SHOUT = 100
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """After the first '://': host up to '/', '?' or '#', A-Z lowered; path up to '?' or '#'. Else both empty."""
@@ -39,10 +44,21 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return text, verdict
 
 
+def outcome(url: Column, html: Column) -> Column:
+    """1 if the host has one of BAD_TERMS or the html shouts, else 0: a weak label where no one has marked pages.
+
+    A null url or html counts as empty.
+    """
+    host, text = host_and_path(url)[0], F.coalesce(html, F.lit(""))
+    shouts = F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("")))
+    named = host.rlike(rf"(^|[.-])({'|'.join(BAD_TERMS)})([.-]|$)")
+    return (named | ((shouts > 0) & (shouts * SHOUT >= F.length(text) * 2))).cast("bigint")
+
+
 def _levels(host: Column) -> tuple[Column, Column]:
     """Registered domain and suffix of a host."""
-    long = reduce(lambda a, s: a | (host == s) | host.endswith("." + s), LONG_SUFFIXES, F.lit(False))
     part = lambda n: F.substring_index(host, ".", -n)
+    long = part(2).isin(*LONG_SUFFIXES)
     return F.when(long, part(3)).otherwise(part(2)), F.when(long, part(2)).otherwise(part(1))
 
 
@@ -60,37 +76,42 @@ def _strength(units: DataFrame) -> float:
 def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float]:
     """(host, bad 0/1) -> tables of posterior (a, b) by host, by domain and by suffix, and the rate of all.
 
-    Counts are summed per host before anything else, so a host with most of the pages is one row.
+    Counts are summed per host before anything else, so a host with most of the pages is one row, and each
+    level is written once: outcomes are read by one job.
     """
     domain, suffix = _levels(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    hosts = materialise(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     rate = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1)
 
     def level(units: DataFrame, keys: list[str]) -> DataFrame:
+        units = materialise(units, "units")
         k = _strength(units)
         a, b = F.col("bad") + k * F.col("prior"), F.col("n") - F.col("bad") + k * (1 - F.col("prior"))
         return units.select(*keys, a.alias("a"), b.alias("b"))
 
+    mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("prior")
     by_suffix = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", F.lit(rate))
     by_suffix = level(by_suffix, ["suffix"])
     by_domain = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    by_domain = level(by_domain.join(by_suffix.select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("prior")), "suffix"), ["domain"])
-    by_host = level(hosts.join(by_domain.select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("prior")), "domain"), ["host"])
+    by_domain = level(by_domain.join(by_suffix.select("suffix", mean), "suffix"), ["domain"])
+    by_host = level(hosts.join(by_domain.select("domain", mean), "domain"), ["host"])
+    discard(hosts)
     return by_host, by_domain, by_suffix, rate
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], max_bad: float = 0.5, z: float = 1.645) -> DataFrame:
-    """(page_id, url), (page_id, bad) -> (page_id, host, path, rule, verdict), one row per page row.
+    """(page_id, url), (url, bad) -> (page_id, host, path, rule, verdict), one row per page row.
 
     A null url, or one without '://', has an empty host and path, no rule, and is judged by the rate of
-    all. Outcomes with a null id or value count for nothing; of repeated outcomes of an id each counts.
+    all. Outcomes without a host or with a value other than 0 and 1 count for nothing; repeated ones each
+    count. An empty table of outcomes blocks nothing but by rule; an empty table of pages gives no row.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"))
-    marks = outcomes.where("bad in (0, 1) and page_id is not null").select("page_id", F.col("bad").cast("bigint").alias("bad"))
-    by_host, by_domain, by_suffix, rate = reputation(rows.join(marks, "page_id").where("host <> ''").select("host", "bad"))
+    marks = outcomes.where("bad in (0, 1)").select(host.alias("host"), F.col("bad").cast("bigint").alias("bad"))
+    by_host, by_domain, by_suffix, rate = reputation(marks.where("host <> ''"))
     domain, suffix = _levels(F.col("host"))
 
     def bad(a: Column, b: Column) -> Column:
@@ -104,6 +125,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], max_bad: flo
         .join(by_suffix.withColumnsRenamed({"a": "a3", "b": "b3"}), "suffix", "left")
         .select("host", bad(F.coalesce("a1", "a2", "a3", F.lit(rate)), F.coalesce("b1", "b2", "b3", F.lit(1 - rate))).alias("block"))
     )
+    # written, so that its size is known and Spark can split a host with most of the pages
+    judged = materialise(judged, "judged")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return rows.join(judged, "host").select(
         "page_id",
