@@ -3,7 +3,8 @@
 Words are runs of characters other than ASCII non-alphanumerics, A-Z lower-cased. The windows of
 all benchmark items (n words; a shorter item is one window) go to the executors as a sorted hash
 table of at most BLOCK_BYTES of item text; a larger benchmark is taken in several such blocks, one
-after another, so no broadcast grows with it. Every window of every document is looked up, and each
+after another, and a long item in parts that share n - 1 words, so no broadcast grows with it (n words alone
+may pass the bound, where words are that long). Every window of every document is looked up, and each
 hit is verified byte for byte against the item's words.
 
 Null or wordless texts hit nothing; items with a null id or no word take no part; rows that repeat
@@ -134,14 +135,42 @@ def _scan_block(docs: DataFrame, tests, hits: str, items: str, words: str) -> Da
     return docs.mapInArrow(run, schema)
 
 
+def _parts(items: DataFrame, n: int) -> DataFrame:
+    """(item_id, text) with long texts cut into parts that overlap by n - 1 words: the same windows."""
+    size = BLOCK_BYTES // 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = column(batch, "item_id"), column(batch, "text").cast(pa.large_binary())
+            for k in range(batch.num_rows):
+                text = np.frombuffer(texts[k].as_py(), np.uint8)
+                starts, ends, _ = split_words(LOWER[text], np.array([0, len(text)]), _WORD)
+                cuts, a = [], 0
+                while a < len(starts):
+                    b = min(len(starts), max(a + n, int(np.searchsorted(ends, starts[a] + size, "right"))))
+                    cuts.append(text[starts[a] : ends[b - 1]].tobytes().decode())
+                    a = b - n + 1 if b < len(starts) else b
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k].as_py()] * len(cuts), pa.string()), pa.array(cuts, pa.string())], ["item_id", "text"])
+
+    long = items.where(F.octet_length("text") > size).mapInArrow(run, "item_id string, text string")
+    return items.where(F.octet_length("text") <= size).union(long).distinct()
+
+
 def _blocks(benchmark: DataFrame, n: int) -> Iterator:
     """The benchmark's windows as broadcasts of bounded size, one at a time; whether more follow."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    items = materialise(_parts(items.distinct(), n), "items")
+    block = lambda blocks: F.expr(f"pmod(xxhash64(item_id, text), {blocks})")
+    blocks = 0
+    while True:  # until no block is larger than the bound, or than one part
+        blocks = max(1, 2 * blocks)
+        of_block = items.groupBy(block(blocks).alias("b")).agg(F.sum(F.octet_length("text")).alias("n"), F.max(F.octet_length("text")).alias("one"))
+        row = of_block.agg(F.max("n").alias("n"), F.max("one").alias("one"), F.sum("n").alias("all")).first()
+        if (row["n"] or 0) <= max(BLOCK_BYTES, row["one"] or 0):
+            break
+        blocks = max(blocks, row["all"] // (2 * BLOCK_BYTES))
     for b in range(blocks):
-        part = items.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {b}")) if blocks > 1 else items
-        tests = build_windows([(r[0], r[1].encode()) for r in part.collect()], n)
+        tests = build_windows([(r[0], r[1].encode()) for r in items.where(block(blocks) == b).collect()], n)
         yield benchmark.sparkSession.sparkContext.broadcast(tests), blocks > 1
 
 

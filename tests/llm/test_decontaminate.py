@@ -52,3 +52,17 @@ def test_edges(spark, monkeypatch):
         assert {r.doc_id for r in kept.collect()} == {2, 3, 6, 8} and kept.columns == df.columns
     assert d.contamination(df.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in d.contamination(df, bench.limit(0)).collect())
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    """Repeated rows count once, a long item goes in parts, no broadcast passes the bound, and the result is the same."""
+    monkeypatch.setattr(d, "BLOCK_BYTES", 400)
+    long = " ".join(f"w{k}" for k in range(300))
+    items = [(1, long)] * 50 + [(2, "a short one")] * 50 + [(3, f"x {long[:200]}")]
+    docs = [(k, " ".join(f"w{j}" for j in range(9 * k, 9 * k + k))) for k in range(30)] + [(99, "so a short one"), (98, long)]
+    seen = []
+    build = d.build_windows
+    monkeypatch.setattr(d, "build_windows", lambda rows, n: seen.append(sum(len(t) for _, t in rows)) or build(rows, n))
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(r) for r in d.contamination(df, bench).collect()} == brute(docs, items)
+    assert len(seen) > 3 and max(seen) <= 400
