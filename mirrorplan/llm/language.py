@@ -10,6 +10,7 @@ is missing); the language with the least distance wins, a tie going to the first
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,6 +26,7 @@ TOP = 300
 UNKNOWN = "und"
 _BITS = 40  # of a gram's hash; the row of a chunk stands above
 _CHUNK = 1 << 20
+_BLANK = re.compile(r"\s")
 
 
 class Profiles(NamedTuple):
@@ -70,6 +72,26 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(where, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)
+
+
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (row << _BITS | gram hash) and its count; a text longer than a chunk is counted in pieces cut at white space."""
+    if len(texts) != 1 or len(texts[0]) <= _CHUNK:
+        return _counted(gram_keys(texts))
+    text, at, parts = texts[0], 0, []
+    while at < len(text):
+        cut = _BLANK.search(text, at + _CHUNK)
+        end = cut.start() if cut else len(text)
+        parts.append(_counted(gram_keys([text[at:end]])))
+        if len(parts) >= 16:
+            parts = [_merged(parts)]
+        at = end
+    return _merged(parts)
+
+
 def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
     offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     return chunks(offs, _CHUNK)
@@ -81,20 +103,16 @@ def count_grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            grams, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-            return grams, np.bincount(where, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)
-
         for batch in batches:
             langs, texts = column(batch, "lang").to_pylist(), column(batch, "text").to_pylist()
             for lang in set(langs):
                 own = [t for k, t in zip(langs, texts, strict=True) if k == lang]
                 for a, b in _pieces(own):
-                    kept.setdefault(lang, []).append(_counted(gram_keys([" ".join(own[a:b])])))
+                    kept.setdefault(lang, []).append(gram_counts([" ".join(own[a:b])]))
                     if len(kept[lang]) >= 16:
-                        kept[lang] = [merged(kept[lang])]
+                        kept[lang] = [_merged(kept[lang])]
         for lang, parts in kept.items():
-            grams, n = merged(parts)
+            grams, n = _merged(parts)
             for a in range(0, len(grams), 50_000):
                 g = pa.array(grams[a : a + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), g, pa.array(n[a : a + 50_000])], ["lang", "gram", "n"])
@@ -118,9 +136,9 @@ def train(docs: DataFrame, top: int = TOP) -> Profiles:
 
 def distances(texts: list[str], profiles: Profiles, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
     """Text x language out-of-place distances, and the number of grams of each text's profile."""
-    keys, n = _counted(gram_keys(texts))
-    row = keys >> _BITS
-    order = np.argsort(row << 24 | ((1 << 24) - 1 - np.minimum(n, (1 << 24) - 1)), kind="stable")
+    keys, n = gram_counts(texts)
+    row = keys >> _BITS  # below 2^21, and a count below 2^40
+    order = np.argsort(row << 40 | ((1 << 40) - 1 - n), kind="stable")
     row = row[order]
     begin = np.searchsorted(row, np.arange(len(texts)))
     place = np.arange(len(row)) - begin[row]
