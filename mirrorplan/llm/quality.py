@@ -109,7 +109,11 @@ def held_out(id_column: str = "doc_id") -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Fit on labelled documents outside the held-out fifth. Of repeated labels of one id the least counts."""
+    """Fit on labelled documents outside the held-out fifth.
+
+    Of repeated labels of one id the least counts, and of documents that repeat an id the one whose cells come
+    first. Labels with a null id or a value other than 0 and 1, and documents without a label, teach nothing.
+    """
     marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = (
         marks.groupBy("doc_id")
@@ -127,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
             )
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    found = texts.mapInArrow(run, "doc_id bigint, y int, cells binary").dropDuplicates(["doc_id"])
-    rows = sorted(found.toLocalIterator(), key=lambda r: r[0])
+    found = texts.mapInArrow(run, "doc_id bigint, y int, cells binary").groupBy("doc_id").agg(F.min(F.struct("y", "cells")).alias("one"))
+    rows = sorted(found.select("doc_id", "one.y", "one.cells").toLocalIterator(), key=lambda r: r[0])
     return fit([(r[1], np.frombuffer(bytes(r[2]), np.int32)) for r in rows])
 
 
@@ -139,7 +143,11 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per document row; null and empty texts have no feature."""
+    """(doc_id, held_out, score, predicted), one row per document row.
+
+    Null and empty texts have no gram and are scored alike. A null doc_id is not held out. Equal texts have equal
+    scores. A text is taken whole, in steps. An empty table gives no row.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
