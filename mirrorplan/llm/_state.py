@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir of the session; where it is unset, one machine takes a folder of its own and a cluster is an error."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-mirrorplan-")
         sc.setCheckpointDir(known)
         known = sc.getCheckpointDir()
