@@ -5,7 +5,14 @@ differ in at most 3 bits differ in at most 1 bit of one part. The codewords of t
 [31, 26] Hamming code cover each part with radius 1: a fingerprint has one *home* anchor within
 1 bit, and visits every anchor within 1 + 1 bits, 16 at most. Two parts within 1 bit of each
 other meet at the home anchor of either, so comparing visitors with residents finds every pair.
-Only distinct fingerprints take part, so copies cost nothing.
+Only distinct fingerprints take part, so copies cost nothing. Visitors are first linked to one
+resident of their anchor; pairs are formed only between the components that then still meet there,
+so a dense group costs one row for each of its members and anchors.
+
+near_duplicates() is that alone, on three-word shingles and 3 bits. near_copies() asks for a Jaccard
+similarity of 0.8 of five-word shingles. Fingerprints of such pairs lie about 10 of 64 bits apart at
+the threshold, where no covering of a bounded number of anchors holds all pairs; so what the anchors
+find is verified by its shingles, and an exact join on rare shingles (_jaccard) adds what they miss.
 """
 
 from __future__ import annotations
@@ -19,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._state import materialise
+from . import _jaccard
+from ._state import discard, materialise
 from ._text import column
 from .components import connected_components
 
@@ -78,23 +86,38 @@ def _at_anchors(fps: DataFrame) -> DataFrame:
     return rows.withColumn("home", F.expr("if(s = 0, x, x ^ shiftleft(1L, s - 1))"))
 
 
-def linked_pairs(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Distinct fingerprints fp -> pairs (a, b), a < b, that differ in at most max_distance (3 at most) bits.
-
-    A pair may come twice, once from each part.
+def anchor_links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """Distinct fingerprints fp -> edges (a, b) of at most max_distance (3 at most) bits, and enough of them:
+    fingerprints that any chain of such edges joins are joined by these.
     """
     if not 0 <= max_distance <= 3:
         raise ValueError("the parts cover distances up to 3")
+    near = f"bit_count(a ^ b) <= {int(max_distance)}"
     rows = _at_anchors(fps)
     homes = rows.select(F.expr("home * 2 + side").alias("anchor"), F.col("fp").alias("b"))
-    near = (
+    around = (
         "concat(array(home), transform(filter(sequence(1, 31), i -> i < (i ^ s)),"
         " i -> x ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ s) - 1)))"
     )
-    visits = rows.select("side", F.col("fp").alias("a"), F.explode(F.expr(near)).alias("at")).select(
+    visits = rows.select("side", F.col("fp").alias("a"), F.explode(F.expr(around)).alias("at")).select(
         F.expr("at * 2 + side").alias("anchor"), "a"
     )
-    return visits.join(homes, "anchor").where(f"a < b and bit_count(a ^ b) <= {int(max_distance)}").select("a", "b")
+    leads = homes.groupBy("anchor").agg(F.min("b").alias("b"), F.count("*").alias("n"))
+    meets = materialise(visits.join(leads, "anchor").where("a <> b or n > 1"), "meets")
+    stars = materialise(meets.where(f"a <> b and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+    # what still meets at an anchor out of two components
+    comps = materialise(connected_components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    visitors = _jaccard.with_component(meets.select("anchor", "a"), comps, "a", "ca")
+    residents = _jaccard.with_component(homes.join(meets.select("anchor").distinct(), "anchor", "left_semi"), comps, "b", "cb")
+    visitors, residents = materialise(visitors, "visitors"), materialise(residents, "residents")
+    groups = visitors.select("anchor", "ca").distinct().join(residents.select("anchor", "cb").distinct(), "anchor").where("ca <> cb")
+    rest = groups.join(visitors, ["anchor", "ca"]).join(residents, ["anchor", "cb"]).where(near)
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = materialise(stars.union(rest), "links")
+    for done in (meets, stars, comps, visitors, residents):
+        discard(done)
+    return links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -106,8 +129,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = MAX_D
     """
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null")
-    pairs = linked_pairs(nodes.select("fp"), max_distance)
-    edges = pairs.join(nodes.withColumnsRenamed({"fp": "a", "node": "u"}), "a").join(
+    edges = anchor_links(nodes.select("fp"), max_distance).join(nodes.withColumnsRenamed({"fp": "a", "node": "u"}), "a").join(
         nodes.withColumnsRenamed({"fp": "b", "node": "v"}), "b"
     )
     # a row that repeats a doc_id under another text ties its fingerprints together
@@ -130,6 +152,39 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = MAX_DISTANCE
     return keep_smallest(docs, near_duplicates(docs.select("doc_id", "text"), shingle, max_distance))
 
 
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, component_id): the smallest doc_id reachable over pairs of similarity 0.8 or more.
+
+    One row per input row with a doc_id. Words are runs without ASCII white space, A-Z in lower case. Null and
+    blank texts are copies of each other. Rows that repeat a doc_id belong together. An empty table gives no row.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    found = materialise(_jaccard.marks(docs), "marks")
+    nodes = materialise(_jaccard.nodes_of(found), "sets")
+    ids = found.select("doc_id", "key").distinct()
+    same = ids.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
+    ties = ids.join(same, "doc_id").where("a <> key").select("a", F.col("key").alias("b"))
+
+    leads = nodes.groupBy("fp").agg(F.min("key").alias("lead"))
+    alike = nodes.join(leads, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    of = lambda fp, key: leads.withColumnsRenamed({"fp": fp, "lead": key})
+    apart = anchor_links(leads.select("fp")).withColumnsRenamed({"a": "f", "b": "g"}).join(of("f", "a"), "f").join(of("g", "b"), "g")
+    links = materialise(ties.union(_jaccard.verified(alike.union(apart.select("a", "b")), docs, nodes)), "links")
+
+    comps = _jaccard.components(_jaccard.complete(links, found, docs, nodes))
+    of_key = _jaccard.with_component(nodes.select("key", "node"), comps)
+    least = of_key.groupBy("component").agg(F.min("node").alias("component_id"))
+    return found.select("doc_id", "key").join(of_key.join(least, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def keep_similar(docs: DataFrame) -> DataFrame:
+    """docs, with the row of the smallest doc_id of each group of near copies; all columns stay.
+
+    Of rows that share that doc_id the least by text stays. Rows with a null doc_id stay.
+    """
+    return keep_smallest(docs, near_copies(docs))
+
+
 def keep_smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is not the component_id of its group; one row of each doc_id, the least by text."""
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_simhash_gone")).distinct()

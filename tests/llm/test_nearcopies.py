@@ -4,7 +4,7 @@ import re
 import pytest
 
 import corpus_pipeline as cp
-from mirrorplan.llm import nearcopies
+from mirrorplan.llm import _jaccard, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -54,9 +54,9 @@ def table():
 
 @pytest.mark.parametrize("block", [2000, 7])
 def test_every_pair_is_found(spark, monkeypatch, block):
-    monkeypatch.setattr(nearcopies, "_BLOCK", block)
+    monkeypatch.setattr(_jaccard, "_BLOCK", block)
     rows = table()
-    got = {tuple(r) for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {tuple(r) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == plain_components(rows)
 
 
@@ -71,8 +71,8 @@ def test_stage_removes_near_copies(spark):
 
 def test_edges_of_input(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
-    assert nearcopies.near_copies(empty).collect() == []
+    assert simhash.near_copies(empty).collect() == []
     rows = [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c"), (3, "x y z"), (3, "a b c"), (4, "x y z"), (5, "q")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert sorted(tuple(r) for r in nearcopies.near_copies(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (4, 1), (5, 5)]
-    assert sorted(r.doc_id or 0 for r in nearcopies.keep_one(df).collect()) == [0, 1, 5]
+    assert sorted(tuple(r) for r in simhash.near_copies(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (4, 1), (5, 5)]
+    assert sorted(r.doc_id or 0 for r in simhash.keep_similar(df).collect()) == [0, 1, 5]

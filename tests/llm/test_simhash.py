@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 
 import xxhash
@@ -54,20 +56,40 @@ def test_against_brute_force(spark):
     assert kept == {c for _, _, c in got}
 
 
-def test_pairs_are_complete(spark):
-    import itertools
-    import random
-
+def test_links_join_what_pairs_join(spark):
+    """Every edge is a pair of 3 bits or fewer, and the components are those of all such pairs; a dense ball has few edges."""
     rnd = random.Random(5)
     seeds = [rnd.getrandbits(64) for _ in range(6)]
     fps = set(seeds)
     for s in seeds:
         for bits in itertools.islice(itertools.combinations(rnd.sample(range(64), 12), 3), 60):
             fps.add(s ^ sum(1 << b for b in bits))
-    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    got = {(r.a, r.b) for r in simhash.linked_pairs(spark.createDataFrame(signed, "fp bigint")).collect()}
-    want = {(a, b) for (a,) in signed for (b,) in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-    assert got == want
+    for k in range(60):  # chains, whose ends are far apart, and lone ones
+        x = rnd.getrandbits(64)
+        for _ in range(k % 4 + 1):
+            fps.add(x)
+            x ^= sum(1 << b for b in rnd.sample(range(64), 3))
+    x, bits = rnd.getrandbits(64), rnd.sample(range(64), 11)
+    fps |= {x ^ sum(1 << b for k, b in enumerate(bits) if c >> k & 1) for c in range(1 << 11)}  # a dense ball
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    edges = {(r.a, r.b) for r in simhash.anchor_links(spark.createDataFrame([(x,) for x in signed], "fp bigint")).collect()}
+    pairs = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+
+    def groups(some):
+        root = {x: x for x in signed}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in some:
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+        return {x: find(x) for x in signed}
+
+    assert edges <= pairs and groups(edges) == groups(pairs)
+    assert len(edges) <= 32 * len(fps) < len(pairs)
 
 
 def test_edges_of_input(spark):
