@@ -27,7 +27,6 @@ NUM, DEN = 4, 5
 _WORDS = 8  # 64-bit words of a parity bitmap
 _SAMPLE, _COMMON = 20_000, 50_000
 _BLOCK = 2000
-_BYTES = 4  # rounds of leaders by a byte of the fingerprint
 _PIECE = 1 << 16
 
 
@@ -102,8 +101,8 @@ def marks(docs: DataFrame) -> DataFrame:
 
 
 def nodes_of(found: DataFrame) -> DataFrame:
-    """The distinct sets of marks(): key, the smallest doc_id (node), fp, n and the parity words."""
-    same = ["fp", "n", *[f"p{k}" for k in range(_WORDS)]]
+    """The distinct sets of marks(): key, the smallest doc_id (node), fp, n, the parity words and the prefix."""
+    same = ["fp", "n", *[f"p{k}" for k in range(_WORDS)], "prefix"]
     return found.groupBy("key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in same])
 
 
@@ -167,37 +166,26 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where("_ca <> _cb").drop("_ca", "_cb")
 
 
-def complete(links: DataFrame, found: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """links, and enough more pairs (a, b) of the similarity to join all keys that such pairs join."""
-    firsts = found.select("key", "fp", F.posexplode("prefix").alias("at", "token")).distinct()
-    groups = firsts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    pool = materialise(firsts.join(groups, "token"), "shared")
-    comps, tried = components(links), None
-
-    # each member of a group with one leader; then, with one for each value of a byte of the fingerprint, as long as that joins components
-    for byte in range(-1, _BYTES):
-        rows = pool.withColumn("part", F.lit(0) if byte < 0 else F.expr(f"shiftright(fp, {8 * byte}) & 255"))
-        leads = rows.groupBy("token", "part").agg(F.min("key").alias("lead"))
-        pairs = rows.join(leads, ["token", "part"]).where("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-        pairs = _apart(pairs, comps)
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "stars")
-        more = verified(pairs, docs, nodes)
-        tried = pairs if tried is None else tried.union(pairs)
-        if more.isEmpty():
-            break
-        links = materialise(links.union(more), "links")
-        comps = components(links)
-        rows = with_component(pool.where("size > 2"), comps)  # where there are two they have met
-        mixed = rows.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("token")
-        left = materialise(rows.drop("component").join(mixed, "token"), "shared")
-        discard(pool)
-        pool = left
-        if byte < 0:  # only what shares a token with two others is looked at again
-            live = pool.select("key").distinct().join(nodes.select("key", F.col("node").alias("doc_id")), "key").select("doc_id").distinct()
-            docs = materialise(docs.join(live, "doc_id", "left_semi"), "live")
+def links_of(nodes: DataFrame, near: DataFrame, ties: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys of the similarity, and enough of them to join all keys that such pairs join.
+
+    near: pairs that may have it, ties: pairs that belong together whatever their sets.
+    """
+    firsts = nodes.select("key", F.posexplode("prefix").alias("at", "token"))
+    nodes = nodes.drop("prefix")
+    groups = firsts.groupBy("token").agg(F.count("*").alias("size"), F.min("key").alias("lead")).where("size > 1")
+    live = materialise(firsts.join(groups, "token"), "shared")
+
+    # first what is near, and every member of a group with the group's leader
+    stars = live.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).union(near).distinct()
+    stars = materialise(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "stars")
+    links = materialise(ties.union(verified(stars, docs, nodes)), "links")
+    comps = components(links)
 
     # then every pair of a group that is in two components
-    rows = with_component(pool.where("size > 2"), comps).drop("fp").join(nodes.drop("node", "fp"), "key")
+    rows = with_component(live.select("token", "key", "at", "size"), comps)
+    mixed = rows.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("token")
+    rows = rows.join(mixed, "token").join(nodes.drop("node", "fp"), "key")
     blocks = f"cast(ceil(size / {_BLOCK}) as int)"
     x = rows.withColumn("block", F.explode(F.expr(f"sequence(0, {blocks} - 1)"))).alias("x")
     y = rows.withColumn("block", F.expr(f"cast(pmod(xxhash64(key), {blocks}) as int)")).alias("y")
@@ -205,14 +193,15 @@ def complete(links: DataFrame, found: DataFrame, docs: DataFrame, nodes: DataFra
     close = x.join(y, F.expr(f"{apart} and {_rest('x', 'y')} and {_bounds('x', 'y')}"))
     apart = " + ".join(f"bit_count(x.p{k} ^ y.p{k})" for k in range(_WORDS))
     pairs = close.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.expr(f"({apart}) / (x.n + y.n)").alias("far")).distinct()
-    pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = pairs.join(stars, ["a", "b"], "left_anti")
     at = F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))
     pairs = materialise(pairs.withColumn("batch", F.floor(F.log(8.0, at)).cast("int")), "candidates")
+    discard(live)
+    discard(stars)
     last = pairs.agg(F.max("batch")).first()[0]
     for k in range(0 if last is None else last + 1):  # nearest first, eight times as many in each batch
         todo = _apart(pairs.where(f"batch = {k}").select("a", "b"), comps)
         links = materialise(links.union(verified(todo, docs, nodes)), "links")
         comps = components(links)
-    for done in (pool, tried, pairs):
-        discard(done)
+    discard(pairs)
     return links

@@ -86,33 +86,44 @@ def _at_anchors(fps: DataFrame) -> DataFrame:
     return rows.withColumn("home", F.expr("if(s = 0, x, x ^ shiftleft(1L, s - 1))"))
 
 
-def anchor_links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Distinct fingerprints fp -> edges (a, b) of at most max_distance (3 at most) bits, and enough of them:
-    fingerprints that any chain of such edges joins are joined by these.
-    """
-    if not 0 <= max_distance <= 3:
-        raise ValueError("the parts cover distances up to 3")
-    near = f"bit_count(a ^ b) <= {int(max_distance)}"
-    rows = _at_anchors(fps)
-    homes = rows.select(F.expr("home * 2 + side").alias("anchor"), F.col("fp").alias("b"))
+def _homes(fps: DataFrame) -> DataFrame:
+    return _at_anchors(fps).select(F.expr("home * 2 + side").alias("anchor"), F.col("fp").alias("b"))
+
+
+def _meets(fps: DataFrame) -> DataFrame:
+    """(anchor, a, b) of the visitors a of anchors where another fingerprint lives; b is the smallest resident."""
     around = (
         "concat(array(home), transform(filter(sequence(1, 31), i -> i < (i ^ s)),"
         " i -> x ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ s) - 1)))"
     )
-    visits = rows.select("side", F.col("fp").alias("a"), F.explode(F.expr(around)).alias("at")).select(
+    visits = _at_anchors(fps).select("side", F.col("fp").alias("a"), F.explode(F.expr(around)).alias("at")).select(
         F.expr("at * 2 + side").alias("anchor"), "a"
     )
-    leads = homes.groupBy("anchor").agg(F.min("b").alias("b"), F.count("*").alias("n"))
-    meets = materialise(visits.join(leads, "anchor").where("a <> b or n > 1"), "meets")
-    stars = materialise(meets.where(f"a <> b and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    leads = _homes(fps).groupBy("anchor").agg(F.min("b").alias("b"), F.count("*").alias("n"))
+    return visits.join(leads, "anchor").where("a <> b or n > 1").select("anchor", "a", "b")
+
+
+def _stars(meets: DataFrame, max_distance: int) -> DataFrame:
+    near = meets.where(f"a <> b and bit_count(a ^ b) <= {int(max_distance)}")
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def anchor_links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """Distinct fingerprints fp -> edges (a, b) of at most max_distance (3 at most) bits, and enough of them:
+    fingerprints that any chain of such edges joins are joined by these.
+    """
+    if not 0 <= max_distance <= 3:
+        raise ValueError("the parts cover distances up to 3")
+    meets = materialise(_meets(fps), "meets")
+    stars = materialise(_stars(meets, max_distance), "links")
 
     # what still meets at an anchor out of two components
-    comps = materialise(connected_components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    comps = _jaccard.components(stars)
     visitors = _jaccard.with_component(meets.select("anchor", "a"), comps, "a", "ca")
-    residents = _jaccard.with_component(homes.join(meets.select("anchor").distinct(), "anchor", "left_semi"), comps, "b", "cb")
+    residents = _jaccard.with_component(_homes(fps).join(meets.select("anchor").distinct(), "anchor", "left_semi"), comps, "b", "cb")
     visitors, residents = materialise(visitors, "visitors"), materialise(residents, "residents")
     groups = visitors.select("anchor", "ca").distinct().join(residents.select("anchor", "cb").distinct(), "anchor").where("ca <> cb")
-    rest = groups.join(visitors, ["anchor", "ca"]).join(residents, ["anchor", "cb"]).where(near)
+    rest = groups.join(visitors, ["anchor", "ca"]).join(residents, ["anchor", "cb"]).where(f"bit_count(a ^ b) <= {int(max_distance)}")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialise(stars.union(rest), "links")
     for done in (meets, stars, comps, visitors, residents):
@@ -161,20 +172,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     found = materialise(_jaccard.marks(docs), "marks")
     nodes = materialise(_jaccard.nodes_of(found), "sets")
-    ids = found.select("doc_id", "key").distinct()
+    ids = materialise(found.select("doc_id", "key"), "keys")
+    discard(found)
     same = ids.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
-    ties = ids.join(same, "doc_id").where("a <> key").select("a", F.col("key").alias("b"))
+    ties = ids.join(same, "doc_id").where("a <> key").select("a", F.col("key").alias("b")).distinct()
 
     leads = nodes.groupBy("fp").agg(F.min("key").alias("lead"))
     alike = nodes.join(leads, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
     of = lambda fp, key: leads.withColumnsRenamed({"fp": fp, "lead": key})
-    apart = anchor_links(leads.select("fp")).withColumnsRenamed({"a": "f", "b": "g"}).join(of("f", "a"), "f").join(of("g", "b"), "g")
-    links = materialise(ties.union(_jaccard.verified(alike.union(apart.select("a", "b")), docs, nodes)), "links")
-
-    comps = _jaccard.components(_jaccard.complete(links, found, docs, nodes))
+    meets = _meets(leads.select("fp"))
+    apart = _stars(meets, MAX_DISTANCE).withColumnsRenamed({"a": "f", "b": "g"}).join(of("f", "a"), "f").join(of("g", "b"), "g")
+    comps = _jaccard.components(_jaccard.links_of(nodes, alike.union(apart.select("a", "b")), ties, docs))
     of_key = _jaccard.with_component(nodes.select("key", "node"), comps)
     least = of_key.groupBy("component").agg(F.min("node").alias("component_id"))
-    return found.select("doc_id", "key").join(of_key.join(least, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
+    return ids.join(of_key.join(least, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
 def keep_similar(docs: DataFrame) -> DataFrame:
