@@ -39,13 +39,13 @@ def clean_sql(x: str, size: str = "80", ascii_only: bool = False) -> str:
 @query(
     "b14_sanitise_component",
     f"""SELECT doc_id, {clean_sql("w")} AS plain, {clean_sql("w", "12")} AS short, {clean_sql("w", "40", True)} AS folded
-        FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN left(text, 120) WHEN 1 THEN '. ' || left(text, 40) || ' ..' WHEN 2 THEN 'a<b>:c|' || left(text, 30) WHEN 3 THEN 'con.' || left(text, 9) ELSE 'Lpt' || CAST(doc_id % 10 AS VARCHAR) END AS w FROM documents)""",
+        FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN '. ' || text || ' ..' WHEN 2 THEN 'a<b>:c|' || text WHEN 3 THEN 'con.' || text ELSE 'Lpt' || CAST(doc_id % 10 AS VARCHAR) || '.' || text END AS w FROM documents)""",
 )
 def b14(spark, sf_dir):
     d = F.col("doc_id") % 5
     w = (
-        F.when(d == 0, F.left("text", F.lit(120))).when(d == 1, F.concat(F.lit(". "), F.left("text", F.lit(40)), F.lit(" .."))).when(d == 2, F.concat(F.lit("a<b>:c|"), F.left("text", F.lit(30))))
-        .when(d == 3, F.concat(F.lit("con."), F.left("text", F.lit(9)))).otherwise(F.concat(F.lit("Lpt"), (F.col("doc_id") % 10).cast("string")))
+        F.when(d == 0, F.col("text")).when(d == 1, F.concat(F.lit(". "), "text", F.lit(" .."))).when(d == 2, F.concat(F.lit("a<b>:c|"), "text"))
+        .when(d == 3, F.concat(F.lit("con."), "text")).otherwise(F.concat(F.lit("Lpt"), (F.col("doc_id") % 10).cast("string"), F.lit("."), "text"))
     )
     rows = role(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
     return rows.select(
@@ -81,12 +81,12 @@ def b16(spark, sf_dir):
 
 
 _CREATOR = "CASE WHEN trim(display_name) <> '' THEN trim(display_name) WHEN trim(handle) <> '' THEN trim(handle) ELSE 'Unknown Creator' END"
-_TITLE = "CASE WHEN trim(title) = '' OR lower(trim(title)) = 'untitled' THEN 'Untitled' ELSE trim(title) END"
+TITLE_SQL = "CASE WHEN trim(title) = '' OR lower(trim(title)) = 'untitled' THEN 'Untitled' ELSE trim(title) END"
 #: Path of the default template, before any collision; columns al (the album's component), root_id, trk.
 PATH_SQL = f"""SELECT account_id, clip_id, concat_ws('/', nullif(creator, ''), nullif(al, ''), CASE WHEN ends_with(leaf, tail) THEN
         {suffix_sql("left(leaf, length(leaf) - length(tail))", "left(clip_id, 8)")} ELSE {clean_sql("leaf")} END) AS path
     FROM (SELECT *, concat(' [', left(clip_id, 8), ']') AS tail, concat(CASE WHEN trk > 0 THEN lpad(CAST(trk AS VARCHAR), 2, '0') || ' - ' ELSE '' END, creator, '-', name, ' [', left(clip_id, 8), ']') AS leaf
-        FROM (SELECT *, {clean_sql(_CREATOR)} AS creator, {clean_sql(_TITLE)} AS name FROM named))"""
+        FROM (SELECT *, {clean_sql(_CREATOR)} AS creator, {clean_sql(TITLE_SQL)} AS name FROM named))"""
 
 
 @query(
@@ -135,7 +135,7 @@ def b26(spark, sf_dir):
 
 @query(
     "c05_resolve_leads",
-    """WITH wanted AS (SELECT DISTINCT account_id, entry FROM (SELECT account_id, CASE ord % 3 WHEN 0 THEN upper(left(clip_id, 8)) WHEN 1 THEN clip_id ELSE left(clip_id, 6) || 'zz' END AS entry FROM {clips} WHERE ord % 40 < 2)),
+    """WITH wanted AS (SELECT DISTINCT account_id, entry FROM (SELECT account_id, CASE ord % 3 WHEN 0 THEN upper(left(clip_id, 8)) WHEN 1 THEN clip_id ELSE left(clip_id, 6) || 'zz' END AS entry FROM {clips})),
         hits AS (SELECT w.account_id, w.entry, count(DISTINCT c.clip_id) AS n, min(c.clip_id) AS clip_id FROM wanted w LEFT JOIN {clips} c ON c.account_id = w.account_id AND starts_with(lower(c.clip_id), lower(w.entry)) GROUP BY ALL)
         SELECT account_id, entry, CASE n WHEN 0 THEN 'unmatched' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN clip_id END AS clip_id FROM hits""",
 )
@@ -143,7 +143,7 @@ def c05(spark, sf_dir):
     rows = role(spark, sf_dir, "clips")
     o, i = F.col("ord") % 3, F.col("clip_id")
     entry = F.when(o == 0, F.upper(F.left(i, F.lit(8)))).when(o == 1, i).otherwise(F.concat(F.left(i, F.lit(6)), F.lit("zz")))
-    return select.resolve_leads(rows, rows.where("ord % 40 < 2").select("account_id", F.concat(F.lit(" "), entry).alias("entry")))
+    return select.resolve_leads(rows, rows.select("account_id", F.concat(F.lit(" "), entry).alias("entry")))
 
 
 @query(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import clips as fn
 from ..functions import naming
-from ..operators import lineage
+from ..operators import lineage, select
 from ..tables import written
+from .library import PATH_SQL, TITLE_SQL, clean_sql, suffix_sql
 from .roles import role, with_roles
 from .scalars import EDGE_SQL, PARENTS_SQL, clips, norm
 
@@ -215,9 +216,25 @@ def g09(spark, sf_dir):
     return contexts(spark, sf_dir).select("account_id", "clip_id", "root_id", "root_title", "root_date", "parent_id", "edge_type", "lineage_status")
 
 
-@query("e03_render_names")
+_RAW = f"CASE WHEN trim(root_title) <> '' AND root_title <> {TITLE_SQL} THEN root_title ELSE {TITLE_SQL} END"
+_FILE = "regexp_extract(path, '[^/]*$')"
+_LONGER = f"concat_ws('/', nullif(regexp_extract(path, '(?s)^(.*)/[^/]*$', 1), ''), {suffix_sql(_FILE, 'clip_id')})"
+NAMES_SQL = f"""WITH ctx AS MATERIALIZED ({CONTEXTS_SQL}), col AS MATERIALIZED ({COLLIDING_SQL}),
+    n AS (SELECT x.account_id, x.clip_id, c.ord % 5 = 0 AS lead, row_number() OVER (PARTITION BY x.account_id, root_id ORDER BY c.created_at, x.clip_id) AS n, count(*) OVER (PARTITION BY x.account_id, root_id) AS total, root_id FROM ctx x JOIN {{clips}} c USING (account_id, clip_id)),
+    tr AS (SELECT account_id, clip_id, CASE WHEN total = 1 THEN 0 WHEN n = first THEN 1 WHEN n < first THEN n + 1 ELSE n END AS trk FROM (SELECT *, min(CASE WHEN lead THEN n END) OVER (PARTITION BY account_id, root_id) AS first FROM n)),
+    raw AS MATERIALIZED (SELECT c.account_id, c.clip_id, display_name, handle, title, root_id, coalesce(trk, 0) AS trk, {_RAW} AS raw FROM {{clips}} c JOIN ctx USING (account_id, clip_id) LEFT JOIN tr USING (account_id, clip_id)),
+    named AS MATERIALIZED (SELECT r.*, CASE WHEN col.title IS NOT NULL THEN {suffix_sql(clean_sql('raw'), 'left(root_id, 8)')} ELSE {clean_sql('raw')} END AS al FROM raw r LEFT JOIN col ON col.account_id = r.account_id AND col.title = trim(raw)),
+    shared AS (SELECT account_id, clip_id FROM {{clips}} QUALIFY count(*) OVER (PARTITION BY account_id, lower(left(clip_id, 8))) > 1),
+    one AS MATERIALIZED ({PATH_SQL}), two AS MATERIALIZED (SELECT account_id, clip_id, CASE WHEN (account_id, clip_id) IN (SELECT (account_id, clip_id) FROM shared) THEN {_LONGER} ELSE path END AS path FROM one),
+    three AS MATERIALIZED (SELECT account_id, clip_id, CASE WHEN count(*) OVER (PARTITION BY account_id, path) > 1 THEN {_LONGER} ELSE path END AS path FROM two)
+    SELECT account_id, clip_id, CASE WHEN count(*) OVER (PARTITION BY account_id, lower(nfc_normalize(path))) > 1 THEN {_LONGER} ELSE path END AS path FROM three"""
+
+
+@query("e03_render_names", NAMES_SQL)
 def e03(spark, sf_dir):
     rows, found = written(clips(spark, sf_dir), "role"), written(roots(spark, sf_dir), "found")
     past = nodes(rows)
-    context = lineage.lineage_context(rows, found, past, overrides(found)).withColumns({"track": F.lit(0), "track_total": F.lit(0)})
+    context = lineage.lineage_context(rows, found, past, overrides(found))
+    tracks = select.assign_track_numbers(context.select("account_id", "clip_id", "root_id", "created_at"), rows.where("ord % 5 = 0")).withColumnRenamed("total", "track_total")
+    context = context.join(tracks, ["account_id", "clip_id"], "left")
     return naming.render_names(context, lineage.colliding_root_titles(found, past, overrides(found)), naming.colliding_clip_ids(rows))

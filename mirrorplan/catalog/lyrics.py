@@ -21,8 +21,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_LINES = """SELECT DISTINCT ON (conv_id, turn) CAST(conv_id % 25 AS VARCHAR) AS account_id, CAST(conv_id AS VARCHAR) AS clip_id, turn AS line_no, CASE turn % 5 WHEN 0 THEN '[Chorus]' WHEN 1 THEN ' ' ELSE left(text, 20) || ' ' END AS text, turn * 2.515::DOUBLE AS start_s,
-    CASE WHEN turn % 5 = 0 THEN [] ELSE list_transform(string_split(left(text, 20), ' '), lambda w: w) END AS w FROM conversations ORDER BY conv_id, turn, text"""
+_LINES = """SELECT DISTINCT ON (conv_id, turn) CAST(conv_id % 25 AS VARCHAR) AS account_id, CAST(conv_id AS VARCHAR) AS clip_id, turn AS line_no, CASE turn % 5 WHEN 0 THEN '[Chorus]' WHEN 1 THEN ' ' ELSE text || ' ' END AS text, turn * 2.515::DOUBLE AS start_s,
+    CASE WHEN turn % 5 = 0 THEN [] ELSE list_transform(string_split(text, ' '), lambda w: w) END AS w FROM conversations ORDER BY conv_id, turn, text"""
 _EMIT = "list_filter(w, lambda x: trim(x, ' ' || chr(10) || chr(9)) <> '')"
 _TRIM = "trim({x}, ' ' || chr(10) || chr(9) || chr(13))"
 _TEXT = f"CASE WHEN {_TRIM.replace('{x}', 'text')} <> '' THEN {_TRIM.replace('{x}', 'text')} ELSE array_to_string(list_transform({_EMIT}, lambda x: {_TRIM.replace('{x}', 'x')}), ' ') END"
@@ -31,11 +31,11 @@ L_SQL = f"SELECT *, {_TEXT} AS shown, turn_label AS label FROM (SELECT *, line_n
 
 def lines(spark, sf_dir):
     t = role(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    n, short = F.col("turn") % 5, F.left("text", F.lit(20))
+    n = F.col("turn") % 5
     start = F.col("turn") * F.lit(2.515)
-    words = F.transform(F.split(short, " "), lambda w: F.struct(w.alias("text"), start.alias("start_s")))
+    words = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("text"), start.alias("start_s")))
     return t.select(
-        (F.col("conv_id") % 25).cast("string").alias("account_id"), F.col("conv_id").cast("string").alias("clip_id"), F.col("turn").alias("line_no"), F.when(n == 0, "[Chorus]").when(n == 1, " ").otherwise(F.concat(short, F.lit(" "))).alias("text"),
+        (F.col("conv_id") % 25).cast("string").alias("account_id"), F.col("conv_id").cast("string").alias("clip_id"), F.col("turn").alias("line_no"), F.when(n == 0, "[Chorus]").when(n == 1, " ").otherwise(F.concat("text", F.lit(" "))).alias("text"),
         start.alias("start_s"), F.when(n == 0, F.array().cast("array<struct<text:string,start_s:double>>")).otherwise(words).alias("words"),
     )
 
@@ -129,12 +129,24 @@ def i06(spark, sf_dir):
         NOT coalesce(r.format <> m.format AND m.ord % 2 = 0 AND r.ord % 10 = 0 AND m.ord % 4 <> 0, FALSE) AS lyrics_reencode_safe FROM {merged} m LEFT JOIN {manifest} r ON r.account_id = m.account_id AND r.clip_id = m.clip_id""",
 )
 def i07(spark, sf_dir):
+    return applied(spark, sf_dir)[0].select("account_id", "clip_id", "embedded_lyrics_hash", "lyrics_reencode_safe")
+
+
+def applied(spark, sf_dir):
     d, m = role(spark, sf_dir, "merged").withColumn("lyrics_blank", F.col("ord") % 2 == 0), checked(role(spark, sf_dir, "manifest"))
     m = m.withColumn("embedded_timed_lyrics_hash", F.lit(""))
     slots = d.where("ord % 3 <> 0").select("account_id", "clip_id", F.lit("lyrics_txt").alias("kind"), F.lit("p").alias("path"), F.lit("x").alias("hash"), F.lit(None).cast("string").alias("content"))
     fetched = d.where("ord % 4 < 2").select("account_id", "clip_id", F.when(F.col("ord") % 4 == 0, "plain").alias("plain"), F.lit(None).cast("string").alias("lrc"), F.lit(None).cast("string").alias("timed_hash"))
-    new, _, _ = lyrics.apply_lyrics(d, slots, m, role(spark, sf_dir, "manifest_slots").limit(0), fetched)
-    return new.select("account_id", "clip_id", "embedded_lyrics_hash", "lyrics_reencode_safe")
+    return lyrics.apply_lyrics(d, slots, m, role(spark, sf_dir, "manifest_slots"), fetched)
+
+
+@query(
+    "i07_apply_lyrics_slots",
+    """SELECT m.account_id, m.clip_id, 'lyrics_txt' AS kind, CASE WHEN m.ord % 4 = 0 THEN sha256('content' || chr(1) || 'plain') ELSE coalesce(s.source_hash, 'x') END AS hash, CASE WHEN m.ord % 4 = 0 THEN 'plain' END AS content
+        FROM {merged} m LEFT JOIN {manifest_slots} s ON s.account_id = m.account_id AND s.clip_id = m.clip_id AND s.kind = 'lyrics_txt' WHERE m.ord % 3 <> 0 AND (m.ord % 4 = 0 OR s.source_hash IS NOT NULL OR m.ord % 4 >= 2)""",
+)
+def i07b(spark, sf_dir):
+    return applied(spark, sf_dir)[1].select("account_id", "clip_id", "kind", "hash", "content")
 
 
 @query(

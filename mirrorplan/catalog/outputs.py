@@ -187,10 +187,11 @@ def d11(spark, sf_dir):
     return reports.run_severity(spark.sql(text, orders=role(spark, sf_dir, "orders")))
 
 
-@query("d12_path_refcounts", "SELECT account_id, path, count(*) AS n FROM (SELECT account_id, path FROM {manifest} UNION ALL SELECT account_id, path FROM {manifest_slots} UNION ALL SELECT account_id, lower(name) FROM {playlists}) WHERE path <> '' GROUP BY ALL")
+@query("d12_path_refcounts", "SELECT account_id, path, count(*) AS n FROM (SELECT account_id, path FROM {manifest} UNION ALL SELECT account_id, path FROM {manifest_slots} UNION ALL SELECT account_id, 'a' || (ord % 50) || '/folder.jpg' FROM {clips} WHERE image_url <> '' UNION ALL SELECT account_id, lower(name) FROM {playlists}) WHERE path <> '' GROUP BY ALL")
 def d12(spark, sf_dir):
     lists = role(spark, sf_dir, "playlists").select("account_id", F.lower("name").alias("path"))
-    return reports.path_refcounts(role(spark, sf_dir, "manifest"), role(spark, sf_dir, "manifest_slots"), lists.limit(0), lists)
+    albums = role(spark, sf_dir, "clips").where("image_url <> ''").select("account_id", F.concat(F.lit("a"), (F.col("ord") % 50).cast("string"), F.lit("/folder.jpg")).alias("path"))
+    return reports.path_refcounts(role(spark, sf_dir, "manifest"), role(spark, sf_dir, "manifest_slots"), albums, lists)
 
 
 @query("d13_plan_changes", f"SELECT account_id, bool_or(action <> 'skip') AS has_changes FROM ({AUDIO_SQL}) GROUP BY account_id")
@@ -254,11 +255,10 @@ def a19(spark, sf_dir):
 
 @query(
     "c04_orphan_files",
-    """SELECT DISTINCT account_id, path FROM (SELECT account_id, CASE WHEN ord % 2 = 0 THEN path ELSE 'loose/' || path END AS path FROM {inventory} JOIN (SELECT account_id, path, any_value(ord) AS ord FROM {manifest} GROUP BY ALL) USING (account_id, path) WHERE exists)
-        WHERE regexp_matches(lower(path), '\\.(flac|mp3|wav|m4a)$') AND (account_id, lower(path)) NOT IN (SELECT (account_id, lower(path)) FROM {manifest})""",
+    r"""WITH tracked AS (SELECT account_id, lower(path) AS key FROM {manifest} UNION SELECT account_id, lower(path) FROM {manifest_slots}),
+        found AS (SELECT DISTINCT account_id, CASE WHEN length(path) % 2 = 0 THEN path ELSE 'loose/' || path END AS path FROM {inventory} WHERE exists)
+        SELECT account_id, path FROM found WHERE regexp_matches(lower(path), '\.(flac|mp3|wav|m4a)$') AND (account_id, lower(path)) NOT IN (SELECT (account_id, key) FROM tracked)""",
 )
 def c04(spark, sf_dir):
-    m = role(spark, sf_dir, "manifest")
-    found = role(spark, sf_dir, "inventory").join(m.groupBy("account_id", "path").agg(F.first("ord").alias("ord")), ["account_id", "path"])
-    found = found.withColumn("path", F.when(F.col("ord") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("loose/"), "path")))
-    return reports.orphan_files(found, m, m.limit(0))
+    found = role(spark, sf_dir, "inventory").withColumn("path", F.when(F.length("path") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("loose/"), "path")))
+    return reports.orphan_files(found, role(spark, sf_dir, "manifest"), role(spark, sf_dir, "manifest_slots"))

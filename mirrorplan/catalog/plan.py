@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.authority import run_authority
 from ..plans import reconcile as plan
 from ..tables import written
 from .roles import role, with_roles
@@ -76,6 +77,38 @@ def h04(spark, sf_dir):
     return rows.select("account_id", "clip_id", plan.audio_state(rows).alias("state"))
 
 
+_DESIRED = """SELECT account_id, clip_id, meta_hash, art_hash, ord % 2 = 0 AS blank, CASE WHEN ord % 3 = 0 THEN 'L' ELSE '' END AS lyr, CASE WHEN ord % 4 = 0 THEN 'T' ELSE '' END AS timed FROM {merged}"""
+_RECORDED = """SELECT account_id, clip_id, path, meta_hash, art_source_hash, CASE ord % 5 WHEN 0 THEN NULL WHEN 1 THEN 'c1' WHEN 2 THEN '' ELSE 'c2' END AS art, CASE WHEN ord % 3 = 0 THEN 'L' WHEN ord % 7 = 1 THEN 'old' ELSE '' END AS lyr,
+    CASE WHEN ord % 4 = 0 AND ord % 11 <> 0 THEN 'T' ELSE '' END AS timed FROM {manifest}"""
+_LOOKED = """SELECT account_id, path, ord % 3 <> 1 AS observed, ord % 13 = 0 AS tags, CASE ord % 6 WHEN 0 THEN 'L' WHEN 2 THEN 'other' WHEN 4 THEN '' END AS lyr, CASE WHEN ord % 10 = 0 THEN 2 ELSE 1 END AS n, CASE ord % 8 WHEN 0 THEN 'T' WHEN 4 THEN 'U' END AS timed,
+    ord % 12 <> 0 AS fits, CASE ord % 5 WHEN 1 THEN 'c1' WHEN 3 THEN 'c9' WHEN 4 THEN 'c2' END AS cover FROM {manifest} WHERE path <> '' AND ord % 29 <> 0"""
+
+
+@query(
+    "h04_observed_state",
+    f"""WITH d AS ({_DESIRED}), m AS ({_RECORDED}), f AS ({_LOOKED}), x AS (SELECT d.account_id, d.clip_id, coalesce(observed, FALSE) AS observed, m.meta_hash IS DISTINCT FROM d.meta_hash OR m.art_source_hash IS DISTINCT FROM d.art_hash AS base, m.lyr <> d.lyr OR m.timed <> d.timed AS texts,
+            tags OR blank AND d.lyr <> '' AND (n <> 1 OR f.lyr IS DISTINCT FROM d.lyr) OR d.timed <> '' AND NOT coalesce(fits AND f.timed = d.timed, FALSE)
+            OR CASE WHEN art_hash = '' THEN cover IS NOT NULL WHEN art_source_hash IS DISTINCT FROM art_hash THEN TRUE WHEN art IS NULL THEN FALSE WHEN cover IS NULL THEN art <> '' ELSE art <> cover END AS changed,
+            art IS DISTINCT FROM CASE WHEN art_hash <> '' THEN coalesce(cover, '') END OR m.lyr <> CASE WHEN blank THEN coalesce(f.lyr, '') ELSE '' END OR m.timed <> coalesce(f.timed, '') AS stale
+            FROM d JOIN m ON m.account_id = d.account_id AND m.clip_id = d.clip_id LEFT JOIN f ON f.account_id = m.account_id AND f.path = m.path)
+        SELECT account_id, clip_id, CASE WHEN observed THEN CASE WHEN changed THEN 'retag' WHEN base OR stale THEN 'verify' ELSE 'current' END WHEN base OR texts THEN 'retag' ELSE 'current' END AS state FROM x""",
+)
+def h04b(spark, sf_dir):
+    """Files that were looked into: tags, lyrics, timed text and cover decide before what is recorded."""
+    o, get = F.col("ord"), lambda n: role(spark, sf_dir, n)
+    d = get("merged").withColumns({"modes": F.array(F.lit("mirror")), "lyrics_blank": o % 2 == 0, "embedded_lyrics_hash": F.when(o % 3 == 0, "L").otherwise(""), "embedded_timed_lyrics_hash": F.when(o % 4 == 0, "T").otherwise("")})
+    m = get("manifest").withColumns(
+        {"art_content_hash": F.when(o % 5 == 1, "c1").when(o % 5 == 2, "").when(o % 5 > 2, "c2"), "embedded_lyrics_hash": F.when(o % 3 == 0, "L").when(o % 7 == 1, "old").otherwise(""), "embedded_timed_lyrics_hash": F.when((o % 4 == 0) & (o % 11 != 0), "T").otherwise("")}
+    )
+    f = get("manifest").where("path <> '' and ord % 29 <> 0").select(
+        "account_id", "path", F.lit(True).alias("exists"), "size", F.lit(None).cast("string").alias("content_hash"), F.lit(False).alias("unreadable"), (o % 3 != 1).alias("observed"), (o % 13 == 0).alias("tags_differ"),
+        F.when(o % 6 == 0, "L").when(o % 6 == 2, "other").when(o % 6 == 4, "").alias("lyrics_hash"), F.when(o % 10 == 0, 2).otherwise(1).alias("n_lyrics"), F.when(o % 8 == 0, "T").when(o % 8 == 4, "U").alias("timed_hash"),
+        (o % 12 != 0).alias("timed_fits"), F.when(o % 5 == 1, "c1").when(o % 5 == 3, "c9").when(o % 5 == 4, "c2").alias("cover_hash"),
+    )
+    rows = plan.plan_inputs(d, m, f, get("gate")).where("d and m")
+    return rows.select("account_id", "clip_id", plan.audio_state(rows).alias("state"))
+
+
 @query("h05_absent_actions", f"SELECT account_id, clip_id, CASE WHEN may_delete THEN 'delete' ELSE 'skip' END AS action, CASE WHEN may_delete THEN m_path END AS path FROM ({INPUTS_SQL}) WHERE NOT d")
 def h05(spark, sf_dir):
     return plan.absent_actions(inputs(spark, sf_dir)).select("account_id", "clip_id", "action", "path")
@@ -141,7 +174,8 @@ def h12(spark, sf_dir):
 #: A plan in which several clips aim at one path: writes and moves onto recorded paths, deletes among them.
 _KEYED = """m AS (SELECT account_id, clip_id, ord, CASE WHEN ord % 3 = 0 THEN 'a' || (ord % 10) || '/song' ELSE 'b/' || clip_id END AS path FROM {clips}),
     p AS (SELECT account_id, clip_id, ord, CASE ord % 5 WHEN 0 THEN 'download' WHEN 1 THEN 'rename' WHEN 2 THEN 'delete' WHEN 3 THEN 'write_artifact' ELSE 'skip' END AS action, CASE WHEN ord % 5 = 4 THEN NULL WHEN ord % 5 = 2 THEN path
-        ELSE 'a' || (ord % 10) || '/' || CASE WHEN ord % 20 < 10 THEN 'Song' ELSE 'song' END END AS path, CASE WHEN ord % 5 = 1 THEN path END AS from_path FROM m)"""
+        ELSE 'a' || (ord % 10) || '/' || CASE WHEN ord % 20 < 10 THEN 'Song' ELSE 'song' END END AS path, CASE WHEN ord % 5 = 1 THEN path END AS from_path FROM m),
+    sl AS (SELECT account_id, clip_id, CASE WHEN ord % 7 = 0 THEN 'a' || (ord % 10) || '/SONG' WHEN ord % 4 = 1 THEN '' ELSE 's/' || clip_id END AS path FROM m)"""
 
 
 def aimed(spark, sf_dir):
@@ -158,14 +192,16 @@ def aimed(spark, sf_dir):
 
 @query(
     "c09_suppress_target_clobber",
-    f"""WITH {_KEYED}, h AS (SELECT account_id, lower(path) AS key, min(clip_id) AS holder FROM m GROUP BY ALL), v AS (SELECT DISTINCT account_id, lower(path) AS key FROM p WHERE action = 'delete')
+    f"""WITH {_KEYED}, h AS (SELECT account_id, lower(path) AS key, min(clip_id) AS holder FROM (SELECT account_id, clip_id, path FROM m UNION ALL FROM sl) GROUP BY ALL), v AS (SELECT DISTINCT account_id, lower(path) AS key FROM p WHERE action = 'delete')
         SELECT p.account_id, p.clip_id, CASE WHEN hit THEN 'skip' ELSE action END AS action, CASE WHEN NOT hit THEN path END AS path FROM (SELECT p.*, coalesce(action NOT IN ('skip', 'delete') AND h.holder IS NOT NULL AND v.key IS NULL
             AND NOT coalesce(h.holder = CASE WHEN action = 'rename' THEN f.holder ELSE p.clip_id END, FALSE), FALSE) AS hit FROM p LEFT JOIN h ON h.account_id = p.account_id AND h.key = lower(p.path) LEFT JOIN v ON v.account_id = p.account_id AND v.key = lower(p.path)
             LEFT JOIN h f ON f.account_id = p.account_id AND f.key = lower(p.from_path)) p""",
 )
 def c09(spark, sf_dir):
-    p, m = aimed(spark, sf_dir)
-    return plan.suppress_target_clobber(p, m, m.limit(0)).select("account_id", "clip_id", "action", "path")
+    (p, m), o = aimed(spark, sf_dir), F.col("ord")
+    place = F.when(o % 7 == 0, F.concat(F.lit("a"), (o % 10).cast("string"), F.lit("/SONG"))).when(o % 4 == 1, "").otherwise(F.concat(F.lit("s/"), "clip_id"))
+    slots = role(spark, sf_dir, "clips").select("account_id", "clip_id", place.alias("path"))
+    return plan.suppress_target_clobber(p, m, slots).select("account_id", "clip_id", "action", "path")
 
 
 @query(
@@ -182,65 +218,158 @@ def e07(spark, sf_dir):
     return plan.order_plan(aimed(spark, sf_dir)[0]).select("account_id", "clip_id", "seq")
 
 
-@query(
-    "h10_plan_albums",
-    """WITH d AS (SELECT account_id, clip_id, ord, 'album/' || clip_id || '/folder.jpg' AS path, image_url AS hash FROM {clips} WHERE image_url <> '' AND ord % 7 <> 0),
-        s AS (SELECT account_id, clip_id, ord, CASE WHEN ord % 10 = 0 THEN 'ALBUM/' || clip_id || '/folder.jpg' WHEN ord % 10 = 3 THEN 'was/' || clip_id ELSE 'album/' || clip_id || '/folder.jpg' END AS path, CASE WHEN ord % 6 = 0 THEN 'x' ELSE image_url END AS hash FROM {clips} WHERE ord % 3 <> 0)
-        SELECT account_id, clip_id, action, CASE action WHEN 'delete_artifact' THEN s_path ELSE d_path END AS path FROM (SELECT coalesce(d.account_id, s.account_id) AS account_id, coalesce(d.clip_id, s.clip_id) AS clip_id, d.path AS d_path, s.path AS s_path,
-            CASE WHEN d.path IS NOT NULL THEN CASE WHEN s.path IS NULL OR s.hash <> d.hash OR lower(s.path) <> lower(d.path) THEN 'write_artifact' END WHEN g.can_delete THEN 'delete_artifact' END AS action
-            FROM d FULL JOIN s ON d.account_id = s.account_id AND d.clip_id = s.clip_id LEFT JOIN {gate} g ON g.account_id = coalesce(d.account_id, s.account_id)) WHERE action IS NOT NULL""",
-)
+ALBUMS_SQL = """SELECT account_id, clip_id, section, slot_kind, slot_key, action, path, hash FROM (
+    WITH d AS (SELECT account_id, clip_id, ord, 'album/' || clip_id || '/folder.jpg' AS path, image_url AS hash FROM {clips} WHERE image_url <> '' AND ord % 7 <> 0),
+        s AS (SELECT * FROM {album_art}), j AS (SELECT coalesce(d.account_id, s.account_id) AS account_id, coalesce(d.clip_id, s.clip_id) AS clip_id, d.path AS d_path, s.path AS s_path, d.hash AS d_hash, s.hash AS s_hash, s.content_hash AS s_content,
+            i.path IS NOT NULL AS f, i.exists AS f_exists, i.size AS f_size, i.content_hash AS f_content, coalesce(i.unreadable, FALSE) AS unreadable, g.can_delete AS may
+            FROM d FULL JOIN s ON d.account_id = s.account_id AND d.clip_id = s.clip_id LEFT JOIN {album_files} i ON i.account_id = s.account_id AND i.path = s.path LEFT JOIN {gate} g ON g.account_id = coalesce(d.account_id, s.account_id))
+    SELECT account_id, clip_id, 2 AS section, 'folder_jpg' AS slot_kind, '' AS slot_key, action, CASE action WHEN 'write_artifact' THEN d_path ELSE s_path END AS path, CASE WHEN action <> 'delete_artifact' THEN d_hash END AS hash FROM (SELECT *,
+        CASE WHEN d_path IS NULL THEN CASE WHEN may AND s_path <> '' THEN 'delete_artifact' END WHEN s_path IS NULL OR unreadable OR s_hash <> d_hash OR lower(s_path) <> lower(d_path) THEN 'write_artifact' WHEN NOT f THEN NULL
+            WHEN NOT f_exists OR f_size = 0 OR coalesce(f_content <> s_content, FALSE) THEN 'write_artifact' WHEN f_content IS NOT NULL AND s_content IS NULL THEN 'verify_artifact' END AS action FROM j) WHERE action IS NOT NULL)"""
+
+
+@query("h10_plan_albums", f"SELECT account_id, clip_id, action, path FROM ({ALBUMS_SQL})")
 def h10(spark, sf_dir):
-    rows, o = role(spark, sf_dir, "clips"), F.col("ord")
+    want, have = albums(spark, sf_dir)
+    return plan.plan_albums(want, have, role(spark, sf_dir, "album_files"), role(spark, sf_dir, "gate")).select("account_id", "clip_id", "action", "path")
+
+
+def albums(spark, sf_dir):
+    """Wanted and recorded album art."""
+    rows, art = role(spark, sf_dir, "clips").where("image_url <> '' and ord % 7 <> 0"), role(spark, sf_dir, "album_art")
     place = F.concat(F.lit("album/"), "clip_id", F.lit("/folder.jpg"))
-    want = rows.where("image_url <> '' and ord % 7 <> 0").select("account_id", F.col("clip_id").alias("root_id"), F.lit("folder_jpg").alias("kind"), place.alias("path"), F.lit("u").alias("source_url"), F.col("image_url").alias("hash"))
-    path = F.when(o % 10 == 0, F.replace(place, F.lit("album/"), F.lit("ALBUM/"))).when(o % 10 == 3, F.concat(F.lit("was/"), "clip_id")).otherwise(place)
-    have = rows.where("ord % 3 <> 0").select("account_id", F.col("clip_id").alias("root_id"), F.lit("folder_jpg").alias("kind"), path.alias("path"), F.when(o % 6 == 0, "x").otherwise(F.col("image_url")).alias("source_hash"), F.lit(None).cast("string").alias("content_hash"))
-    return plan.plan_albums(want, have, role(spark, sf_dir, "inventory").limit(0), role(spark, sf_dir, "gate")).select("account_id", "clip_id", "action", "path")
+    want = rows.select("account_id", F.col("clip_id").alias("root_id"), F.lit("folder_jpg").alias("kind"), place.alias("path"), F.lit("u").alias("source_url"), F.col("image_url").alias("hash"))
+    return want, art.select("account_id", F.col("clip_id").alias("root_id"), F.lit("folder_jpg").alias("kind"), "path", F.col("hash").alias("source_hash"), "content_hash")
 
 
-@query(
-    "h11_plan_playlists",
-    """WITH d AS (SELECT account_id, playlist_id AS id, p, name || '-' || p || '.m3u8' AS path, 'h' || p AS hash FROM {playlists} WHERE p % 4 <> 0), s AS (SELECT account_id, playlist_id AS id, CASE WHEN p % 3 = 0 THEN 'old-' || p || '.m3u8' ELSE name || '-' || p || '.m3u8' END AS path, CASE WHEN p % 5 = 0 THEN 'x' ELSE 'h' || p END AS hash FROM {playlists} WHERE p % 7 <> 0),
-        j AS (SELECT coalesce(d.account_id, s.account_id) AS account_id, coalesce(d.id, s.id) AS clip_id, d.path AS d_path, s.path AS s_path, d.hash AS d_hash, s.hash AS s_hash, g.can_delete AND CAST(g.account_id AS INTEGER) % 2 = 0 AS may FROM d FULL JOIN s ON d.account_id = s.account_id AND d.id = s.id JOIN {gate} g ON g.account_id = coalesce(d.account_id, s.account_id))
-        SELECT account_id, clip_id, 'write_artifact' AS action, d_path AS path FROM j WHERE d_path IS NOT NULL AND (s_path IS NULL OR s_hash <> d_hash OR lower(s_path) <> lower(d_path))
-        UNION ALL SELECT account_id, clip_id, 'delete_artifact', s_path FROM j WHERE may AND s_path IS NOT NULL AND (d_path IS NULL OR d_path <> s_path)""",
-)
+LISTS_SQL = """SELECT account_id, clip_id, 3 AS section, 'playlist' AS slot_kind, '' AS slot_key, action, path, CASE action WHEN 'write_artifact' THEN d_hash END AS hash FROM (
+    WITH d AS (SELECT account_id, playlist_id AS id, p, name || '-' || p || '.m3u8' AS path, 'h' || p AS hash FROM {playlists} WHERE p % 4 <> 0), s AS (SELECT * FROM {playlist_state}),
+        j AS (SELECT coalesce(d.account_id, s.account_id) AS account_id, coalesce(d.id, s.playlist_id) AS clip_id, d.path AS d_path, s.path AS s_path, d.hash AS d_hash, s.hash AS s_hash, g.can_delete AND g.listed AS may,
+            i.path IS NOT NULL AS f, i.exists AS f_exists, i.size AS f_size, i.content_hash AS f_content, coalesce(i.unreadable, FALSE) AS unreadable
+            FROM d FULL JOIN s ON d.account_id = s.account_id AND d.id = s.playlist_id LEFT JOIN {playlist_files} i ON i.account_id = s.account_id AND i.path = s.path LEFT JOIN {list_gate} g ON g.account_id = coalesce(d.account_id, s.account_id))
+    SELECT *, 'write_artifact' AS action, d_path AS path FROM j WHERE d_path IS NOT NULL AND (s_path IS NULL OR unreadable OR s_hash <> d_hash OR lower(s_path) <> lower(d_path) OR f AND (NOT f_exists OR f_size = 0 OR coalesce(f_content <> d_hash, FALSE)))
+    UNION ALL SELECT *, 'delete_artifact', s_path FROM j WHERE may AND s_path <> '' AND (d_path IS NULL OR d_path <> s_path))"""
+
+
+@query("h11_plan_playlists", f"SELECT account_id, clip_id, action, path FROM ({LISTS_SQL})")
 def h11(spark, sf_dir):
-    rows, p = role(spark, sf_dir, "playlists"), F.col("p")
-    place, h = F.concat("name", F.lit("-"), p.cast("string"), F.lit(".m3u8")), F.concat(F.lit("h"), p.cast("string"))
-    want = rows.where("p % 4 <> 0").select("account_id", "playlist_id", place.alias("path"), F.lit("#").alias("content"), h.alias("hash"))
-    have = rows.where("p % 7 <> 0").select("account_id", "playlist_id", F.when(p % 3 == 0, F.concat(F.lit("old-"), p.cast("string"), F.lit(".m3u8"))).otherwise(place).alias("path"), F.when(p % 5 == 0, "x").otherwise(h).alias("hash"))
-    gate = role(spark, sf_dir, "gate")
-    listed = gate.select("account_id", (F.col("account_id").cast("int") % 2 == 0).alias("playlists_enumerated"))
-    return plan.plan_playlists(want, have, role(spark, sf_dir, "inventory").limit(0), gate, listed).select("account_id", "clip_id", "action", "path")
+    listed = role(spark, sf_dir, "list_gate").select("account_id", F.col("listed").alias("playlists_enumerated"))
+    return plan.plan_playlists(*playlists(spark, sf_dir), role(spark, sf_dir, "playlist_files"), role(spark, sf_dir, "gate"), listed).select("account_id", "clip_id", "action", "path")
+
+
+def playlists(spark, sf_dir):
+    """Wanted and recorded playlists."""
+    rows, p = role(spark, sf_dir, "playlists").where("p % 4 <> 0"), F.col("p").cast("string")
+    want = rows.select("account_id", "playlist_id", "name", F.concat("name", F.lit("-"), p, F.lit(".m3u8")).alias("path"), F.lit("#").alias("content"), F.concat(F.lit("h"), p).alias("hash"))
+    return want, role(spark, sf_dir, "playlist_state")
+
+
+_RUN = INPUTS_SQL.replace("{gate}", "{run_gate}").replace("{inventory}", "{all_files}")
+_AUDIO_CTES = f"""i AS MATERIALIZED ({_RUN}), x AS (SELECT *, {_STATE} AS state, lower(d_path) <> lower(m_path) AS moved FROM i WHERE d),
+    y AS (SELECT *, CASE WHEN trashed AND NOT private AND NOT copied THEN CASE WHEN may_delete THEN 'delete' ELSE 'skip' END WHEN NOT m OR NOT f OR NOT f_exists OR f_size = 0 THEN 'download' WHEN unreadable THEN 'unverifiable'
+        WHEN d_format <> m_format THEN CASE WHEN safe THEN 'reformat' ELSE 'skip' END WHEN moved THEN 'rename' WHEN state = 'retag' THEN 'retag' ELSE 'skip' END AS action FROM x),
+    au AS MATERIALIZED (
+        SELECT account_id, clip_id, 0 AS section, '' AS slot_kind, '' AS slot_key, action, CASE action WHEN 'skip' THEN NULL WHEN 'delete' THEN m_path WHEN 'unverifiable' THEN m_path WHEN 'retag' THEN m_path ELSE d_path END AS path,
+            CASE WHEN action IN ('rename', 'reformat') THEN m_path END AS from_path, NULL AS hash, CASE WHEN action IN ('download', 'reformat') THEN d_format END AS format FROM y
+        UNION ALL SELECT account_id, clip_id, 0, '', '', 'retag', d_path, NULL, NULL, NULL FROM y WHERE action = 'rename' AND state = 'retag'
+        UNION ALL SELECT account_id, clip_id, 1, '', '', CASE WHEN may_delete THEN 'delete' ELSE 'skip' END, CASE WHEN may_delete THEN m_path END, NULL, NULL, NULL FROM i WHERE NOT d)"""
+_RUN_SIDES = SIDES_SQL.replace(_KEPT, "SELECT * FROM i WHERE d AND (account_id, clip_id) NOT IN (SELECT (account_id, clip_id) FROM au WHERE action IN ('delete', 'unverifiable'))").replace("{inventory}", "{all_files}")
+_RUN_SIDES = _RUN_SIDES.replace("AS action, w_path, s_path, base FROM z", "AS action, w_path, s_path, base, w_hash, s_hash FROM z").replace(
+    "ELSE w_path END AS path FROM a", "ELSE w_path END AS path, CASE WHEN action IN ('heal', 'follow') THEN s_hash WHEN action IN ('unverifiable', 'delete_artifact', 'delete_stem') THEN NULL ELSE w_hash END AS hash FROM a"
+)
+_AIMS = "('download', 'reformat', 'write_artifact', 'write_stem', 'rename', 'move_artifact', 'move_stem')"
+_ENDS = "('delete', 'delete_artifact', 'delete_stem')"
+PLAN_CTES = f"""{_AUDIO_CTES}, sides AS MATERIALIZED ({_RUN_SIDES}),
+    p AS MATERIALIZED (SELECT * FROM au UNION ALL SELECT account_id, clip_id, 0, slot_kind, slot_key, action, path, NULL, hash, NULL FROM sides
+        UNION ALL SELECT s.account_id, s.clip_id, au.section, s.kind, s.key, CASE s.kind WHEN 'stem' THEN 'delete_stem' ELSE 'delete_artifact' END, s.path, NULL, NULL, NULL FROM {{manifest_slots}} s JOIN au ON au.account_id = s.account_id AND au.clip_id = s.clip_id AND au.action = 'delete' WHERE s.path <> ''),
+    holders AS MATERIALIZED (SELECT account_id, lower(path) AS key, min(clip_id) AS holder FROM (SELECT account_id, clip_id, path FROM {{manifest}} UNION ALL SELECT account_id, clip_id, path FROM {{manifest_slots}}) GROUP BY ALL),
+    freed AS (SELECT DISTINCT account_id, lower(path) AS key FROM p WHERE action IN {_ENDS}),
+    q AS MATERIALIZED (SELECT p.* EXCLUDE (action, path, hash, format), CASE WHEN hit THEN 'skip' ELSE action END AS action, CASE WHEN NOT hit THEN path END AS path, CASE WHEN NOT hit THEN hash END AS hash, CASE WHEN NOT hit THEN format END AS format
+        FROM (SELECT p.*, coalesce(action IN {_AIMS} AND h.holder IS NOT NULL AND v.key IS NULL AND NOT coalesce(h.holder = CASE WHEN action = 'rename' THEN f.holder ELSE p.clip_id END, FALSE), FALSE) AS hit
+            FROM p LEFT JOIN holders h ON h.account_id = p.account_id AND h.key = lower(p.path) LEFT JOIN freed v ON v.account_id = p.account_id AND v.key = lower(p.path) LEFT JOIN holders f ON f.account_id = p.account_id AND f.key = lower(p.from_path)) p),
+    aims AS (SELECT DISTINCT account_id, lower(path) AS key FROM q WHERE action IN {_AIMS}),
+    whole AS MATERIALIZED (
+        SELECT q.account_id, clip_id, section, slot_kind, slot_key, CASE WHEN dead THEN 'skip' ELSE action END AS action, CASE WHEN NOT dead THEN path END AS path, CASE WHEN NOT dead THEN hash END AS hash, CASE WHEN NOT dead THEN format END AS format
+        FROM (SELECT q.*, action IN {_ENDS} AND key IS NOT NULL AS dead FROM q LEFT JOIN aims ON aims.account_id = q.account_id AND aims.key = lower(path)) q
+        UNION ALL SELECT account_id, clip_id, section, slot_kind, slot_key, action, path, hash, NULL FROM ({ALBUMS_SQL.replace('{gate}', '{run_gate}').replace('{album_files}', '{all_files}')})
+        UNION ALL SELECT account_id, clip_id, section, slot_kind, slot_key, action, path, hash, NULL FROM ({LISTS_SQL.replace('{list_gate}', '{run_gate}').replace('{playlist_files}', '{all_files}')}))"""
 
 
 def whole_plan(spark, sf_dir):
-    """The flagship: the ordered plan of all accounts."""
-    statuses = role(spark, sf_dir, "gate").select("account_id", F.lit("mirror").alias("mode"), F.col("can_delete").alias("fully_enumerated"))
-    made = [written(t, "role") for t in tables(spark, sf_dir)]  # the roles cost more than the plan; make them once
-    return plan.order_plan(plan.reconcile(*made, role(spark, sf_dir, "accounts"), statuses))
+    """The flagship: the ordered plan of all accounts, with album art and playlists, under what each run may trust."""
+    get = lambda n: role(spark, sf_dir, n)
+    made = [written(t, "role") for t in (*tables(spark, sf_dir)[:4], get("all_files"))]  # the roles cost more than the plan; make them once
+    authority = run_authority(get("accounts"), get("statuses"))
+    return plan.order_plan(plan.reconcile(*made, get("accounts"), get("statuses"), albums(spark, sf_dir), playlists(spark, sf_dir), authority))
 
 
-@query("h13_reconcile")
+@query("h13_reconcile", f"WITH {PLAN_CTES} SELECT account_id, section, clip_id, slot_kind, slot_key, action, path, hash, format FROM whole")
 def h13(spark, sf_dir):
+    return whole_plan(spark, sf_dir).select("account_id", "section", "clip_id", "slot_kind", "slot_key", "action", "path", *(F.when(F.col("action").isin(*kept), F.col(c)).alias(c) for c, kept in SHOWN.items()))
+
+
+#: The actions whose hash and format the SQL of the whole plan follows.
+SHOWN = {"hash": ("write_artifact", "verify_artifact", "move_artifact", "write_stem", "move_stem"), "format": ("download", "reformat")}
+
+
+@query("h13_ordered_plan")
+def h13b(spark, sf_dir):
     return whole_plan(spark, sf_dir)
 
 
 def outcomes(ordered):
-    return ordered.select("account_id", "seq", (F.col("seq") % 6 != 0).alias("ok"), F.lit(100).cast("bigint").alias("size"), F.lit("seen").alias("content_hash"))
+    """What became of each row: it failed where the 8th character of the id is a 5."""
+    return ordered.select("account_id", "seq", (F.substring("clip_id", 8, 1) != "5").alias("ok"), F.lit(100).cast("bigint").alias("size"), F.lit("seen").alias("content_hash"))
 
 
-@query("h14_roll_forward")
-def h14(spark, sf_dir):
+def rolled(spark, sf_dir):
     d, _, m, ms, _ = tables(spark, sf_dir)
-    ordered = whole_plan(spark, sf_dir)
-    return plan.roll_forward(m, ms, d, ordered, outcomes(ordered))[0]
+    ordered = written(whole_plan(spark, sf_dir), "ordered")
+    wanted, state = playlists(spark, sf_dir)
+    return plan.roll_forward(m, ms, d, ordered, outcomes(ordered), albums(spark, sf_dir)[1], state, wanted)
+
+
+_DONE = f"{PLAN_CTES}, done AS MATERIALIZED (SELECT * FROM whole WHERE substr(clip_id, 8, 1) <> '5')"
+_NEXT = f"""{_DONE}, per AS (SELECT account_id, clip_id, bool_or(action = 'delete') AS gone, max(path) FILTER (action IN ('download', 'reformat', 'rename')) AS n_path, max(format) FILTER (action IN ('download', 'reformat')) AS n_format,
+        bool_or(action IN ('download', 'reformat')) AS sized, bool_or(action IN ('download', 'reformat', 'retag')) AS tagged FROM done WHERE slot_kind = '' GROUP BY ALL),
+    nx AS MATERIALIZED (SELECT coalesce(m.account_id, per.account_id) AS account_id, coalesce(m.clip_id, per.clip_id) AS clip_id, coalesce(n_path, m.path) AS path, coalesce(n_format, m.format) AS format, coalesce(tagged AND w.clip_id IS NOT NULL, FALSE) AS t,
+            CASE WHEN t THEN w.meta_hash ELSE m.meta_hash END AS meta_hash, CASE WHEN t THEN w.art_hash ELSE m.art_source_hash END AS art_source_hash, CASE WHEN sized THEN 100 ELSE m.size END AS size, coalesce(w.private OR w.copied, m.preserve, FALSE) AS preserve
+        FROM {{manifest}} m FULL JOIN per ON per.account_id = m.account_id AND per.clip_id = m.clip_id LEFT JOIN {{merged}} w ON w.account_id = coalesce(m.account_id, per.account_id) AND w.clip_id = coalesce(m.clip_id, per.clip_id)
+        WHERE NOT coalesce(gone, FALSE) AND (m.path IS NOT NULL OR n_path IS NOT NULL))"""
+
+
+@query("h14_roll_forward", f"WITH {_NEXT} SELECT account_id, clip_id, path, format, meta_hash, art_source_hash, CAST(size AS BIGINT) AS size, preserve FROM nx")
+def h14(spark, sf_dir):
+    return rolled(spark, sf_dir)[0].select("account_id", "clip_id", "path", "format", "meta_hash", "art_source_hash", "size", "preserve")
 
 
-@query("h14_roll_forward_slots")
+@query(
+    "h14_roll_forward_slots",
+    f"""WITH {_NEXT}, ch AS (SELECT account_id, clip_id, slot_kind AS kind, slot_key AS key, action, path, hash FROM done WHERE slot_kind <> '' AND section < 2 AND action NOT IN ('skip', 'unverifiable'))
+        SELECT coalesce(s.account_id, ch.account_id) AS account_id, coalesce(s.clip_id, ch.clip_id) AS clip_id, coalesce(s.kind, ch.kind) AS kind, coalesce(s.key, ch.key) AS key, coalesce(ch.path, s.path) AS path, coalesce(ch.hash, s.source_hash) AS source_hash,
+            CASE WHEN action IN ('write_artifact', 'write_stem', 'verify_artifact') THEN 'seen' ELSE content_hash END AS content_hash
+        FROM {{manifest_slots}} s FULL JOIN ch ON ch.account_id = s.account_id AND ch.clip_id = s.clip_id AND ch.kind = s.kind AND ch.key = s.key
+        WHERE NOT coalesce(action IN {_ENDS}, FALSE) AND (coalesce(s.account_id, ch.account_id), coalesce(s.clip_id, ch.clip_id)) IN (SELECT (account_id, clip_id) FROM nx)""",
+)
 def h14b(spark, sf_dir):
-    d, _, m, ms, _ = tables(spark, sf_dir)
-    ordered = whole_plan(spark, sf_dir)
-    return plan.roll_forward(m, ms, d, ordered, outcomes(ordered))[1]
+    return rolled(spark, sf_dir)[1]
+
+
+@query(
+    "h14_roll_forward_albums",
+    f"""WITH {_DONE}, ch AS (SELECT * FROM done WHERE section = 2 AND action <> 'skip') SELECT coalesce(s.account_id, ch.account_id) AS account_id, coalesce(s.clip_id, ch.clip_id) AS root_id, 'folder_jpg' AS kind, CASE WHEN action IS NULL THEN s.path ELSE ch.path END AS path,
+        CASE WHEN action IS NULL THEN s.hash ELSE ch.hash END AS source_hash, CASE WHEN action IS NULL THEN s.content_hash ELSE 'seen' END AS content_hash FROM {{album_art}} s FULL JOIN ch ON ch.account_id = s.account_id AND ch.clip_id = s.clip_id WHERE action IS NULL OR action <> 'delete_artifact'""",
+)
+def h14c(spark, sf_dir):
+    return rolled(spark, sf_dir)[2]
+
+
+@query(
+    "h14_roll_forward_playlists",
+    f"""WITH {_DONE}, ch AS (SELECT account_id, clip_id, max(path) FILTER (action = 'write_artifact') AS path, max(hash) FILTER (action = 'write_artifact') AS hash, bool_or(action = 'delete_artifact') AS gone FROM done WHERE section = 3 GROUP BY ALL)
+        SELECT coalesce(s.account_id, ch.account_id) AS account_id, coalesce(s.playlist_id, ch.clip_id) AS playlist_id, CASE WHEN ch.path IS NULL THEN s.name ELSE l.name END AS name, coalesce(ch.path, s.path) AS path, coalesce(ch.hash, s.hash) AS hash
+        FROM {{playlist_state}} s FULL JOIN ch ON ch.account_id = s.account_id AND ch.clip_id = s.playlist_id LEFT JOIN {{playlists}} l ON l.account_id = coalesce(s.account_id, ch.account_id) AND l.playlist_id = coalesce(s.playlist_id, ch.clip_id)
+        WHERE ch.path IS NOT NULL OR NOT coalesce(gone, FALSE)""",
+)
+def h14d(spark, sf_dir):
+    return rolled(spark, sf_dir)[3]

@@ -75,7 +75,7 @@ ROLES = {
         FROM {accounts} CROSS JOIN (SELECT p_brand, min(p_partkey) AS p FROM {part} GROUP BY p_brand) b""",
     "members": """
         SELECT account_id, 'Brand#' || CAST(1 + l_partkey % 25 AS STRING) || '-' || account_id AS playlist_id, l_linenumber * 1000000 + l_orderkey AS pos, clip_id, title, duration
-        FROM {clips} JOIN {lineitem} ON l_orderkey = ord WHERE l_linenumber <= 3""",
+        FROM {clips} JOIN {lineitem} ON l_orderkey = ord""",
 }
 
 
@@ -105,7 +105,7 @@ def with_roles(sql: str) -> str:
     body = bare(sql).strip()
     if not order:
         return body
-    head = ", ".join(f"{n} AS ({bare(ROLES[n])})" for n in order)
+    head = ", ".join(f"{n} AS MATERIALIZED ({bare(ROLES[n])})" for n in order)
     return f"WITH {head}{', ' + body[5:] if body[:5].upper() == 'WITH ' else ' ' + body}"
 
 
@@ -142,4 +142,24 @@ ROLES |= {
         UNION ALL SELECT account_id, path, (ord + n) % 17 <> 0, CASE WHEN (ord + n) % 19 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(7 AS BIGINT) END, CASE WHEN (ord + n) % 2 = 0 THEN CASE WHEN (ord + n) % 4 = 0 THEN 'seen' ELSE 'other' END END, (ord + n) % 31 = 0 FROM {manifest_slots} WHERE path <> '' AND kind <> 'stem' AND (ord + n) % 13 <> 0
         UNION ALL SELECT account_id, path, (ord + n) % 17 <> 0, CAST(9 AS BIGINT), CAST(NULL AS STRING), FALSE FROM {manifest_slots} WHERE path <> '' AND kind = 'stem'""",
     "gate": "SELECT account_id, k % 3 <> 0 AS can_delete FROM {accounts}",
+    "list_gate": "SELECT account_id, can_delete, CAST(account_id AS INTEGER) % 2 = 0 AS listed FROM {gate}",
+    "album_art": """
+        SELECT account_id, clip_id, ord, CASE WHEN ord % 10 = 0 THEN 'ALBUM/' || clip_id || '/folder.jpg' WHEN ord % 10 = 3 THEN 'was/' || clip_id WHEN ord % 89 = 1 THEN '' ELSE 'album/' || clip_id || '/folder.jpg' END AS path,
+            CASE WHEN ord % 6 = 0 THEN 'x' ELSE image_url END AS hash, CASE WHEN ord % 5 < 2 THEN 'seen' END AS content_hash FROM {clips} WHERE ord % 3 <> 0""",
+    "album_files": """
+        SELECT account_id, path, ord % 17 <> 0 AS exists, CASE WHEN ord % 19 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(100 AS BIGINT) END AS size, CASE WHEN ord % 2 = 1 THEN CASE WHEN ord % 4 = 1 THEN 'seen' ELSE 'other' END END AS content_hash, ord % 31 = 0 AS unreadable
+        FROM {album_art} WHERE path <> '' AND ord % 13 <> 0""",
+    "playlist_state": """
+        SELECT account_id, playlist_id, name, p, CASE WHEN p % 3 = 0 THEN 'old-' || CAST(p AS STRING) || '.m3u8' ELSE name || '-' || CAST(p AS STRING) || '.m3u8' END AS path, CASE WHEN p % 5 = 0 THEN 'x' ELSE 'h' || CAST(p AS STRING) END AS hash
+        FROM {playlists} WHERE p % 7 <> 0""",
+    "playlist_files": """
+        SELECT account_id, path, p % 11 <> 0 AS exists, CASE WHEN p % 6 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(50 AS BIGINT) END AS size, CASE WHEN p % 2 = 0 THEN CASE WHEN p % 8 = 0 THEN hash ELSE 'other' END END AS content_hash, p % 13 = 0 AS unreadable
+        FROM {playlist_state} WHERE p % 9 <> 0""",
+    "statuses": """
+        SELECT account_id, 'library' AS kind, 'mirror' AS mode, k % 3 <> 0 AS fully_enumerated FROM {accounts} UNION ALL SELECT account_id, 'playlist', 'copy', k % 7 <> 0 FROM {accounts} WHERE k % 2 = 0""",
+    "run_gate": """
+        SELECT account_id, k % 3 <> 0 AND (k % 2 = 1 OR k % 7 <> 0) AS can_delete, k % 3 <> 0 AS library, k % 2 = 1 OR k % 7 <> 0 AS listed FROM {accounts}""",
+    "all_files": """
+        SELECT account_id, path, exists, size, content_hash, unreadable FROM {inventory} UNION ALL SELECT account_id, path, exists, size, content_hash, unreadable FROM {album_files}
+        UNION ALL SELECT account_id, path, exists, size, content_hash, unreadable FROM {playlist_files}""",
 }

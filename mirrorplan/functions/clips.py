@@ -1,7 +1,7 @@
 """Column functions on clip, account and outcome rows. Absent strings are '' throughout.
 
-All run inside Spark's generated code; none is a Python UDF. Names of clip columns are those of
-`mirrorplan.schemas.CLIPS`. Names and addresses of the source service are parameters.
+All run inside Spark's generated code; none is a Python UDF. Names of clip columns are those that
+`sources.ingest.clip_columns` makes. Names and addresses of the source service are parameters.
 """
 
 from __future__ import annotations

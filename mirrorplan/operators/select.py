@@ -26,17 +26,19 @@ def select_clips(clips: DataFrame, limit: int | None = None, since: int | str |
         rows = rows.join(F.broadcast(last_run.select("account_id", F.col("last_run").alias("_from"))), "account_id", "left")
     else:
         rows = rows.withColumn("_from", F.lit(None if since is None else max(0, now - since)).cast("bigint"))
-    account = Window.partitionBy("account_id")
-    newest = account.orderBy(F.coalesce("_ts", F.lit(0)).desc(), "ord")
+    newest = Window.partitionBy("account_id").orderBy(F.coalesce("_ts", F.lit(0)).desc(), "ord")
     passes = F.col("_from").isNull() | F.col("_ts").isNull() | (F.col("_ts") > F.col("_from"))
-    rows = rows.withColumns({"_keep": passes, "_rank": F.row_number().over(newest)})
-    rows = rows.withColumn("_kept", F.count_if("_keep").over(account))
-    floor = F.col("_from").isNotNull() & (F.col("_kept") < min_newest) & (F.col("_rank") <= min_newest)
-    rows = rows.where(F.col("_keep") | floor)
+    rows = rows.withColumn("_keep", passes)
+    kept = rows.where("_keep")
+    if since is not None and min_newest > 0:
+        # counts per account first; a rank with a fixed bound keeps few rows of each account
+        short = rows.groupBy("account_id").agg(F.count_if("_keep").alias("_kept")).where(F.col("_kept") < min_newest).select("account_id")
+        few = rows.join(short, "account_id", "left_semi").where("_from is not null").withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= min_newest)
+        kept = kept.unionByName(few.where("not _keep").drop("_rank"))
     if limit is not None:
         size = F.when(F.col("_from").isNotNull(), max(limit, min_newest)).otherwise(limit)
-        rows = rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= size)
-    return rows.drop("_ts", "_from", "_keep", "_rank", "_kept")
+        kept = kept.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= max(limit, min_newest)).where(F.col("_rank") <= size).drop("_rank")
+    return kept.drop("_ts", "_from", "_keep")
 
 
 def assign_track_numbers(clips: DataFrame, leads: DataFrame, number_singletons: bool = False) -> DataFrame:

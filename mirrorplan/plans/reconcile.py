@@ -17,13 +17,13 @@ format, from_format, reason. Their order is (section, clip_id, step, slot_kind,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clips import content_hash
 from ..functions.naming import SIDECARS, audio_base, canonical_path_key, relocated_stem_path
 from ..operators.authority import deletion_allowed
-from ..tables import written
+from ..tables import numbered, written
 
 # Format order for ties, kinds that a run may delete when they are switched off, kind order.
 FORMATS = ("mp3", "flac", "wav", "alac")
@@ -66,12 +66,22 @@ def plan_inputs(desired: DataFrame, manifest: DataFrame, inventory: DataFrame, g
     d = desired.select(*CLIP, F.lit(True).alias("d"), *(F.col(c).alias(f"d_{c}") for c in desired.columns if c not in CLIP))
     m = manifest.select(*CLIP, F.lit(True).alias("m"), *(F.col(c).alias(f"m_{c}") for c in manifest.columns if c not in CLIP))
     f = inventory.select("account_id", F.col("path").alias("m_path"), F.lit(True).alias("f"), *(F.col(c).alias(f"f_{c}") for c in inventory.columns if c not in ("account_id", "path")))
-    rows = d.join(m, CLIP, "full_outer").join(f, ["account_id", "m_path"], "left").join(gate, "account_id", "left")
+    rows = _beside(d.join(m, CLIP, "full_outer"), f, "m_path").join(gate, "account_id", "left")
     copy_held = F.coalesce(F.array_contains("d_modes", "copy"), F.lit(False))
     may_delete = F.coalesce(F.col("can_delete"), F.lit(False)) & F.coalesce((F.col("m_path") != "") & ~F.col("m_preserve"), F.lit(False))
     return rows.withColumns({"copy_held": copy_held, "may_delete": may_delete, "protected_now": F.coalesce("d_private", F.lit(False)) | copy_held})
 
 
+def _beside(rows: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """rows with the file at their path. A null path gets a key of its own, so that such rows do not meet in one task."""
+    rows = rows.withColumn("_at", F.coalesce(path, _no_path()))
+    return rows.join(files.withColumnRenamed(path, "_at"), ["account_id", "_at"], "left").drop("_at")
+
+
+def _no_path() -> Column:
+    return F.concat(F.lit("\0"), "clip_id")
+
+
 def audio_state(rows: DataFrame) -> Column:
     """retag, verify or current, for clips whose file is there in the wanted format."""
     differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
@@ -153,7 +163,8 @@ def slot_inputs(wanted: DataFrame, stored: DataFrame, inventory: DataFrame, keys
     w = wanted.select(*keys, F.lit(True).alias("w"), *(F.col(c).alias(f"w_{c}") for c in wanted.columns if c not in keys)).withColumn("w_pathkey", canonical_path_key("w_path"))
     s = stored.select(*keys, F.lit(True).alias("s"), *(F.col(c).alias(f"s_{c}") for c in stored.columns if c not in keys)).withColumn("s_pathkey", canonical_path_key("s_path"))
     f = inventory.select("account_id", F.col("path").alias("s_path"), F.lit(True).alias("f"), *(F.col(c).alias(f"f_{c}") for c in ("exists", "size", "content_hash", "unreadable")))
-    return w.join(s, keys, "full_outer").join(f, ["account_id", "s_path"], "left")
+    rows = w.join(s, keys, "full_outer").withColumn("_at", F.coalesce("s_path", F.concat(F.lit("\0"), keys[1])))
+    return rows.join(f.withColumnRenamed("s_path", "_at"), ["account_id", "_at"], "left").drop("_at")
 
 
 def _there() -> Column:
@@ -222,30 +233,39 @@ def suppress_target_clobber(plan: DataFrame, manifest: DataFrame, manifest_slots
     """
     paths = manifest.select(*CLIP, "path").union(manifest_slots.select(*CLIP, "path")).withColumn("_key", canonical_path_key("path"))
     holders = paths.groupBy("account_id", "_key").agg(F.min("clip_id").alias("_holder"))
-    rows = plan.withColumns({"_key": canonical_path_key("path"), "_from": canonical_path_key("from_path")})
+    rows = keyed(plan)
     freed = rows.where(F.col("action").isin(*DELETES)).select("account_id", "_key", F.lit(True).alias("_freed")).distinct()
     rows = rows.join(holders, ["account_id", "_key"], "left").join(freed, ["account_id", "_key"], "left")
     rows = rows.join(holders.select("account_id", F.col("_key").alias("_from"), F.col("_holder").alias("_from_holder")), ["account_id", "_from"], "left")
     actor = F.when(F.col("action") == "rename", F.col("_from_holder")).otherwise(F.col("clip_id"))
     targets = F.col("action").isin(*WRITES, *MOVES)
     clash = targets & F.col("_freed").isNull() & F.col("_holder").isNotNull() & ~F.coalesce(F.col("_holder") == actor, F.lit(False))
-    return _skipped(rows, clash, F.coalesce(actor, "_holder"))
+    return _skipped(rows, clash, F.coalesce(actor, "_holder"), plan.columns)
+
+
+def keyed(plan: DataFrame) -> DataFrame:
+    """plan with the keys of its paths, _key and _from. Most rows of a plan are skips and have none: theirs are unlike
+    any path's and spread by clip."""
+    if "_key" in plan.columns:
+        return plan
+    key = lambda x: F.coalesce(canonical_path_key(x), _no_path())
+    return plan.withColumns({"_key": key("path"), "_from": key("from_path")})
 
 
 def suppress_path_aliasing(plan: DataFrame) -> DataFrame:
     """A delete on a path that the plan also writes or moves to becomes a skip."""
-    rows = plan.withColumn("_key", canonical_path_key("path"))
+    rows = keyed(plan)
     targets = rows.where(F.col("action").isin(*WRITES, *MOVES)).select("account_id", "_key", F.lit(True).alias("_target")).distinct()
     rows = rows.join(targets, ["account_id", "_key"], "left")
-    return _skipped(rows, F.col("action").isin(*DELETES) & F.col("_target").isNotNull(), F.col("clip_id"))
+    return _skipped(rows, F.col("action").isin(*DELETES) & F.col("_target").isNotNull(), F.col("clip_id"), plan.columns)
 
 
-def _skipped(rows: DataFrame, where: Column, owner: Column) -> DataFrame:
+def _skipped(rows: DataFrame, where: Column, owner: Column, columns: list[str]) -> DataFrame:
     """rows with those turned into skips; the owner goes to reason, so the place in the order stays."""
     null = F.lit(None).cast("string")
     change = {"action": F.lit("skip"), "reason": F.concat(F.lit("path is taken; clip "), owner), **{k: null for k in PLAN[7:14]}}
     flag = rows.withColumn("_hit", where)
-    return flag.select(*(F.when(F.col("_hit"), change[k]).otherwise(F.col(k)).alias(k) if k in change else k for k in PLAN))
+    return flag.select(*(F.when(F.col("_hit"), change[k]).otherwise(F.col(k)).alias(k) if k in change else k for k in columns))
 
 
 def plan_albums(album_desired: DataFrame, album_art: DataFrame, inventory: DataFrame, gate: DataFrame, art_authority: DataFrame | None = None) -> DataFrame:
@@ -286,8 +306,7 @@ def plan_playlists(playlist_desired: DataFrame, playlist_state: DataFrame, inven
 def order_plan(plan: DataFrame) -> DataFrame:
     """The plan with seq, the place of each row in its account."""
     kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("slot_kind"))
-    at = Window.partitionBy("account_id").orderBy("section", "clip_id", "step", kind, "slot_kind", "slot_key", "action", "path")
-    return plan.withColumn("seq", F.row_number().over(at))
+    return numbered(plan, "account_id", ["section", "clip_id", "step", kind, "slot_kind", "slot_key", "action", "path"], "seq")
 
 
 def reconcile(
@@ -302,8 +321,8 @@ def reconcile(
     blocked = audio.where("action in ('delete', 'unverifiable')").select(*CLIP)
     kept = inputs.where("d").join(blocked, CLIP, "left_anti").select(*CLIP, "can_delete", "m", "m_preserve", "d_path", "d_format", "d_trashed", "protected_now", "d_stems_authoritative")
     sides = plan_slots(slot_inputs(slots, manifest_slots, inventory, [*CLIP, "kind", "key"]), kept)
-    plan = written(audio.unionByName(sides).unionByName(co_deletes(audio, manifest_slots)), "plan")
-    plan = suppress_path_aliasing(suppress_target_clobber(plan, manifest, manifest_slots))
+    plan = written(keyed(audio.unionByName(sides).unionByName(co_deletes(audio, manifest_slots))), "plan")
+    plan = suppress_path_aliasing(suppress_target_clobber(plan, manifest, manifest_slots)).select(*PLAN)
     if albums:
         plan = plan.unionByName(plan_albums(*albums, inventory, gate, authority))
     if playlists:
@@ -314,8 +333,11 @@ def reconcile(
 # --- what a finished run leaves ------------------------------------------------------------------
 
 
-def roll_forward(manifest: DataFrame, manifest_slots: DataFrame, desired: DataFrame, plan: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Next manifest and slots from the plan's succeeded rows.
+def roll_forward(
+    manifest: DataFrame, manifest_slots: DataFrame, desired: DataFrame, plan: DataFrame, outcomes: DataFrame,
+    album_art: DataFrame | None = None, playlist_state: DataFrame | None = None, playlist_desired: DataFrame | None = None,
+) -> tuple[DataFrame, ...]:
+    """Next manifest and slots from the plan's succeeded rows; and next album art and playlists, if those are given.
 
     outcomes: (account_id, seq, ok, size, content_hash) by the seq of an ordered plan. preserve becomes
     private or copy-held for every clip that is still wanted, also where the row was a skip.
@@ -348,4 +370,33 @@ def roll_forward(manifest: DataFrame, manifest_slots: DataFrame, desired: DataFr
     next_slots = rows.select(
         *slot, F.coalesce("_path", "path").alias("path"), F.coalesce("_hash", "source_hash").alias("source_hash"), F.when(F.coalesce(wrote, F.lit(False)), F.col("_content")).otherwise(F.col("content_hash")).alias("content_hash")
     )
-    return next_manifest, next_slots
+    found = [next_manifest, next_slots]
+    if album_art is not None:
+        found.append(_next_albums(album_art, done))
+    if playlist_state is not None:
+        found.append(_next_playlists(playlist_state, playlist_desired, done))
+    return tuple(found)
+
+
+def _next_albums(album_art: DataFrame, done: DataFrame) -> DataFrame:
+    """Album art after the succeeded rows of section 2; what is deleted has no row any more."""
+    keys = ["account_id", "root_id", "kind"]
+    changed = done.where("section = 2 and action in ('write_artifact', 'verify_artifact', 'delete_artifact')").select(
+        "account_id", F.col("clip_id").alias("root_id"), F.col("slot_kind").alias("kind"), F.col("action").alias("_a"), F.col("path").alias("_path"), F.col("hash").alias("_hash"), "_content"
+    )
+    rows = album_art.join(changed, keys, "full_outer").where(~F.coalesce(F.col("_a") == "delete_artifact", F.lit(False)))
+    new = F.col("_a").isNotNull()
+    take = lambda a, b: F.when(new, F.col(a)).otherwise(F.col(b)).alias(b)
+    return rows.select(*keys, take("_path", "path"), take("_hash", "source_hash"), take("_content", "content_hash"))
+
+
+def _next_playlists(state: DataFrame, desired: DataFrame, done: DataFrame) -> DataFrame:
+    """Playlists after the succeeded rows of section 3: written ones as they are wanted now, deleted ones gone."""
+    keys = ["account_id", "playlist_id"]
+    per = done.where("section = 3").groupBy("account_id", F.col("clip_id").alias("playlist_id")).agg(
+        F.max(F.when(F.col("action") == "write_artifact", F.struct("path", "hash"))).alias("_w"), F.bool_or(F.col("action") == "delete_artifact").alias("_d")
+    )
+    names = desired.select(*keys, F.col("name").alias("_name"))
+    rows = state.select(*keys, "name", "path", "hash").join(per, keys, "full_outer").join(names, keys, "left").where("_w is not null or not coalesce(_d, false)")
+    take = lambda a, b: F.when(F.col("_w").isNotNull(), F.col(a)).otherwise(F.col(b)).alias(b)
+    return rows.select(*keys, take("_name", "name"), take("_w.path", "path"), take("_w.hash", "hash"))

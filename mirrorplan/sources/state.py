@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 _VERSIONS = "version bigint, folder string"
+BUCKETS = 16
+_BUCKET = "_account_bucket"
 AUDIO = r"\.(flac|mp3|wav|m4a)$"
 
 
@@ -29,32 +31,48 @@ def _current(spark: SparkSession, path: str) -> tuple[int, str | None]:
     return (last["version"], last["folder"]) if last else (0, None)
 
 
-def read_state(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """The current version of a state table; none yet: empty. A damaged one fails, it is never taken as empty."""
+def read_state(spark: SparkSession, path: str, schema: T.StructType | str, accounts: list[str] | None = None) -> DataFrame:
+    """The current version of a state table; none yet: empty. A damaged one fails, it is never taken as empty.
+
+    accounts: only their rows, of a table that was written in buckets from their buckets alone.
+    """
     _, folder = _current(spark, path)
     if folder is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "FAILFAST").parquet(f"{path}/{folder}")
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").parquet(f"{path}/{folder}")
+    names = [c for c in rows.columns if c != _BUCKET]
+    if accounts is not None:
+        if _BUCKET in rows.columns:
+            rows = rows.where(F.col(_BUCKET).isin(*(r[0] for r in spark.createDataFrame([(a,) for a in accounts], "account_id string").select(_bucket()).collect())))
+        rows = rows.where(F.col("account_id").isin(*accounts))
+    return rows.select(*names)
+
+
+def _bucket() -> F.Column:
+    return F.pmod(F.xxhash64("account_id"), F.lit(BUCKETS)).cast("int").alias(_BUCKET)
 
 
-def write_state(df: DataFrame, path: str) -> int:
-    """Write df as the next version of the table under path; returns its number."""
+def write_state(df: DataFrame, path: str, by_account: bool = False) -> int:
+    """Write df as the next version of the table under path, in folders by account bucket if asked; returns its number."""
     spark = df.sparkSession
     version = _current(spark, path)[0] + 1
     folder = f"v{version}-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{folder}")
+    if by_account:
+        df.select("*", _bucket()).write.partitionBy(_BUCKET).parquet(f"{path}/{folder}")
+    else:
+        df.write.parquet(f"{path}/{folder}")
     spark.createDataFrame([(version, folder)], _VERSIONS).write.mode("append").parquet(f"{path}/versions")
     return version
 
 
 def write_lineage(tables: dict[str, DataFrame], path: str) -> None:
-    """Nodes, edges, roots, albums, playlists and owners, each a state table of its own."""
+    """Nodes, edges, roots, albums, playlists and owners, each a state table of its own, in account buckets."""
     for name, df in tables.items():
-        write_state(df, f"{path}/{name}")
+        write_state(df, f"{path}/{name}", by_account="account_id" in df.columns)
 
 
-def read_lineage(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
-    return {name: read_state(spark, f"{path}/{name}", schema) for name, schema in schemas.items()}
+def read_lineage(spark: SparkSession, path: str, schemas: dict[str, str], accounts: list[str] | None = None) -> dict[str, DataFrame]:
+    return {name: read_state(spark, f"{path}/{name}", schema, accounts) for name, schema in schemas.items()}
 
 
 def stamp_runs(previous: DataFrame, finished: DataFrame, now: int) -> DataFrame:
@@ -64,24 +82,28 @@ def stamp_runs(previous: DataFrame, finished: DataFrame, now: int) -> DataFrame:
 
 
 def scan_inventory(spark: SparkSession, root: str, account_id: str) -> DataFrame:
-    """Files under root: path below it, size, whether they are audio, and a content hash of the others.
+    """Files under root: path below it, size, whether they are audio, a content hash of the others, and unreadable.
 
-    Audio is never read: without its content only the listing is. Spark lists no empty files, so those count
-    as missing, which the planner treats alike.
+    Audio is never read: without its content only the listing is. A file that is listed but whose content cannot
+    be read is unreadable, not missing. Spark lists no empty files, so those count as missing, which the planner
+    treats alike.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
     below = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
-    base = "/" + root.split("://")[-1].strip("/")
-    rows = files.withColumns({"_path": F.substr(below, F.lit(len(base) + 2)), "audio": F.lower("path").rlike(AUDIO)})
-    listed = rows.where("audio").select(F.lit(account_id).alias("account_id"), F.col("_path").alias("path"), F.lit(True).alias("exists"), F.col("length").alias("size"), F.lit(None).cast("string").alias("content_hash"), "audio")
-    hashed = rows.where("not audio").select(F.lit(account_id).alias("account_id"), F.col("_path").alias("path"), F.lit(True).alias("exists"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), "audio")
-    return listed.unionByName(hashed)
+    base = "/" + root.split("://")[-1].split(":/")[-1].strip("/")
+    place, audio = F.substr(below, F.lit(len(base) + 2)), F.lower("path").rlike(AUDIO)
+    listed = files.load(root).select(place.alias("path"), F.col("length").alias("size"), audio.alias("audio"))
+    hashed = files.load(root).where(~audio).select(place.alias("path"), F.sha2("content", 256).alias("content_hash"))
+    rows = listed.join(hashed, "path", "left")
+    unreadable = ~F.col("audio") & F.col("content_hash").isNull()
+    return rows.select(F.lit(account_id).alias("account_id"), "path", F.lit(True).alias("exists"), "size", "content_hash", "audio", unreadable.alias("unreadable"))
 
 
 def probe(manifest_paths: DataFrame, found: DataFrame) -> DataFrame:
     """Recorded (account_id, path) with what was found there; a path without a file does not exist and has size 0."""
     rows = manifest_paths.distinct().join(found, ["account_id", "path"], "left")
-    return rows.select("account_id", "path", F.coalesce("exists", F.lit(False)).alias("exists"), F.coalesce("size", F.lit(0)).alias("size"), "content_hash", F.lit(False).alias("unreadable"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return rows.select("account_id", "path", flag("exists"), F.coalesce("size", F.lit(0)).alias("size"), "content_hash", flag("unreadable"))
 
 
 def unpack_verified(x: str) -> dict[str, F.Column]:

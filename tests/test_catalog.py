@@ -7,4 +7,4 @@ from tests.oracle import compare
 
 @pytest.mark.parametrize("name", list(catalog.ORACLES))
 def test_against_sql(spark, name):
-    assert compare(spark, entry, name, "/root/testdata/sf0.001") >= 0
+    assert compare(spark, entry, name, "/root/testdata/sf0.01") > 0

@@ -125,25 +125,42 @@ def test_random_worlds(spark, seed):
                 assert c in audio_deletes
 
 
-def test_two_runs_reach_a_fixed_point(spark):
+def test_runs_reach_a_fixed_point(spark):
+    """Audio, sidecars, album art and playlists; a renamed playlist drops its old file, an album that is gone its art."""
     w = world(5, 1)
     paths = [f"lib/{k}.mp3" for k in range(6)]
     w["desired"] = [("0", f"c{k}", k, p, "mp3", "m", "x", "", "", True, ["mirror"], False, False, True) for k, p in enumerate(paths)]
     w["slots"] = [("0", f"c{k}", k, "cover_jpg", "", f"lib/{k}.jpg", "u", "h", None, "", "") for k in range(6)]
     w["statuses"] = [("0", "mirror", True)]
     d, ds, m, ms, inv, accounts, st = frames(spark, w)
-    actions = None
+    make = spark.createDataFrame
+    art, lists = "account_id string, root_id string, kind string, path string, source_hash string, content_hash string", "account_id string, playlist_id string, name string, path string, hash string"
+    album_want = make([("0", f"c{k}", "folder_jpg", f"lib/{k}/folder.jpg", "u", "h") for k in (0, 3)], "account_id string, root_id string, kind string, path string, source_url string, hash string")
+    list_want = make([("0", f"p{k}", f"List {k}", f"List {k}.m3u8", "#", f"h{k}") for k in (1, 2)], "account_id string, playlist_id string, name string, path string, content string, hash string")
+    albums = make([("0", "c0", "folder_jpg", "lib/0/folder.jpg", "old", None), ("0", "c9", "folder_jpg", "lib/9/folder.jpg", "h", "k")], art)
+    playlists = make([("0", "p1", "Was", "Was.m3u8", "h1"), ("0", "p7", "Gone", "Gone.m3u8", "h7")], lists)
+    inv = inv.union(make([("0", x, True, 9, None, False) for x in ("lib/0/folder.jpg", "lib/9/folder.jpg", "Was.m3u8", "Gone.m3u8")], INVENTORY))
+    authority = make([("0", True, True)], "account_id string, library_authoritative boolean, playlists_enumerated boolean")
+    actions, seen = None, []
     for _ in range(3):
-        plan = r.order_plan(r.reconcile(d, ds, m, ms, inv, accounts, st))
+        plan = r.order_plan(r.reconcile(d, ds, m, ms, inv, accounts, st, (album_want, albums), (list_want, playlists), authority))
         rows = [x.asDict() for x in plan.collect()]
         actions = {x["action"] for x in rows}
-        out = spark.createDataFrame([("0", x["seq"], True, 100, "k") for x in rows], "account_id string, seq int, ok boolean, size bigint, content_hash string")
-        m2, ms2 = r.roll_forward(m, ms, d, spark.createDataFrame([tuple(x.values()) for x in rows], plan.schema), out)
-        m, ms = (spark.createDataFrame(x.collect(), x.schema) for x in (m2, ms2))
-        there = [("0", x.path, True, 100, None, False) for x in m.collect()] + [("0", x.path, True, 100, None, False) for x in ms.collect()]
-        inv = spark.createDataFrame(there, INVENTORY)
+        seen.append({(x["clip_id"], x["action"], x["path"]) for x in rows if x["section"] > 1})
+        out = make([("0", x["seq"], True, 100, x["hash"] if x["slot_kind"] == "playlist" else "k") for x in rows], "account_id string, seq int, ok boolean, size bigint, content_hash string")
+        new = r.roll_forward(m, ms, d, make([tuple(x.values()) for x in rows], plan.schema), out, albums, playlists, list_want)
+        m, ms, albums, playlists = (make(x.collect(), x.schema) for x in new)
+        there = [("0", x.path, True, 100, None, False) for t in (m, ms, albums, playlists) for x in t.collect()]
+        inv = make(there, INVENTORY)
     assert actions == {"skip"}
     assert {x.clip_id for x in m.collect()} == {f"c{k}" for k in range(6)}
+    assert seen[0] == {
+        ("c0", "write_artifact", "lib/0/folder.jpg"), ("c3", "write_artifact", "lib/3/folder.jpg"), ("c9", "delete_artifact", "lib/9/folder.jpg"), ("p1", "write_artifact", "List 1.m3u8"),
+        ("p1", "delete_artifact", "Was.m3u8"), ("p2", "write_artifact", "List 2.m3u8"), ("p7", "delete_artifact", "Gone.m3u8"),
+    }
+    assert not seen[1] and not seen[2]
+    assert {(x.root_id, x.source_hash) for x in albums.collect()} == {("c0", "h"), ("c3", "h")}
+    assert {(x.playlist_id, x.name, x.path) for x in playlists.collect()} == {("p1", "List 1", "List 1.m3u8"), ("p2", "List 2", "List 2.m3u8")}
 
 
 def test_failed_actions_do_not_advance_state(spark):
