@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def list_of(o):
+    """Lists of bounded size; their number grows with the orders."""
+    return (F.floor(o / 12000) * 12 + o % 12).cast("int")
+
+
 def raw_clips(spark, sf_dir):
     """Each clip as a JSON object in the service's layout; some keys are missing, misnamed or of a wrong type."""
     rows = clip_rows(spark, sf_dir)
@@ -117,10 +122,10 @@ def a07(spark, sf_dir):
 
 @query(
     "a08_decode_playlist_members",
-    "SELECT account_id, list, NOT lost AND list % 4 <> 0 AND list % 5 <> 0 AS complete, n FROM (SELECT account_id, CAST(ord % 12 AS INTEGER) AS list, bool_or(ord % 47 = 0) AS lost, count(*) FILTER (WHERE ord % 47 <> 0) AS n FROM {clips} GROUP BY account_id, CAST(ord % 12 AS INTEGER))",
+    "SELECT account_id, list, NOT lost AND list % 4 <> 0 AND list % 5 <> 0 AS complete, n FROM (SELECT account_id, CAST(ord // 12000 * 12 + ord % 12 AS INTEGER) AS list, bool_or(ord % 47 = 0) AS lost, count(*) FILTER (WHERE ord % 47 <> 0) AS n FROM {clips} GROUP BY account_id, CAST(ord // 12000 * 12 + ord % 12 AS INTEGER))",
 )
 def a08(spark, sf_dir):
-    rows = raw_clips(spark, sf_dir).groupBy("account_id", (F.col("ord") % 12).cast("int").alias("list")).agg(F.array_join(F.transform(F.collect_list("payload"), lambda x: F.concat(F.lit('{"clip":'), x, F.lit("}"))), ",").alias("b"), F.count("*").alias("n"))
+    rows = raw_clips(spark, sf_dir).groupBy("account_id", list_of(F.col("ord")).alias("list")).agg(F.array_join(F.transform(F.collect_list("payload"), lambda x: F.concat(F.lit('{"clip":'), x, F.lit("}"))), ",").alias("b"), F.count("*").alias("n"))
     k = F.col("list")
     total = F.when(k % 4 == 0, F.col("n") + 1).otherwise(F.col("n")).cast("string")
     body = F.concat(F.lit('{"playlist_clips":['), "b", F.lit("]"), F.when(k % 5 != 0, F.concat(F.lit(',"num_total_results":'), total)).otherwise(""), F.lit("}"))
@@ -144,7 +149,7 @@ def a11(spark, sf_dir):
 
 @query(
     "a09_decode_stems",
-    """WITH s AS (SELECT account_id, CAST(ord % 12 AS INTEGER) AS list, CAST(ord % 24 // 12 AS INTEGER) AS page, ord FROM {clips}),
+    """WITH s AS (SELECT account_id, CAST(ord // 12000 * 12 + ord % 12 AS INTEGER) AS list, CAST(ord % 24 // 12 AS INTEGER) AS page, ord FROM {clips}),
         kept AS (SELECT account_id, list, CAST(ord % 36 AS INTEGER) AS k, min(page) AS page FROM s WHERE ord % 5 <> 0 GROUP BY account_id, list, CAST(ord % 36 AS INTEGER)),
         found AS (SELECT account_id, list, count(DISTINCT page) AS have FROM s GROUP BY account_id, list),
         status AS (SELECT account_id, list, have >= CASE WHEN list % 4 = 0 THEN 3 ELSE 2 END AND list % 4 <> 1 AS whole FROM found)
@@ -155,7 +160,7 @@ def a09(spark, sf_dir):
     o = F.col("ord")
     k = (o % 36).cast("int").cast("string")
     one = F.to_json(F.struct(F.when(o % 5 != 0, F.concat(F.lit("s"), k)).alias("id"), F.concat(F.lit("https://stems.example/"), k, F.lit(".mp3")).alias("audio_url")))
-    pages = role(spark, sf_dir, "clips").groupBy("account_id", (o % 12).cast("int").alias("list"), (o % 24 / 12).cast("int").alias("page")).agg(F.array_join(F.collect_list(one), ",").alias("b"))
+    pages = role(spark, sf_dir, "clips").groupBy("account_id", list_of(o).alias("list"), (o % 24 / 12).cast("int").alias("page")).agg(F.array_join(F.collect_list(one), ",").alias("b"))
     form = F.col("list") % 4
     body = F.concat(F.lit('{"pages":'), F.when(form == 0, "3").when(form == 1, "101").otherwise("2"), F.lit(',"stems":['), "b", F.lit("]}"))
     stems, status = ingest.decode_stems(pages.select("account_id", F.concat(F.lit("l"), F.col("list").cast("string")).alias("clip_id"), "page", body.alias("payload")))

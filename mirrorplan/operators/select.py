@@ -23,7 +23,7 @@ def select_clips(clips: DataFrame, limit: int | None = None, since: int | str |
     """
     rows = dedupe_first(clips, ["account_id", "clip_id"], ["ord"]).withColumn("_ts", parse_created("created_at"))
     if since == "last-run":
-        rows = rows.join(F.broadcast(last_run.select("account_id", F.col("last_run").alias("_from"))), "account_id", "left")
+        rows = rows.join(last_run.select("account_id", F.col("last_run").alias("_from")), "account_id", "left")
     else:
         rows = rows.withColumn("_from", F.lit(None if since is None else max(0, now - since)).cast("bigint"))
     newest = Window.partitionBy("account_id").orderBy(F.coalesce("_ts", F.lit(0)).desc(), "ord")
@@ -65,7 +65,7 @@ def resolve_leads(clips: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     asked = wanted.select("account_id", strip("entry").alias("entry")).where("entry <> ''").distinct()
     sizes = asked.groupBy("account_id").agg(F.collect_set(F.length("entry")).alias("sizes"))
-    keyed = clips.select("account_id", "clip_id").distinct().join(F.broadcast(sizes), "account_id").withColumn("size", F.explode("sizes"))
+    keyed = clips.select("account_id", "clip_id").distinct().join(sizes, "account_id").withColumn("size", F.explode("sizes"))
     keyed = keyed.where(F.length("clip_id") >= F.col("size")).withColumn("key", F.lower(F.left("clip_id", F.col("size"))))
     found = keyed.groupBy("account_id", "key").agg(F.count("*").alias("n"), F.min("clip_id").alias("clip_id"))
     rows = asked.withColumn("key", F.lower("entry")).join(found, ["account_id", "key"], "left")

@@ -52,10 +52,20 @@ def _bucket() -> F.Column:
     return F.pmod(F.xxhash64("account_id"), F.lit(BUCKETS)).cast("int").alias(_BUCKET)
 
 
+def _claimed(spark: SparkSession, path: str, version: int) -> int:
+    """The first version from this one on that no other writer has: a file of its number can be made once only."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while True:
+        file = jvm.org.apache.hadoop.fs.Path(f"{path}/claims/{version}")
+        if file.getFileSystem(conf).createNewFile(file):
+            return version
+        version += 1
+
+
 def write_state(df: DataFrame, path: str, by_account: bool = False) -> int:
     """Write df as the next version of the table under path, in folders by account bucket if asked; returns its number."""
     spark = df.sparkSession
-    version = _current(spark, path)[0] + 1
+    version = _claimed(spark, path, _current(spark, path)[0] + 1)
     folder = f"v{version}-{uuid.uuid4().hex}"
     if by_account:
         df.select("*", _bucket()).write.partitionBy(_BUCKET).parquet(f"{path}/{folder}")

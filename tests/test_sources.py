@@ -50,6 +50,7 @@ def test_versions_of_state(spark, tmp_path):
         df = state.read_state(spark, path, schema).union(spark.createDataFrame([(f"c{k}", k)], schema))
         assert state.write_state(df, path) == k
     assert sorted(map(tuple, state.read_state(spark, path, schema).collect())) == [("c1", 1), ("c2", 2)]
+    assert [state._claimed(spark, f"{tmp_path}/both", 1) for _ in range(3)] == [1, 2, 3]  # writers at once take numbers of their own
     current = next(p for p in (tmp_path / "manifest").iterdir() if p.name.startswith("v2"))
     for f in current.glob("*.parquet"):
         f.write_bytes(b"broken")
@@ -59,6 +60,11 @@ def test_versions_of_state(spark, tmp_path):
     assert {k: v.count() for k, v in state.read_lineage(spark, f"{tmp_path}/lineage", {"nodes": "id bigint", "edges": "id bigint", "roots": "id bigint"}).items()} == {"nodes": 2, "edges": 3, "roots": 0}
     last = state.stamp_runs(spark.createDataFrame([("1", 5), ("2", 6)], "account_id string, last_run bigint"), spark.createDataFrame([("2",), ("3",)], "account_id string"), 9)
     assert sorted(map(tuple, last.collect())) == [("1", 5), ("2", 9), ("3", 9)]
+    rows = spark.createDataFrame([(str(k), k) for k in range(60)], "account_id string, n int")
+    state.write_lineage({"nodes": rows}, f"{tmp_path}/buckets")
+    some = state.read_lineage(spark, f"{tmp_path}/buckets", {"nodes": rows.schema}, ["7", "41", "none"])["nodes"]
+    assert sorted(map(tuple, some.collect())) == [("41", 41), ("7", 7)] and some.columns == rows.columns
+    assert state.read_lineage(spark, f"{tmp_path}/buckets", {"nodes": rows.schema})["nodes"].count() == 60
     packed = spark.createDataFrame([("verified:s:c",), ("verified-art:s:",), ("plain",)], "h string")
     assert [tuple(r) for r in packed.select(*(v.alias(k) for k, v in state.unpack_verified("h").items())).collect()] == [("s", "c"), ("s", ""), ("plain", None)]
 
@@ -76,6 +82,17 @@ def test_inventory_of_a_folder(spark, tmp_path):
     assert [r.path for r in orphan_files(found, m, m.limit(0)).collect()] == ["a/y.flac"]
 
 
+def test_unreadable_is_not_missing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/good.txt").write_bytes(b"text")
+    (tmp_path / "in/bad.txt").write_bytes(b"kept from us")
+    (tmp_path / "in/.bad.txt.crc").write_bytes(b"crc\0\0\0\2\0\0\0\0\0\0")  # a checksum that does not fit: the read fails
+    found = state.scan_inventory(spark, str(tmp_path / "in"), "1")
+    recorded = spark.createDataFrame([("1", p) for p in ("good.txt", "bad.txt", "lost.txt")], "account_id string, path string")
+    got = {r.path: (r.exists, r.unreadable, r.content_hash is None) for r in state.probe(recorded, found).collect()}
+    assert got == {"good.txt": (True, False, False), "bad.txt": (True, True, True), "lost.txt": (False, False, True)}
+
+
 def test_streams(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
