@@ -122,8 +122,10 @@ def anchor_links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     visitors = _jaccard.with_component(meets.select("anchor", "a"), comps, "a", "ca")
     residents = _jaccard.with_component(_homes(fps).join(meets.select("anchor").distinct(), "anchor", "left_semi"), comps, "b", "cb")
     visitors, residents = materialise(visitors, "visitors"), materialise(residents, "residents")
-    groups = visitors.select("anchor", "ca").distinct().join(residents.select("anchor", "cb").distinct(), "anchor").where("ca <> cb")
-    rest = groups.join(visitors, ["anchor", "ca"]).join(residents, ["anchor", "cb"]).where(f"bit_count(a ^ b) <= {int(max_distance)}")
+    both = visitors.select("anchor", F.col("ca").alias("c")).union(residents.select("anchor", F.col("cb").alias("c")))
+    mixed = both.groupBy("anchor").agg(F.min("c").alias("c"), F.max("c").alias("d")).where("c <> d").select("anchor")
+    v, r = visitors.join(mixed, "anchor", "left_semi").alias("v"), residents.join(mixed, "anchor", "left_semi").alias("r")
+    rest = v.join(r, F.expr(f"v.anchor = r.anchor and ca <> cb and bit_count(a ^ b) <= {int(max_distance)}"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialise(stars.union(rest), "links")
     for done in (meets, stars, comps, visitors, residents):
