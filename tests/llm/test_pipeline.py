@@ -3,7 +3,7 @@ from mirrorplan.llm.queries import vocabulary
 from tests.llm.test_decontaminate import words
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import plain_components
+from tests.llm.test_nearcopies import plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def test_each_stage_against_a_plain_one(spark, tmp_path):
     assert {r.doc_id: r.text for r in lined} == {i: t for i, t in want.items() if t.strip()}
     assert all(r.n_chars == len(r.text) for r in lined)
     groups = plain_components([(r.doc_id, r.text) for r in lined])
-    assert {r.doc_id for r in single} == {c for _, _, c in groups}
+    assert {r.doc_id for r in single} == {c for _, c in groups}
     items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     wins = {tuple(w[k : k + 10]) for w in items for k in range(len(w) - 9)}
     hit = lambda t: any(tuple(words(t)[k : k + 10]) in wins for k in range(len(words(t)) - 9))
@@ -44,3 +44,25 @@ def test_quality_stage_rejects_bad_documents(spark):
 
 def test_run(spark):
     assert cp.run(spark, SF).count() > 0
+
+
+def test_stages_on_edges_of_input(spark):
+    """Nulls, blanks, repeated rows and clashing names: no stage fails, columns stay, and each case has its defined result."""
+    prose = "Plain words of a document that someone wrote, long enough to be a line of its own."
+    rows = [(1, None), (2, ""), (3, " \n"), (4, prose), (4, prose), (5, prose), (None, prose), (None, None), (6, "a b"), (6, "c d e f"), (7, "x " * 4000)]
+    clash = ("'k' as key", "'f' as fp", "1 as did", "'h' as hits", "2 as size", "'s' as lead", "true as component")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "cast(0 as int) as n_chars", *clash)
+    kept = {}
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        kept[name] = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+    assert {(None, None), (1, None), (2, ""), (3, " \n"), (None, prose)} <= set(kept["line dedup"]) and (5, prose) not in kept["line dedup"]
+    near = kept["near-duplicates"]
+    assert [i for i, _ in near if i is not None] == [1, 4, 6, 7] and near.count((4, prose)) == 1 and (6, "a b") in near
+    assert (None, prose) in near and (None, None) in near
+    assert kept["benchmark decontamination"] == sorted(rows, key=str)
+    packed = cp.packing_stage(spark, docs, SF).collect()
+    assert sum(r.length for r in packed if r.doc_id == 1) == 1 and sum(r.length for r in packed) > len(rows)
+    assert cp.packing_stage(spark, docs.limit(0), SF).collect() == []
