@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._state import discard, materialise
-from ._text import column, gram_hashes, mix
+from ._text import column, gram_hashes, mix, split_pieces
 from .components import connected_components
 
 SHINGLE = 5
@@ -32,8 +32,8 @@ _PIECE = 1 << 16
 
 def token_set(text: bytes | None) -> np.ndarray:
     """The distinct tokens of a text, ascending; a text of fewer words is one shingle, one of none has no token."""
-    words = text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    pieces = split_pieces((text or b"").lower())  # bytes: A-Z and ASCII white space only
+    h = np.concatenate([np.zeros(0, np.uint64), *(np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)) for w in pieces)])
     return np.unique(gram_hashes(h, min(SHINGLE, len(h)))) if len(h) else h
 
 

@@ -6,6 +6,7 @@ bytes laid end to end; words are runs of bytes for which a 256-entry table is tr
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,19 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def split_pieces(text: bytes, limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text that ASCII white space parts, from about `limit` bytes at a time."""
+    at = 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + limit)
+        end = cut.start() if cut else len(text)
+        yield text[at:end].split()
+        at = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads a 64-bit value over all its bits."""
     x = x ^ (x >> np.uint64(30))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _jaccard
 from ._state import discard, materialise
-from ._text import column
+from ._text import column, split_pieces
 from .components import connected_components
 
 MAX_DISTANCE = 3
@@ -37,26 +37,32 @@ _PIECE = 1 << 16
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     """Fingerprint of one text: a bit is 1 if it is set in over half the shingles' XXH64."""
-    words = text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
-    n = len(words) - shingle + 1
-    if not words:
-        return 0
-    if n < 1:
-        n, parts = 1, iter([b" ".join(words)])
-    else:
-        joined = b" ".join(words)
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends[: n - 1]]
-        parts = (joined[a : b - 1] for a, b in zip(starts, ends[shingle - 1 :], strict=True))
+    counts, n, left = np.zeros(64, np.int64), 0, []
+    for words in split_pieces((text or b"").lower()):  # bytes: A-Z and ASCII white space only
+        words = left + words
+        size = max(0, len(words) - shingle + 1)
+        left = words[size:]
+        counts += _bit_counts(words, shingle, size, seed)
+        n += size
+    if not n and left:
+        n, counts = 1, _bit_counts(left, len(left), 1, seed)
+    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def _bit_counts(words: list[bytes], shingle: int, n: int, seed: int) -> np.ndarray:
+    """How many of the first n shingles' hashes have each bit."""
+    counts = np.zeros(64, np.int64)
+    joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends[: max(0, n - 1)]]
+    parts = (joined[a : b - 1] for a, b in zip(starts, ends[shingle - 1 :], strict=False))
     digest = xxhash.xxh64_intdigest
-    counts, left = np.zeros(64, np.int64), n
-    while left:
-        size = min(left, _PIECE)
+    while n:
+        size = min(n, _PIECE)
         h = np.fromiter((digest(p, seed) for p in islice(parts, size)), np.uint64, size)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-        left -= size
-    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n -= size
+    return counts
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

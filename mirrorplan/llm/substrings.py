@@ -23,7 +23,6 @@ is found again by one lane. Anchors only group, and have one lane: a false meeti
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from itertools import chain, compress
 from typing import NamedTuple
@@ -35,12 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._state import discard, materialise
-from ._text import CHUNK_BYTES, byte_table, chunks, column, mix, split_words, text_buffers
+from ._text import CHUNK_BYTES, byte_table, chunks, column, mix, split_pieces, split_words, text_buffers
 
 WINDOW = 20
 SEED = 5
 _SPACE = byte_table("space")
-_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _PLACE_BITS = np.uint64(22)  # of a word in a piece: pieces hold two bytes a word and CHUNK_BYTES of text
 _FIRST = -(1 << 63)  # a null doc_id stands before all others
 _LANES = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25))
@@ -58,16 +56,6 @@ def _piece(words: Iterable[bytes], row: np.ndarray) -> Piece:
     return Piece(row, (both[:, 0].copy(), both[:, 1].copy()))
 
 
-def _split(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, from about CHUNK_BYTES at a time."""
-    at = 0
-    while at < len(text):
-        cut = _BLANK.search(text, at + CHUNK_BYTES)
-        end = cut.start() if cut else len(text)
-        yield text[at:end].split()
-        at = end
-
-
 def _pieces(data: np.ndarray, offs: np.ndarray, i: int, j: int) -> Iterator[Piece]:
     """Rows i..j, which chunks() gave: one piece, or several of one long row, whose windows each lie in one piece."""
     if offs[j] - offs[i] <= CHUNK_BYTES:
@@ -75,7 +63,7 @@ def _pieces(data: np.ndarray, offs: np.ndarray, i: int, j: int) -> Iterator[Piec
         yield _piece(chain.from_iterable(words), np.repeat(np.arange(i, j), [len(w) for w in words]))
         return
     left = (np.zeros(0, np.uint64),) * 2
-    for words in _split(data[offs[i] : offs[j]].tobytes()):
+    for words in split_pieces(data[offs[i] : offs[j]].tobytes(), CHUNK_BYTES):
         new = _piece(words, np.zeros(0, np.int64)).lanes
         lanes = tuple(np.concatenate(both) for both in zip(left, new, strict=True))
         yield Piece(np.full(len(lanes[0]), i), lanes)
@@ -265,7 +253,7 @@ def _each_text(batch: pa.RecordBatch, reaches: str, windows: str) -> Iterator[tu
 def _kept(text: bytes, gone: np.ndarray | None) -> tuple[int, int, str]:
     """Number of words, of those that go, and the digest of the others."""
     digest, n, first = hashlib.sha256(), 0, True
-    for words in _split(text):
+    for words in split_pieces(text):
         kept = words if gone is None else list(compress(words, ~gone[n : n + len(words)]))
         n += len(words)
         if kept:

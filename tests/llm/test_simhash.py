@@ -4,7 +4,7 @@ import re
 
 import xxhash
 
-from mirrorplan.llm import simhash
+from mirrorplan.llm import _text, simhash
 from mirrorplan.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,6 +92,20 @@ def test_links_join_what_pairs_join(spark):
     assert len(edges) <= 32 * len(fps) < len(pairs)
 
 
+def test_long_texts_go_in_pieces(monkeypatch):
+    rnd = random.Random(8)
+    texts = [" ".join(f"W{rnd.randrange(50)}" for _ in range(k)) for k in (0, 1, 2, 3, 4, 5, 9, 200)] + ["x" * 90, " \t", "a  b"]
+    whole = [(simhash.fingerprint(t.encode()), simhash._jaccard.token_set(t.encode()).tolist()) for t in texts]
+    for size in (1, 7, 30):
+        for module in (simhash, simhash._jaccard):
+            monkeypatch.setattr(module, "split_pieces", lambda t, n=size: _text.split_pieces(t, n))
+        assert [(simhash.fingerprint(t.encode()), simhash._jaccard.token_set(t.encode()).tolist()) for t in texts] == whole
+    monkeypatch.undo()
+    assert [f for f, _ in whole] == [plain_fp(t) for t in texts]
+    big = b" ".join([b"some words of a long text"] * 2_100_000)  # over 50 MB
+    assert len(big) > 50 << 20 and simhash.fingerprint(big) == simhash.fingerprint(big[: 26 * 1000 - 1])
+
+
 def test_edges_of_input(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash.near_duplicates(empty).collect() == []
