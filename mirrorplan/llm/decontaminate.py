@@ -235,27 +235,50 @@ def _cut_block(docs: DataFrame, tests) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def _cut_runs(seen: DataFrame, schema: T.StructType, hits: str) -> DataFrame:
+    """The rows of scan() with all their covered runs cut at once; texts left wordless go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, runs = column(batch, "text").to_pylist(), column(batch, hits).to_pylist()
+            stay = np.ones(batch.num_rows, bool)
+            for r, found in enumerate(runs):
+                if found:
+                    text = np.frombuffer(texts[r].encode(), np.uint8)
+                    starts, ends, _ = split_words(LOWER[text], np.array([0, len(text)]), _WORD)
+                    keep = np.ones(len(text), bool)
+                    for x, y in zip(found[::2], found[1::2], strict=True):
+                        keep[starts[x] : ends[y - 1]] = False
+                    texts[r] = text[keep].tobytes().decode()
+                    stay[r] = bool(_WORD[LOWER[text[keep]]].any())
+            columns = [pa.array(texts, f.type) if f.name == "text" else column(batch, f.name) for f in batch.schema if f.name in schema.names]
+            yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(stay))
+
+    return seen.mapInArrow(run, schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "spans") -> DataFrame:
     """docs without contamination; all columns stay.
 
     remove='documents' drops every document with a hit. remove='spans' cuts each covered run of words
     from the text, with what stands between them, again until the text holds no window; a document
-    that had words and keeps none is dropped. Documents without a hit stay as they are.
+    that had words and keeps none is dropped. Documents without a hit stay as they are. A benchmark of
+    several blocks gives the same result: what all blocks cover is gathered before anything is cut.
     """
+    if remove not in ("documents", "spans"):
+        raise ValueError(remove)
+    names = tuple(_free(docs, x) for x in ("_hits", "_items", "_words"))
     if remove == "documents":
-        names = tuple(_free(docs, x) for x in ("_hits", "_items", "_words"))
         return scan(docs, benchmark, n, names).where(F.size(names[0]) == 0).drop(*names)
-    if remove != "spans":
-        raise ValueError(remove)
+    for tests, several in _blocks(benchmark, n):
+        if not several:
+            return _cut_block(docs, tests)
+        break
     while True:
-        several = False
-        for tests, several in _blocks(benchmark, n):
-            docs = _cut_block(docs, tests)
-            if several:
-                docs = materialise(docs, "decontaminate")
-                tests.unpersist()
-        if not several or scan(docs.select("text"), benchmark, n).where("size(hits) > 0").isEmpty():
+        seen = scan(docs, benchmark, n, names)
+        if seen.where(F.size(names[0]) > 0).isEmpty():
             return docs
+        docs = materialise(_cut_runs(seen, docs.schema, names[0]), "decontaminate")
 
 
 def _free(docs: DataFrame, name: str) -> str:
