@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, packing, quality, simhash, substrings, topk, urls, warc
+from . import conversations, decontaminate, language, lines, packing, quality, simhash, substrings, topk, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audits(*conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_language": op2_language,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op11_conversations": op11_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
