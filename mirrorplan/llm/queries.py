@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, language, lines, packing, quality, simhash, substrings, topk, urls, warc
+from . import conversations, decontaminate, language, lines, packing, quality, simhash, substrings, topk, urls, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audits(*conversations.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_language": op2_language,
@@ -81,6 +85,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
     "op11_conversations": op11_conversations,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
