@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, language, lines, packing, quality, simhash, substrings, topk, urls, warc, whitening
+from . import conversations, decontaminate, language, lines, packing, quality, secrets, simhash, substrings, topk, urls, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_language": op2_language,
@@ -86,6 +90,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_conversations": op11_conversations,
     "op12_whitening": op12_whitening,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
