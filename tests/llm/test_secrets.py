@@ -69,16 +69,16 @@ def prose(spark, n=300):
 def test_novel(spark):
     docs = prose(spark)
     dictionary = secrets.learn_dictionary(spark.createDataFrame(docs, SCHEMA))
-    words = [w for _, t in docs if t for w in t.split() if re.fullmatch("[A-Za-z]{8,}", w)]
+    words = [w for w, _ in Counter(w for _, t in docs if t for w in t.split() if re.fullmatch("[A-Za-z]{8,}", w)).most_common(4)]
     planted = [
         (1, f"The login for the server is {KEY} they said", True),
         (2, f"my credential, {KEY} and again {KEY}.", True),
         (3, f"{KEY} stands alone with no word of that kind", False),
-        (4, "the secret was " + "_".join(RND.choices(words, k=4)), False),
+        (4, "the secret was " + "_".join(words), False),
         (5, "bearer of " + "a" * 60, False),
         (6, f"token={KEY}", False),  # a base span already
         (7, f"client_secret_{KEY}", True),
-        (8, "the access key is " + "/".join(["", *RND.choices(words, k=4)]), False),
+        (8, "the access key is " + "/".join(["", *words]), False),
     ]
     df = spark.createDataFrame([(k, t) for k, t, _ in planted], SCHEMA)
     found = {r["doc_id"]: r["spans"] for r in secrets.find(df, dictionary).collect()}
