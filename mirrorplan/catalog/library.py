@@ -162,16 +162,59 @@ def c06(spark, sf_dir):
     return select.resolve_playlist_refs(lists.select("account_id", ref.alias("ref")), lists)
 
 
+# Each customer's destination as it is in the end; the query spells it with dots, case, repeated separators and composition of its own.
+_ROOTS = """SELECT CAST(c_custkey AS VARCHAR) AS k, CASE WHEN c_custkey % 211 = 0 THEN '/' WHEN c_custkey % 17 = 0 THEN '//m/x' || (c_custkey % 40) || '/é' || CASE WHEN c_custkey % 3 = 0 THEN '/in' ELSE '' END WHEN c_custkey % 23 = 0 THEN '../m/' || (c_custkey % 40) || CASE WHEN c_custkey % 2 = 0 THEN '/x' ELSE '' END
+    ELSE '//m/' || (c_custkey % 40) || CASE WHEN c_custkey % 3 = 0 THEN '/sub/' || (c_custkey % 7) WHEN c_custkey % 3 = 1 THEN '0' ELSE '' END END AS root FROM customer"""
+
+
+def _spelled(spark, sf_dir):
+    k = F.col("c_custkey")
+    n = lambda m: (k % m).cast("string")
+    tail = F.when(k % 3 == 0, F.concat(F.lit("/Sub//"), n(7))).when(k % 3 == 1, "0/./").otherwise("")
+    top = F.when(k % 5 == 0, "/M/").when(k % 5 == 1, "/m/a/../").when(k % 5 == 2, "/../m/./b/c/../../").otherwise("//m/")
+    accented = F.concat(F.lit("/m/X"), n(40), F.when(k % 2 == 0, "/\u00e9").otherwise("/E\u0301"), F.when(k % 3 == 0, "/in/").otherwise(""))
+    relative = F.concat(F.when(k % 3 == 0, "../m/").otherwise("./q/../../M/"), n(40), F.when(k % 2 == 0, "/x").otherwise("/."))
+    root = F.when(k % 211 == 0, "/./..").when(k % 17 == 0, accented).when(k % 23 == 0, relative).otherwise(F.concat(top, n(40), tail))
+    return role(spark, sf_dir, "customer").select(k.cast("string").alias("account_id"), root.alias("root"))
+
+
 @query(
     "c16_overlapping_roots",
-    """WITH r AS (SELECT c_custkey AS k, '/m/' || (c_custkey % 40) || CASE WHEN c_custkey % 3 = 0 THEN '/sub/' || (c_custkey % 7) WHEN c_custkey % 3 = 1 THEN '0' ELSE '' END || '/' AS root FROM customer)
-        SELECT least(CAST(a.k AS VARCHAR), CAST(b.k AS VARCHAR)) AS account_a, greatest(CAST(a.k AS VARCHAR), CAST(b.k AS VARCHAR)) AS account_b
-        FROM r a JOIN r b ON a.k <> b.k AND starts_with(a.root, b.root) GROUP BY ALL""",
+    f"""WITH r AS ({_ROOTS}) SELECT least(a.k, b.k) AS account_a, greatest(a.k, b.k) AS account_b
+        FROM r a JOIN r b ON a.k <> b.k AND (starts_with(a.root || '/', b.root || '/') OR b.root = '/' AND starts_with(a.root, '/')) GROUP BY ALL""",
 )
 def c16(spark, sf_dir):
-    k = F.col("c_custkey")
-    tail = F.when(k % 3 == 0, F.concat(F.lit("/sub//"), (k % 7).cast("string"))).when(k % 3 == 1, "0/./").otherwise("")
-    return select.overlapping_roots(role(spark, sf_dir, "customer").select(k.cast("string").alias("account_id"), F.concat(F.lit("/m/"), (k % 40).cast("string"), tail).alias("root")))
+    return select.overlapping_roots(_spelled(spark, sf_dir))
+
+
+@query(
+    "c16_root_conflicts",
+    f"""WITH r AS ({_ROOTS}), p AS (SELECT a.k AS account_id, b.k AS other, a.root = b.root AS same, a.root <> b.root AND (starts_with(a.root || '/', b.root || '/') OR b.root = '/' AND starts_with(a.root, '/')) AS above,
+            a.root <> b.root AND (starts_with(b.root || '/', a.root || '/') OR a.root = '/' AND starts_with(b.root, '/')) AS below FROM r a JOIN r b ON a.k <> b.k)
+        SELECT account_id, count(*) FILTER (same) AS n_same, count(*) FILTER (above) AS n_above, count(*) FILTER (below) AS n_below, coalesce(min(other) FILTER (same), min(other) FILTER (above), min(other) FILTER (below)) AS example
+        FROM p WHERE same OR above OR below GROUP BY account_id""",
+)
+def c16b(spark, sf_dir):
+    return select.root_conflicts(_spelled(spark, sf_dir))
+
+
+_LABELS = "SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN lower(c_name) WHEN c_custkey % 3 = 1 THEN replace(lower(c_name), '#', '-') || '-x' ELSE 'acc' || CASE WHEN c_custkey % 7 < 3 THEN '-' ELSE '_' END || CAST(c_custkey % 250 AS STRING) END AS label FROM {customer}"
+
+
+@query("c16_label_prefixes", f"WITH l AS ({_LABELS}), p AS (SELECT label, replace(upper(label), '-', '_') AS prefix FROM l) SELECT label, prefix, count(*) OVER (PARTITION BY prefix) AS n FROM p QUALIFY n > 1")
+def c16c(spark, sf_dir):
+    return select.label_prefixes(spark.sql(_LABELS, customer=role(spark, sf_dir, "customer")))
+
+
+@query(
+    "b26_blank_templates",
+    """SELECT account_id, CASE WHEN k % 2 = 0 THEN 'own' WHEN k % 3 = 0 THEN ' ' ELSE 'base' END AS naming_template, CASE WHEN k % 3 = 0 THEN 'naming_template' ELSE '' END AS invalid FROM {accounts}""",
+)
+def b26b(spark, sf_dir):
+    """A blank template is refused at any tier, also where another one decides."""
+    a = role(spark, sf_dir, "accounts")
+    layer = lambda tier, value, where: a.where(where).select("account_id", F.lit(tier).alias("tier"), F.lit("naming_template").alias("key"), F.lit(value).alias("value"))
+    return select.layered_settings(layer(6, "base", "true").union(layer(1, "own", "k % 2 = 0")).union(layer(3, " ", "k % 3 = 0")), ["naming_template"])
 
 
 _TS = CREATED_SQL

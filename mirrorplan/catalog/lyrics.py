@@ -168,13 +168,13 @@ def i09(spark, sf_dir):
 
 @query(
     "h15_tag_differences",
-    "SELECT account_id, clip_id, concat_ws(',', CASE WHEN title <> trim(title) THEN 'title' END, CASE WHEN ord % 3 = 0 THEN 'genre' END) AS fields FROM {clips} WHERE title <> ''",
+    "SELECT account_id, clip_id, concat_ws(',', CASE WHEN title <> trim(title) THEN 'title' END, CASE WHEN ord % 3 = 0 THEN 'genre' END) AS fields FROM {clips}",
 )
 def h15(spark, sf_dir):
     tags = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
     seen = tags("title", F.array("title"), "genre", F.when(F.col("ord") % 3 == 0, F.array("tags", "tags")).otherwise(F.array("tags", F.lit(""))), "note", F.array(F.lit("")))
     want = tags("title", F.array(F.trim("title")), "genre", F.array("tags"))
-    return role(spark, sf_dir, "clips").where("title <> ''").select("account_id", "clip_id", F.array_join(lyrics.tag_differences(seen, want, ["title", "genre", "note"]), ",").alias("fields"))
+    return role(spark, sf_dir, "clips").select("account_id", "clip_id", F.array_join(lyrics.tag_differences(seen, want, ["title", "genre", "note"]), ",").alias("fields"))
 
 
 @query(

@@ -237,20 +237,98 @@ def a14(spark, sf_dir):
     return reports.library_index(role(spark, sf_dir, "manifest").drop("ord"), node, rows.where("ord % 5 = 0").withColumn("root_id", F.col("tags")), rows.where("ord % 4 <> 0"), rows.where("ord % 2 = 0").withColumn("album", F.col("tags")))
 
 
-@query("a15_export_listing", "SELECT account_id, clip_id, concat_ws(chr(9), clip_id, printf('%.1fs', duration), CASE WHEN length(title) <= 48 THEN title ELSE left(title, 47) || '…' END, tags) AS line FROM {clips} WHERE ord % 4 <> 1 AND ord % 4 <> 3")
+def cut_sql(x: str, size: int) -> str:
+    return f"CASE WHEN length({x}) <= {size} THEN {x} ELSE left({x}, {size - 1}) || '…' END"
+
+
+_TITLED = "CASE WHEN trim(title) = '' THEN 'Untitled' ELSE title END"
+_LISTING = f"""SELECT account_id, clip_id, concat_ws(chr(9), clip_id, printf('%.1fs', duration), {cut_sql(_TITLED, 48)}, tags) AS line FROM {{clips}}"""
+_JSON = ", ".join(f"'{k}', " + {"id": "clip_id", "title": _TITLED, "has_vocal": "FALSE"}.get(k, f"nullif({k}, '')" if k in reports.NULLABLE else k) for k in reports.LISTED)
+
+
+@query("a15_export_listing", _LISTING)
 def a15(spark, sf_dir):
-    return reports.export_listing(role(spark, sf_dir, "clips").where("ord % 4 in (0, 2)")).drop("json")
+    return reports.export_listing(role(spark, sf_dir, "clips")).drop("json")
+
+
+@query("a15_export_json", f"SELECT account_id, clip_id, CAST(json_object({_JSON}) AS VARCHAR) AS json FROM {{clips}}")
+def a15b(spark, sf_dir):
+    return reports.export_listing(role(spark, sf_dir, "clips")).drop("line")
+
+
+_KIND = "CASE slot_kind WHEN 'cover_jpg' THEN 'cover.jpg' WHEN 'details_txt' THEN 'details.txt' WHEN 'folder_mp4' THEN 'cover.mp4' WHEN 'cover_webp' THEN 'cover.webp' ELSE slot_kind END"
 
 
 @query(
     "a19_plan_report",
-    """WITH c AS (SELECT account_id, clip_id, ord, row_number() OVER (PARTITION BY account_id ORDER BY clip_id) AS seq, count(*) OVER (PARTITION BY account_id) AS n FROM {clips})
-        SELECT account_id, CAST(seq AS INTEGER) AS seq, CASE WHEN ord % 3 = 0 THEN '[FAILED] ' ELSE '' END || 'RENAME ' || left(clip_id, 8) || ' x -> y' AS line FROM c WHERE seq <= 20 UNION ALL SELECT DISTINCT account_id, 21, '… and ' || (n - 20) || ' more' FROM c WHERE n > 20""",
+    f"""WITH r AS (SELECT p.*, row_number() OVER (PARTITION BY p.account_id ORDER BY p.clip_id) AS seq, left(p.clip_id, 8) AS id, CASE WHEN p.ord % 3 = 0 THEN '  [FAILED]' ELSE '' END AS f, {cut_sql(_TITLED, 40)} AS t, {_KIND} AS kind
+            FROM {{report_plan}} p JOIN {{clips}} c ON c.account_id = p.account_id AND c.clip_id = p.clip_id)
+        SELECT account_id, CAST(seq AS INTEGER) AS seq, CASE action WHEN 'download' THEN '  download  ' || id || '  ' || t || '  ' || path || f WHEN 'reformat' THEN '  reformat  ' || id || '  ' || t || '  -> ' || format || ' ' || path || f
+            WHEN 'retag' THEN '  tag       ' || id || '  ' || t || '  tags updated' || f WHEN 'rename' THEN '  rename    ' || from_path || ' -> ' || path WHEN 'delete' THEN '  delete    ' || id || '  ' || path || '  removed (absent from source)' || f
+            WHEN 'skip' THEN '  skip      ' || id || '  already up to date' WHEN 'unverifiable' THEN '  verify    ' || id || '  ' || path || '  ' || {cut_sql('reason', 80)} || f WHEN 'verify_artifact' THEN '  skip      ' || id || '  ' || kind || ' verified at ' || path
+            WHEN 'verify_audio' THEN '  skip      ' || id || '  audio metadata verified' WHEN 'write_artifact' THEN '  artifact  ' || id || '  ' || kind || '  -> ' || path || f WHEN 'move_artifact' THEN '  artifact  ' || id || '  ' || kind || '  ' || from_path || ' -> ' || path || f
+            WHEN 'delete_artifact' THEN '  artifact  ' || id || '  ' || kind || '  removed ' || path || f WHEN 'write_stem' THEN '  stem      ' || id || '  ' || slot_key || '  -> ' || path || f WHEN 'move_stem' THEN '  stem      ' || id || '  ' || slot_key || '  ' || from_path || ' -> ' || path || f
+            ELSE '  stem      ' || id || '  ' || slot_key || '  removed ' || path || f END AS line FROM r""",
 )
 def a19(spark, sf_dir):
+    """Every action of the plan as a line; failed clips are marked."""
     rows = role(spark, sf_dir, "clips")
-    p = aimed(spark, sf_dir)[0].withColumns({"action": F.lit("rename"), "from_path": F.lit("x"), "path": F.lit("y")})
-    return reports.plan_report(plan_catalog.plan.order_plan(p), rows.where("ord % 3 = 0"))
+    return reports.plan_report(plan_catalog.plan.order_plan(role(spark, sf_dir, "report_plan")), rows.where("ord % 3 = 0"), rows)
+
+
+def _lines(pairs, values):
+    return " || ".join(f"chr(10) || '  {label:<11} ' || lpad(CAST({values.get(n, n)} AS VARCHAR), CAST(greatest(4, length(CAST({values.get(n, n)} AS VARCHAR))) AS INTEGER), ' ')" for label, n in pairs)
+
+
+@query("a19_dry_summary", f"SELECT account_id, 'Dry run: ' || account_id || ' (no changes made)' || {_lines(reports.PENDING, {})} AS text FROM (SELECT account_id, {_COUNTS}, count(*) AS total FROM {{report_plan}} GROUP BY account_id)")
+def a19b(spark, sf_dir):
+    return reports.dry_summary(role(spark, sf_dir, "report_plan"))
+
+
+_RAN = {n: f"count(*) FILTER (WHERE o_orderkey % 9 = {k})" for k, (_, n) in enumerate(reports.DONE[:-1])}
+_ALL = "count(*) FILTER (WHERE o_orderkey % 9 < 8)"
+_SECS = "CAST(sum(o_orderkey % 400) AS DOUBLE) / 4"
+
+
+@query(
+    "a19_run_summary",
+    f"""SELECT account_id, CASE x WHEN 0 THEN 'Sync aborted: ' || account_id || ' (disk full, run stopped early)' WHEN 1 THEN 'Sync aborted: ' || account_id || ' (authentication failed, run stopped early)' ELSE 'Sync complete: ' || account_id END
+        || {_lines(reports.DONE, {})} || chr(10) || 'Duration: ' || printf('%.1fs', secs) AS text
+        FROM (SELECT CAST(o_custkey AS VARCHAR) AS account_id, o_custkey % 7 AS x, {', '.join(f'{v} AS {k}' for k, v in _RAN.items())}, {_ALL} AS total, {_SECS} AS secs FROM orders GROUP BY o_custkey)""",
+)
+def a19c(spark, sf_dir):
+    o = F.col("o_orderkey")
+    runs = role(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(*(F.count_if(o % 9 == k).alias(n) for k, (_, n) in enumerate(reports.DONE[:-1])), (F.sum(o % 400).cast("double") / 4).alias("seconds"))
+    status = F.when(F.col("k") % 7 == 0, "disk_full").when(F.col("k") % 7 == 1, "auth_aborted").otherwise("completed")
+    return reports.run_summary(runs.withColumns({"account_id": F.col("k").cast("string"), "status": status}), "Sync")
+
+
+def _blocks(head: str, more: str, end: str, source: str) -> str:
+    return f"""WITH p AS ({source}), r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY path) AS k, count(*) OVER (PARTITION BY account_id) AS n FROM p)
+        SELECT account_id, {head} || string_agg(CASE WHEN k <= 20 THEN '  ' || path || chr(10) ELSE '' END, '' ORDER BY k) || CASE WHEN any_value(n) > 20 THEN {more} ELSE '' END || {end} AS text FROM r GROUP BY account_id"""
+
+
+@query(
+    "a19_orphan_report",
+    _blocks(
+        "'note: ' || any_value(n) || ' untracked audio file(s) on disk, not touched (moved or renamed by hand, or from an older layout):' || chr(10)", "'  ... and ' || (any_value(n) - 20) || ' more' || chr(10)",
+        "'  Move each into place or delete it; a re-sync re-downloads any a clip still needs.'", "SELECT account_id, clip_id || '.mp3' AS path FROM {clips} WHERE CAST(account_id AS INTEGER) % 2 = 0 OR ord % 60 = 7",
+    ),
+)
+def a19d(spark, sf_dir):
+    rows = role(spark, sf_dir, "clips").where("CAST(account_id AS INTEGER) % 2 = 0 OR ord % 60 = 7")
+    return reports.orphan_report(rows.select("account_id", F.concat("clip_id", F.lit(".mp3")).alias("path")))
+
+
+@query(
+    "a19_delete_prompt",
+    _blocks(
+        "'sync will delete ' || any_value(n) || ' local file(s) that are no longer in the source:' || chr(10)", "'  ... and ' || (any_value(n) - 20) || ' more (run with -v to see the full list)' || chr(10)", "chr(10) || 'Proceed?'",
+        "SELECT account_id, path FROM {report_plan} WHERE action IN ('delete', 'delete_artifact', 'delete_stem')",
+    ),
+)
+def a19e(spark, sf_dir):
+    return reports.delete_prompt(reports.deletion_paths(role(spark, sf_dir, "report_plan")))
 
 
 @query(

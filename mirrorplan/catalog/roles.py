@@ -162,4 +162,11 @@ ROLES |= {
     "all_files": """
         SELECT account_id, path, exists, size, content_hash, unreadable FROM {inventory} UNION ALL SELECT account_id, path, exists, size, content_hash, unreadable FROM {album_files}
         UNION ALL SELECT account_id, path, exists, size, content_hash, unreadable FROM {playlist_files}""",
+    "report_plan": """
+        SELECT account_id, clip_id, ord, 0 AS section, 0 AS step, CASE ord % 15 WHEN 0 THEN 'download' WHEN 1 THEN 'reformat' WHEN 2 THEN 'retag' WHEN 3 THEN 'rename' WHEN 4 THEN 'delete' WHEN 5 THEN 'skip' WHEN 6 THEN 'unverifiable' WHEN 7 THEN 'verify_artifact'
+                WHEN 8 THEN 'verify_audio' WHEN 9 THEN 'write_artifact' WHEN 10 THEN 'move_artifact' WHEN 11 THEN 'delete_artifact' WHEN 12 THEN 'write_stem' WHEN 13 THEN 'move_stem' ELSE 'delete_stem' END AS action,
+            CASE WHEN ord % 15 IN (7, 9, 10, 11) THEN CASE ord % 6 WHEN 0 THEN 'cover_jpg' WHEN 1 THEN 'details_txt' WHEN 2 THEN 'lrc' WHEN 3 THEN 'folder_mp4' WHEN 4 THEN 'playlist' ELSE 'cover_webp' END WHEN ord % 15 > 11 THEN 'stem' ELSE '' END AS slot_kind,
+            CASE WHEN ord % 15 > 11 THEN 's' || CAST(ord % 3 AS STRING) ELSE '' END AS slot_key, 'a' || CAST(ord % 50 AS STRING) || '/' || clip_id AS path, CASE WHEN ord % 15 IN (3, 10, 13) THEN 'old/' || clip_id END AS from_path,
+            CASE WHEN ord % 2 = 0 THEN 'flac' ELSE 'mp3' END AS format, CASE WHEN ord % 15 = 6 THEN 'cannot read ' || title || ' ' || title || ' ' || title || ' ' || title END AS reason
+        FROM {clips}""",
 }

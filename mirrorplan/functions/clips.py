@@ -7,6 +7,7 @@ All run inside Spark's generated code; none is a Python UDF. Names of clip colum
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,6 +33,11 @@ MEDIA_BASE = "https://media.example.org"
 SONG_BASE = "https://www.example.org/song"
 
 
+#: Where the next tenth begins, as the nearest double, and whether that double itself counts up: it lies above the true
+#: place, or is the true place and a tie whose upper digit is even.
+_TENTHS = [(k / 20, Fraction(k / 20) > Fraction(k, 20) or Fraction(k / 20) == Fraction(k, 20) and (k + 1) // 2 % 2 == 0) for k in range(1, 20, 2)]
+
+
 def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -226,6 +232,21 @@ def minutes(x: str | Column) -> Column:
     return F.when((c(x) > 0) & (c(x) < F.lit(float("inf"))), F.format_string("%d:%02d", F.floor(total / 60), total % 60)).otherwise("")
 
 
+def tenths(x: str | Column) -> Column:
+    """One decimal of a double as text, rounded by its exact binary value, ties to the even digit; NaN, inf and -inf by name."""
+    size = F.abs(c(x))
+    part = size - F.floor(size)  # exact
+    passed = reduce(Column.__add__, ((part >= F.lit(edge) if up else part > F.lit(edge)).cast("int") for edge, up in _TENTHS))
+    whole = F.floor(size) + F.floor(passed / 10)
+    text = F.concat(F.when(c(x) < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), (passed % 10).cast("string"))
+    infinite = size == F.lit(float("inf"))
+    return F.when(F.isnan(c(x)), "NaN").when(infinite, F.when(c(x) < 0, "-inf").otherwise("inf")).otherwise(text)
+
+
+def title_or_untitled(x: str | Column = "title") -> Column:
+    return F.when(F.coalesce(strip(x), F.lit("")) == "", "Untitled").otherwise(c(x))
+
+
 def truncated(x: str | Column, size: int) -> Column:
     return F.when(F.length(c(x)) <= size, c(x)).otherwise(F.concat(F.left(c(x), F.lit(max(0, size - 1))), F.lit("…")))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clips as fn
@@ -113,26 +116,110 @@ def library_index(manifest: DataFrame, nodes: DataFrame, roots: DataFrame, clips
     )
 
 
+# The keys of a listing's JSON object in their order; those that are null where the string is empty.
+LISTED = (
+    "id", "title", "status", "duration", "created_at", "is_liked", "has_vocal", "clip_type", "tags", "prompt", "gpt_description_prompt", "lyrics", "model_name", "major_model_version",
+    "display_name", "handle", "edited_clip_id", "audio_url", "image_url", "image_large_url", "video_url", "video_cover_url",
+)
+NULLABLE = ("prompt", "gpt_description_prompt", "lyrics", "edited_clip_id")
+
+
 def export_listing(clips: DataFrame) -> DataFrame:
-    """(account_id, clip_id, line, json): a tab-separated row and a JSON object, absent strings null there."""
-    line = F.concat_ws("\t", "clip_id", F.format_string("%.1fs", "duration"), fn.truncated("title", 48), "tags")
-    fields = F.struct(
-        F.col("clip_id").alias("id"), "title", fn.present("created_at").alias("created_at"), "duration", fn.present("tags").alias("tags"), fn.present("display_name").alias("artist"), fn.present("image_url").alias("image_url"), "status"
-    )
+    """(account_id, clip_id, line, json) of every clip: a tab-separated row, and a JSON object of the LISTED keys.
+
+    Durations have one decimal, of the exact value and with ties to even. A clip without has_vocal has none.
+    """
+    line = F.concat_ws("\t", "clip_id", F.concat(fn.tenths("duration"), F.lit("s")), fn.truncated(fn.title_or_untitled(), 48), "tags")
+    special = {"id": F.col("clip_id"), "title": fn.title_or_untitled()} | ({} if "has_vocal" in clips.columns else {"has_vocal": F.lit(False)})
+    value = lambda k: special.get(k, fn.present(k) if k in NULLABLE else F.col(k))
+    fields = F.struct(*(value(k).alias(k) for k in LISTED))
     return clips.select("account_id", "clip_id", line.alias("line"), F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def plan_report(ordered: DataFrame, failed: DataFrame, limit: int = 20) -> DataFrame:
-    """(account_id, seq, line): the first `limit` rows of each account's plan as text, then how many more there are."""
-    rows = ordered.join(failed.select(*CLIP, F.lit(True).alias("_failed")).distinct(), CLIP, "left")
-    text = F.concat(
-        F.when(F.col("_failed"), "[FAILED] ").otherwise(""), F.upper("action"), F.lit(" "), fn.short_id("clip_id"),
-        F.when(F.col("from_path").isNotNull(), F.concat(F.lit(" "), "from_path", F.lit(" ->"))).otherwise(""), F.when(F.col("path").isNotNull(), F.concat(F.lit(" "), "path")).otherwise(""),
-    )
-    shown = rows.where(F.col("seq") <= limit).select("account_id", "seq", text.alias("line"))
-    more = ordered.groupBy("account_id").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    tail = more.select("account_id", F.lit(limit + 1).alias("seq"), F.concat(F.lit("… and "), (F.col("n") - limit).cast("string"), F.lit(" more")).alias("line"))
-    return shown.unionByName(tail)
+# The report's line of each action, the names of sidecars there, which lines can be marked as failed, and
+# the lines of the summaries with the buckets that they count.
+LINES = {
+    "download": "download  {id}  {title}  {path}",
+    "reformat": "reformat  {id}  {title}  -> {format} {path}",
+    "retag": "tag       {id}  {title}  tags updated",
+    "rename": "rename    {from_path} -> {path}",
+    "delete": "delete    {id}  {path}  removed (absent from source)",
+    "skip": "skip      {id}  already up to date",
+    "unverifiable": "verify    {id}  {path}  {reason}",
+    "verify_artifact": "skip      {id}  {kind} verified at {path}",
+    "verify_audio": "skip      {id}  audio metadata verified",
+    "write_artifact": "artifact  {id}  {kind}  -> {path}",
+    "move_artifact": "artifact  {id}  {kind}  {from_path} -> {path}",
+    "delete_artifact": "artifact  {id}  {kind}  removed {path}",
+    "write_stem": "stem      {id}  {slot_key}  -> {path}",
+    "move_stem": "stem      {id}  {slot_key}  {from_path} -> {path}",
+    "delete_stem": "stem      {id}  {slot_key}  removed {path}",
+}
+ARTIFACTS = {
+    "cover_jpg": "cover.jpg", "cover_webp": "cover.webp", "details_txt": "details.txt", "lyrics_txt": "lyrics.txt", "lrc": "lrc", "video_mp4": "video.mp4",
+    "folder_jpg": "folder.jpg", "folder_webp": "folder.webp", "folder_mp4": "cover.mp4", "playlist": "playlist",
+}
+UNMARKED = ("rename", "skip", "verify_artifact", "verify_audio")
+PENDING = (("to download", "downloaded"), ("to tag", "tagged"), ("to rename", "renamed"), ("to delete", "deleted"), ("sidecars", "sidecars"), ("up to date", "skipped"), ("unverified", "unverifiable"), ("total", "total"))
+DONE = (("downloaded", "downloaded"), ("tagged", "tagged"), ("renamed", "renamed"), ("deleted", "deleted"), ("sidecars", "sidecars"), ("skipped", "skipped"), ("unverified", "unverifiable"), ("failed", "failed"), ("total", "total"))
+ENDS = {"completed": "complete: {}", "disk_full": "aborted: {} (disk full, run stopped early)", "auth_aborted": "aborted: {} (authentication failed, run stopped early)"}
+
+
+def plan_report(ordered: DataFrame, failed: DataFrame, clips: DataFrame) -> DataFrame:
+    """(account_id, seq, line): every row of the plan as a line of text, marked where its clip failed. clips: (account_id, clip_id, title), for the titles."""
+    rows = ordered.join(failed.select(*CLIP, F.lit(True).alias("_failed")).distinct(), CLIP, "left").join(clips.select(*CLIP, "title"), CLIP, "left")
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in ARTIFACTS.items() for x in kv)), F.col("slot_kind")), F.col("slot_kind"))
+    known = {"id": fn.short_id("clip_id"), "title": fn.truncated(fn.title_or_untitled(), 40), "reason": fn.truncated("reason", 80), "kind": kind}
+    text = F.lit(None).cast("string")
+    for action, line in LINES.items():
+        parts = [F.coalesce(known.get(x, F.col(x)), F.lit("")) if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(\w+)\}", line)) if x]
+        mark = F.lit("") if action in UNMARKED else F.when(F.col("_failed"), "  [FAILED]").otherwise("")
+        text = F.when(F.col("action") == action, F.concat(F.lit("  "), *parts, mark)).otherwise(text)
+    return rows.select("account_id", "seq", text.alias("line"))
+
+
+def _counted(head: Column, lines: tuple[tuple[str, str], ...]) -> list[Column]:
+    right = lambda n: F.lpad(F.col(n).cast("string"), F.greatest(F.lit(4), F.length(F.col(n).cast("string"))), " ")
+    return [head, *(F.concat(F.lit(f"\n  {label:<11} "), right(n)) for label, n in lines)]
+
+
+def dry_summary(plan: DataFrame) -> DataFrame:
+    """(account_id, text): what a run of the plan would do, by bucket."""
+    head = F.concat(F.lit("Dry run: "), "account_id", F.lit(" (no changes made)"))
+    return plan_summary(plan).select("account_id", F.concat(*_counted(head, PENDING)).alias("text"))
+
+
+def run_summary(runs: DataFrame, verb: str) -> DataFrame:
+    """(account_id, status, seconds and a count for each bucket and `failed`) -> (account_id, text)."""
+    end = lambda s: F.concat(F.lit(f"{verb} {ENDS[s].split('{}')[0]}"), "account_id", F.lit(ENDS[s].split("{}")[1]))
+    head = F.when(F.col("status") == "disk_full", end("disk_full")).when(F.col("status") == "auth_aborted", end("auth_aborted")).otherwise(end("completed"))
+    rows = runs.withColumn("total", reduce(Column.__add__, (F.col(n) for _, n in DONE[:-1])))
+    return rows.select("account_id", F.concat(*_counted(head, DONE), F.lit("\nDuration: "), fn.tenths("seconds"), F.lit("s")).alias("text"))
+
+
+def first_paths(paths: DataFrame, show: int) -> DataFrame:
+    """(account_id, n, shown): how many paths an account has and its first `show` in order.
+
+    A rank with a fixed bound leaves few rows of an account in each task before they are dealt out, so no task holds a whole account.
+    """
+    rank = F.row_number().over(Window.partitionBy("account_id").orderBy("path"))
+    few = paths.select("account_id", "path").withColumn("_r", rank).where(F.col("_r") <= show)
+    few = few.groupBy("account_id").agg(F.array_sort(F.collect_list("path")).alias("shown"))
+    return paths.groupBy("account_id").agg(F.count("*").alias("n")).join(few, "account_id", "left").select("account_id", "n", F.coalesce("shown", F.array().cast("array<string>")).alias("shown"))
+
+
+def _block(head: str, more: str, end: str, show: int) -> Column:
+    """Head and remainder with {} for a count, around the shown paths."""
+    n = lambda text, count: F.concat(*(count.cast("string") if k % 2 else F.lit(t) for k, t in enumerate(re.split(r"(\{\})", text)) if t))
+    lines = F.array_join(F.transform("shown", lambda p: F.concat(F.lit("  "), p, F.lit("\n"))), "")
+    rest = F.when(F.col("n") > show, n(more, F.col("n") - show)).otherwise("")
+    return F.concat(n(head, F.col("n")), lines, rest, F.lit(end))
+
+
+def delete_prompt(deletions: DataFrame, show: int = 20) -> DataFrame:
+    """(account_id, path) -> (account_id, text): the question asked before a run that deletes."""
+    text = _block("sync will delete {} local file(s) that are no longer in the source:\n", "  ... and {} more (run with -v to see the full list)\n", "\nProceed?", show)
+    return first_paths(deletions, show).select("account_id", text.alias("text"))
 
 
 def orphan_files(inventory: DataFrame, manifest: DataFrame, manifest_slots: DataFrame) -> DataFrame:
@@ -142,8 +229,10 @@ def orphan_files(inventory: DataFrame, manifest: DataFrame, manifest_slots: Data
     return audio.withColumn("_key", naming.canonical_path_key("path")).join(tracked, ["account_id", "_key"], "left_anti").select("account_id", "path")
 
 
-def orphan_report(orphans: DataFrame, limit: int = 20) -> DataFrame:
-    """The first `limit` orphans of each account by path, and how many there are in all."""
-    per = Window.partitionBy("account_id")
-    rows = orphans.withColumns({"place": F.row_number().over(per.orderBy("path")), "n": F.count("*").over(per)})
-    return rows.where(F.col("place") <= limit)
+def orphan_report(orphans: DataFrame, show: int = 20) -> DataFrame:
+    """(account_id, path) -> (account_id, text): a note on files that nothing records, the first `show` of each account by name."""
+    text = _block(
+        "note: {} untracked audio file(s) on disk, not touched (moved or renamed by hand, or from an older layout):\n", "  ... and {} more\n",
+        "  Move each into place or delete it; a re-sync re-downloads any a clip still needs.", show,
+    )
+    return first_paths(orphans, show).select("account_id", text.alias("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clips import parse_created, strip
+from ..functions.naming import canonical_path_key
 
 
 def dedupe_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -93,26 +94,80 @@ def resolve_playlist_refs(refs: DataFrame, playlists: DataFrame) -> DataFrame:
     return best.select("account_id", "ref", outcome.alias("outcome"), F.when(F.coalesce(one, F.lit(False)), F.col("b.playlist_id")).alias("playlist_id"))
 
 
+def _stepped(so_far: Column, part: Column, absolute: Column) -> Column:
+    """The components with one more taken in, as text alone says: '..' takes one back, above the top of an absolute root it is nothing."""
+    can_pop = (F.size(so_far) > 0) & (F.coalesce(F.try_element_at(so_far, F.lit(-1)), F.lit("..")) != "..")
+    back = F.when(can_pop, F.slice(so_far, F.lit(1), F.greatest(F.size(so_far) - 1, F.lit(0)))).when(absolute, so_far).otherwise(F.array_append(so_far, F.lit("..")))
+    return F.when(part.isin("", "."), so_far).when(part == "..", back).otherwise(F.array_append(so_far, part))
+
+
+def root_parts(root: str | Column) -> Column:
+    """Components of a destination after '.', '..' and repeated separators, '/' first if it is absolute; case and composition folded."""
+    root = F.col(root) if isinstance(root, str) else root
+    absolute = F.startswith(root, F.lit("/"))
+    parts = F.aggregate(F.split(root, "/"), F.array().cast("array<string>"), lambda so_far, part: _stepped(so_far, part, absolute))
+    folded = F.split(canonical_path_key(F.array_join(parts, "/")), "/")
+    return F.concat(F.when(absolute, F.array(F.lit("/"))).otherwise(F.array().cast("array<string>")), F.filter(folded, lambda p: p != ""))
+
+
+def _above(parts: str) -> Column:
+    """The keys of all components' beginnings, from none to all."""
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def overlapping_roots(accounts: DataFrame) -> DataFrame:
-    """(account_id, root) -> (account_a, account_b): destinations that are equal or nested, component-wise.
+    """(account_id, root) -> (account_a, account_b): destinations that are one folder or lie in one another, component-wise.
 
-    Each root is joined to its own ancestors by hash, so no pair of unrelated accounts is formed.
+    Each root is joined to its own ancestors by hash, so no pair of unrelated accounts is formed. Where many accounts
+    may share a root, root_conflicts() says as much without pairs.
     """
-    parts = F.filter(F.split(F.regexp_replace("root", r"/\./|//+", "/"), "/"), lambda p: ~p.isin("", "."))
-    rows = accounts.select("account_id", parts.alias("parts"))
+    rows = accounts.select("account_id", root_parts("root").alias("parts"))
     own = rows.select(F.col("account_id").alias("x"), F.array_join("parts", "/").alias("at"))
-    above = rows.select(F.col("account_id").alias("y"), F.explode(F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/"))).alias("at"))
+    above = rows.select(F.col("account_id").alias("y"), F.explode(_above("parts")).alias("at"))
     pairs = own.join(above, "at").where("x <> y")
     return pairs.select(F.least("x", "y").alias("account_a"), F.greatest("x", "y").alias("account_b")).distinct()
 
 
-def layered_settings(layers: DataFrame, keys: list[str], ranges: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """(account_id, tier, key, value) -> one row per account, each key's value of the lowest tier that has one;
-    `invalid` lists keys whose value is no integer within its range."""
-    rows = layers.where(F.col("value").isNotNull()).groupBy("account_id").pivot("key", keys).agg(F.min_by("value", "tier"))
+def root_conflicts(accounts: DataFrame) -> DataFrame:
+    """(account_id, root) -> (account_id, n_same, n_above, n_below, example) of accounts whose root another one shares, holds or lies in.
+
+    Counts per folder are joined, never pairs: a folder that all accounts share gives one row each. example: the
+    smallest other account at the same folder, else above it, else below it. One row per account is expected.
+    """
+    rows = accounts.select("account_id", root_parts("root").alias("parts")).withColumn("at", F.array_join("parts", "/"))
+    here = rows.groupBy("at").agg(F.count("*").alias("n"), F.min("account_id").alias("least"), F.any_value("parts").alias("parts"))
+    beyond = here.select("n", "least", "at", F.explode(F.array_except(_above("parts"), F.array("at"))).alias("up"))
+    below = beyond.groupBy(F.col("up").alias("at")).agg(F.sum("n").alias("n_below"), F.min("least").alias("least_below"))
+    above = beyond.join(here.select(F.col("at").alias("up"), F.col("n").alias("_n"), F.col("least").alias("_least")), "up").groupBy("at").agg(F.sum("_n").alias("n_above"), F.min("_least").alias("least_above"))
+    folders = here.drop("parts").join(above, "at", "left").join(below, "at", "left").na.fill(0, ["n_above", "n_below"]).where("n > 1 or n_above > 0 or n_below > 0")
+    # the smallest other account at the folder: the least one's is the next, found among the others
+    found = rows.select("account_id", "at").join(folders, "at")
+    second = found.where("account_id <> least").groupBy("at").agg(F.min("account_id").alias("second"))
+    same = F.when(F.col("n") > 1, F.when(F.col("account_id") == F.col("least"), F.col("second")).otherwise(F.col("least")))
+    return found.join(second, "at", "left").select("account_id", (F.col("n") - 1).alias("n_same"), "n_above", "n_below", F.coalesce(same, "least_above", "least_below").alias("example"))
+
+
+def label_prefixes(labels: DataFrame) -> DataFrame:
+    """(label) -> (label, prefix, n): account labels that end up with the same environment prefix (ASCII capitals, '-' as '_'), and how many do."""
+    upper = F.translate("label", "abcdefghijklmnopqrstuvwxyz-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ_")
+    rows = labels.select("label", upper.alias("prefix")).distinct()
+    return rows.join(rows.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1"), "prefix").select("label", "prefix", "n")
+
+
+def layered_settings(layers: DataFrame, keys: list[str], ranges: dict[str, tuple[int, int]] | None = None, never_blank: tuple[str, ...] = ("naming_template",)) -> DataFrame:
+    """(account_id, tier, key, value) -> one row per account, each key's value of the lowest tier that has one.
+
+    `invalid` lists keys whose value is no integer within its range, and keys of never_blank that any tier, also one that
+    does not decide, sets to white space.
+    """
+    of = lambda k: F.col("key") == k
+    blank = [k for k in keys if k in never_blank]
+    rows = layers.where(F.col("value").isNotNull()).groupBy("account_id").agg(
+        *(F.min_by("value", F.when(of(k), F.col("tier"))).alias(k) for k in keys), *(F.bool_or(of(k) & (strip("value") == "")).alias(f"_blank_{k}") for k in blank)
+    )
     bad = [
         F.when(F.col(k).isNotNull() & ~F.coalesce(F.expr(f"try_cast(`{k}` AS bigint)").between(lo, hi), F.lit(False)), F.lit(k))
         for k, (lo, hi) in (ranges or {}).items()
     ]
-    return rows.withColumn("invalid", F.concat_ws(",", *bad) if bad else F.lit(""))
-
+    bad += [F.when(F.col(f"_blank_{k}"), F.lit(k)) for k in blank]
+    return rows.withColumn("invalid", F.concat_ws(",", *bad) if bad else F.lit("")).drop(*(f"_blank_{k}" for k in blank))
