@@ -77,11 +77,11 @@ def a18(spark, sf_dir):
     return state.read_state(spark, at, schema)
 
 
-def landed(spark, pages) -> str:
-    """A folder of page files, each line a page of an account."""
-    at = f"{folder(spark)}/landing"
-    stamp = F.timestamp_seconds(F.col("page") * 60 + 1_700_000_000)
-    pages.select("account_id", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("landed_at"), "payload").write.json(at)
+def landed(spark, pages, at: str | None = None, later: int = 0) -> str:
+    """A folder of page files, each line a page of an account; `later` hours after the first."""
+    at = at or f"{folder(spark)}/landing"
+    stamp = F.timestamp_seconds(F.col("page") * 60 + 1_700_000_000 + 3600 * later)
+    pages.select("account_id", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("landed_at"), "payload").write.mode("append").json(at)
     return at
 
 
@@ -105,11 +105,27 @@ def s02(spark, sf_dir):
     return appended(spark, feeds.stream_first_seen(clips.select("account_id", "clip_id", "landed_at"), "3650 days").select("account_id", "clip_id"))
 
 
-@query("s03_stream_lineage", ROOTS_SQL)
-def s03(spark, sf_dir):
+def _clip_pages(rows, edited, page):
     """Each clip as a page of one; its edited pointer is the only link."""
+    meta = F.struct(edited.alias("edited_clip_id"))
+    body = F.to_json(F.struct(F.array(F.struct(F.col("clip_id").alias("id"), "title", meta.alias("metadata"))).alias("clips")))
+    return rows.select("account_id", F.lit(page).alias("page"), body.alias("payload"))
+
+
+# Roots are monotonic: what the second batch resolved at an orphan stays where the truth is no resolved root.
+_ORPHAN = "last_value(CASE WHEN ord % 5 = 2 THEN c.clip_id END IGNORE NULLS) OVER"
+_FOLDED = f"""SELECT account_id, clip_id, CASE WHEN status = 'resolved' OR orphan IS NULL THEN root_id ELSE orphan END AS root_id, CASE WHEN orphan IS NULL THEN status ELSE 'resolved' END AS status FROM ({ROOTS_SQL}) JOIN (
+    SELECT account_id, clip_id, CASE WHEN cust % 11 <> 0 AND cust % 7 = 0 THEN coalesce(before, around) ELSE before END AS orphan FROM (
+        SELECT c.account_id, c.clip_id, o_custkey AS cust, {_ORPHAN} (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before,
+            {_ORPHAN} (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS around FROM {{clips}} c JOIN {{orders}} ON o_orderkey = ord)) USING (account_id, clip_id)"""
+
+
+@query("s03_stream_lineage", _FOLDED)
+def s03(spark, sf_dir):
+    """Three batches: every clip, every fifth one made an orphan, the truth about those again."""
     rows, at = role(spark, sf_dir, "clips"), folder(spark)
-    body = F.to_json(F.struct(F.array(F.struct(F.col("clip_id").alias("id"), "title", F.struct("edited_clip_id").alias("metadata"))).alias("clips")))
-    pages = rows.select("account_id", F.lit(0).alias("page"), body.alias("payload"))
-    feeds.stream_lineage(feeds.stream_feed(spark, landed(spark, pages)), f"{at}/state", f"{at}/checkpoint").awaitTermination()
-    return state.read_state(spark, f"{at}/state/roots", feeds.ROOTS).select("account_id", "clip_id", "root_id", "status")
+    some = rows.where("ord % 5 = 2")
+    for batch, pages in enumerate((_clip_pages(rows, F.col("edited_clip_id"), 0), _clip_pages(some, F.lit(""), 1), _clip_pages(some, F.col("edited_clip_id"), 2))):
+        source = landed(spark, pages, f"{at}/landing", batch)
+        feeds.stream_lineage(feeds.stream_feed(spark, source), f"{at}/state", f"{at}/checkpoint").awaitTermination()
+    return feeds.read_lineage(spark, f"{at}/state")["roots"].select("account_id", "clip_id", "root_id", "status")

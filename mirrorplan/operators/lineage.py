@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clips import edge_type, normalise_id, normalise_slug, present, primary_parent, same_owner, strip
-from ..tables import written
+from ..tables import discard, written
 
 EDGE_KEY = ["account_id", "child_id", "parent_id", "edge_type", "role", "ordinal"]
 
@@ -84,42 +84,60 @@ def ancestor_requests(lookup: DataFrame, nodes: DataFrame, attribution: DataFram
     return rows.where(F.col("place") <= budget).select("account_id", "clip_id", "place")
 
 
-def resolve_roots(lookup: DataFrame) -> DataFrame:
+def resolve_roots(lookup: DataFrame, settled: DataFrame | None = None) -> DataFrame:
     """(account_id, clip_id, parent_id) -> (account_id, clip_id, root_id, status), for chains of any depth.
 
     resolved: the ancestor without a parent; external: the first ancestor that is no row; cycle: the
-    smallest id of the cycle that the chain runs into. Pointer doubling: in each round every open row
-    jumps as far as the row it points at does, so a chain of n takes log2(n) rounds.
+    smallest id of the cycle that the chain runs into. settled: (account_id, clip_id, root_id, status) of clips that are
+    no rows here and whose roots stand; chains that reach one take its root.
+
+    Pointer doubling on the open rows alone: in each round rows whose target was finished in the round before finish, then
+    the others meet each other and jump as far as their target does. After that no open row points at one that
+    finished earlier than this round, so finished rows are never read again. A chain of n takes log2(n) rounds.
     """
-    known = lookup.select("account_id", F.col("clip_id").alias("parent_id"), F.lit(True).alias("known"))
+    known = lookup.select("account_id", F.col("clip_id").alias("parent_id"), F.lit("open").alias("k_status"), F.lit(None).cast("string").alias("k_root"))
+    if settled is not None:
+        asked = lookup.select("account_id", "parent_id").distinct()
+        known = known.unionByName(settled.select("account_id", F.col("clip_id").alias("parent_id"), F.col("status").alias("k_status"), F.col("root_id").alias("k_root")).join(asked, ["account_id", "parent_id"], "left_semi"))
+    stands, inner = F.col("k_root").isNotNull(), F.coalesce(F.col("k_status") == "open", F.lit(False))
     rows = lookup.join(known, ["account_id", "parent_id"], "left").select(
         "account_id",
         "clip_id",
-        F.when(F.col("known"), F.col("parent_id")).alias("jump"),
-        F.when(F.col("parent_id").isNull(), F.col("clip_id")).when(F.col("known").isNull(), F.col("parent_id")).alias("root_id"),
-        F.when(F.col("parent_id").isNull(), "resolved").when(F.col("known").isNull(), "external").alias("status"),
-        F.when(F.col("known"), F.col("parent_id")).alias("least"),
+        F.when(inner, F.col("parent_id")).alias("jump"),
+        F.when(F.col("parent_id").isNull(), F.col("clip_id")).when(stands, F.col("k_root")).when(~inner, F.col("parent_id")).alias("root_id"),
+        F.when(F.col("parent_id").isNull(), "resolved").when(stands, F.col("k_status")).when(~inner, "external").alias("status"),
+        F.when(inner, F.col("parent_id")).alias("least"),
     )
     rows = written(rows, "roots")
-    longest = rows.groupBy("account_id").count().agg(F.max("count")).first()[0] or 1
-
-    def target(df: DataFrame) -> DataFrame:
-        return df.select("account_id", F.col("clip_id").alias("jump"), *(F.col(x).alias(f"t_{x}") for x in ("jump", "root_id", "status", "least")))
 
-    done, left = rows.where("jump is null"), rows.where("jump is not null")
-    for _ in range(math.ceil(math.log2(longest)) + 1):
-        if left.isEmpty():
-            break
-        step = left.join(target(rows), ["account_id", "jump"]).select(
-            "account_id", "clip_id", F.col("t_jump").alias("jump"), F.col("t_root_id").alias("root_id"), F.col("t_status").alias("status"), F.least("least", "t_least").alias("least")
-        )
-        step = written(step, "roots")
-        done = done.unionByName(step.where("jump is null"))
-        left = step.where("jump is not null")
-        rows = done.unionByName(left)
+    def open_rows(df: DataFrame) -> tuple[int, int]:
+        """How many there are, and how many in one account at most."""
+        n = df.where("root_id is null").groupBy("account_id").count().agg(F.sum("count"), F.max("count")).first()
+        return n[0] or 0, n[1] or 0
+
+    ends = lambda df: df.select("account_id", F.col("clip_id").alias("jump"), F.col("root_id").alias("t_root"), F.col("status").alias("t_status"))
+    took = [F.coalesce("root_id", "t_root").alias("root_id"), F.coalesce("status", "t_status").alias("status")]
+    left, last, made, done = rows.where("root_id is null"), rows.where("root_id is not null"), [rows], [rows.where("root_id is not null")]
+    (many, longest), reach, finishing = open_rows(rows), 1, True
+    while many and (finishing or reach < longest):  # once none finishes, all that is left runs in cycles of `longest` rows at most
+        first = written(left.join(ends(last), ["account_id", "jump"], "left").select("account_id", "clip_id", "jump", *took, "least"), "roots")
+        rest = first.where("root_id is null")
+        onward = rest.select("account_id", F.col("clip_id").alias("jump"), F.col("jump").alias("t_jump"), F.col("least").alias("t_least"), F.lit(None).cast("string").alias("t_root"), F.lit(None).cast("string").alias("t_status"))
+        onward = onward.unionByName(ends(first.where("root_id is not null")), allowMissingColumns=True)
+        second = rest.join(onward, ["account_id", "jump"]).select("account_id", "clip_id", F.col("t_jump").alias("jump"), *took, F.least("least", "t_least").alias("least"))
+        second = written(second, "roots")
+        last = first.where("root_id is not null").unionByName(second.where("root_id is not null"))
+        left = second.where("root_id is null")
+        done.append(last)
+        made += [first, second]
+        before, (many, longest), reach = many, open_rows(second), 2 * reach
+        finishing = many < before
     # what still jumps runs in a cycle by now, and the row that it points at has seen all of it
-    cycles = left.join(target(left), ["account_id", "jump"]).select("account_id", "clip_id", F.col("t_least").alias("root_id"), F.lit("cycle").alias("status"))
-    return done.select("account_id", "clip_id", "root_id", "status").unionByName(cycles)
+    seen = left.select("account_id", F.col("clip_id").alias("jump"), F.col("least").alias("t_least"))
+    cycles = left.join(seen, ["account_id", "jump"]).select("account_id", "clip_id", F.col("t_least").alias("root_id"), F.lit("cycle").alias("status"))
+    found = written(reduce(DataFrame.unionByName, [d.select("account_id", "clip_id", "root_id", "status") for d in done], cycles), "roots")
+    discard(*made)
+    return found
 
 
 # --- the archive: snapshots, each made by a full outer join with the one before -------------------

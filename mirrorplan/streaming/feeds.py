@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import lineage
+from ..sources import state
 from ..sources.ingest import clip_columns, items
-from ..sources.state import read_state, write_state
+from ..tables import discard, written
 
 PAGES = "account_id string, landed_at timestamp, payload string"
 NODES = "account_id string, clip_id string, title string, created_at string, clip_type string, task string, is_trashed boolean, first_seen_at string, last_seen_at string"
 EDGES = "account_id string, child_id string, parent_id string, edge_type string, role string, ordinal int, source_field string, status string, first_seen_at string, last_seen_at string"
+TREE = "account_id string, clip_id string, parent_id string, root_id string, status string"
 ROOTS = "account_id string, clip_id string, root_id string, status string, computed_at string"
+LAPSING = "account_id string, clip_id string"
+LINEAGE = {"nodes": NODES, "edges": EDGES, "tree": TREE, "roots": ROOTS}
 
 
 def stream_feed(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -34,27 +38,62 @@ def append_stream(clips: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     return clips.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_lineage(clips: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Fold each batch of clips into the lineage snapshots under state (nodes, edges, roots).
+def fold_batch(batch: DataFrame, path: str, number: int) -> state.Version:
+    """Fold clips (with landed_at) into the lineage tables under path; only the account buckets that they touch are read and written.
 
-    A batch that is run again after a failure changes nothing: its number is kept beside the snapshots.
+    Tables: nodes, edges, roots, and tree (account_id, clip_id, parent_id, root_id, status): the parent that each clip now
+    has, and where its chain ends. A listed clip has its own parent; once it is listed no more the greatest archived one
+    counts, so clips for which these differ are kept as `lapsing` until the next batch. Clips whose parent changed, and
+    new ones, change the roots of nothing but the trees that they stand in: all rows whose chain ended where theirs
+    did, or at the new clip while it was unknown. Those are found by one semi-join on the stored end, not level by level,
+    and resolved anew; all others keep their roots. computed_at is when a clip's root was last worked out.
+
+    The batch number is published with the tables, by one pointer: a batch that is run again changes nothing, and a crash
+    before that leaves the tables as they were. Two folds at once: one of them raises StaleState.
     """
+    spark = batch.sparkSession
+    base = state.current(spark, path)
+    if base.note.get("batch", -1) >= number:
+        return base
+    now, key = f"batch-{number}", ["account_id", "clip_id"]
+    latest = batch.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in key]), "landed_at").alias("r")).select(*key, "r.*")
+    latest = written(latest, "batch")
+    lapsing = state.table(spark, path, base, "lapsing", LAPSING)
+    buckets = state.buckets_of(latest.select("account_id").union(lapsing.select("account_id")))
+    nodes, edges, tree, roots = (state.table(spark, path, base, n, s, buckets) for n, s in LINEAGE.items())
+    edges = written(lineage.update_edges(edges, lineage.all_edges(latest), now), "edges")
+    archived = lineage.archived_parents(edges).withColumnRenamed("child_id", "clip_id")
+
+    live = lineage.parents(latest).select(*key, "parent_id")
+    old = lapsing.join(live, key, "left_anti").join(archived, key, "left")
+    before = tree.select(*key, F.col("parent_id").alias("_was"), F.col("root_id").alias("_root"), F.lit(True).alias("_known"))
+    changed = live.unionByName(old).join(before, key, "left").where(F.col("_known").isNull() | ~F.col("parent_id").eqNullSafe(F.col("_was")))
+    changed = written(changed, "changed")
+    marks = changed.select("account_id", F.coalesce("_root", "clip_id").alias("root_id")).distinct()
+    others = tree.join(marks, ["account_id", "root_id"], "left_semi").join(changed, key, "left_anti").select(*key, "parent_id")
+    lookup = written(changed.select(*key, "parent_id").unionByName(others), "lookup")
+    kept = tree.join(lookup, key, "left_anti")
+    found = lineage.resolve_roots(lookup, kept)
+
+    tables = {
+        "nodes": lineage.update_nodes(nodes, latest, now), "edges": edges, "tree": kept.unionByName(lookup.join(found, key)), "roots": lineage.update_roots(roots, found, now),
+        "lapsing": live.join(archived.withColumnRenamed("parent_id", "_archived"), key, "left").where(~F.col("parent_id").eqNullSafe(F.col("_archived"))).select(*key),
+    }
+    version = state.commit(spark, path, base, tables, LINEAGE, buckets, {"batch": number})
+    discard(latest, edges, changed, lookup, found)
+    return version
+
+
+def stream_lineage(clips: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Fold each batch of a stream of clips into the lineage tables under path."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = read_state(spark, f"{state}/batches", "batch bigint")
-        if not done.where(F.col("batch") == number).isEmpty():
-            return
-        now = f"batch-{number}"
-        latest = batch.groupBy("account_id", "clip_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in ("account_id", "clip_id")]), "landed_at").alias("r")).select("account_id", "clip_id", "r.*")
-        nodes = read_state(spark, f"{state}/nodes", NODES)
-        edges = lineage.update_edges(read_state(spark, f"{state}/edges", EDGES), lineage.all_edges(latest), now)
-        live = lineage.parent_lookup(latest, lineage.archived_parents(edges), lineage.archived_parents(edges).limit(0))
-        known = nodes.select("account_id", "clip_id").join(live, ["account_id", "clip_id"], "left_anti").withColumn("parent_id", F.lit(None).cast("string"))
-        roots = lineage.resolve_roots(live.unionByName(known))
-        write_state(lineage.update_nodes(nodes, latest, now), f"{state}/nodes")
-        write_state(lineage.update_roots(read_state(spark, f"{state}/roots", ROOTS), roots, now), f"{state}/roots")
-        write_state(edges, f"{state}/edges")
-        write_state(done.union(spark.createDataFrame([(number,)], "batch bigint")), f"{state}/batches")
+        fold_batch(batch, path, number)
 
     return clips.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_lineage(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Nodes, edges, tree and roots as the last batch left them."""
+    version = state.current(spark, path)
+    return {name: state.table(spark, path, version, name, schema) for name, schema in LINEAGE.items()}
