@@ -86,10 +86,10 @@ def feed_pages(spark, sf_dir):
 
 
 _GOOD = "ord % 47 <> 0 AND CASE WHEN ord % 6 = 0 THEN 'unknown' ELSE status END = 'complete' AND clip_type <> 'rendered_context_window' AND task NOT IN ('infill', 'fixed_infill')"
-_PAGES = f"""SELECT account_id, ord // 400 AS page, count(*) AS n, count(*) FILTER (WHERE {_GOOD}) AS good FROM {{clips}} GROUP BY ALL"""
+PAGES_SQL = f"""SELECT account_id, ord // 400 AS page, count(*) AS n, count(*) FILTER (WHERE {_GOOD}) AS good FROM {{clips}} GROUP BY ALL"""
 
 
-@query("a05_decode_feed_pages", f"SELECT account_id, CAST(page AS INTEGER) AS page, good < n AS any_filtered, CAST(good AS INTEGER) AS n_clips FROM ({_PAGES})")
+@query("a05_decode_feed_pages", f"SELECT account_id, CAST(page AS INTEGER) AS page, good < n AS any_filtered, CAST(good AS INTEGER) AS n_clips FROM ({PAGES_SQL})")
 def a05(spark, sf_dir):
     return ingest.decode_feed_pages(feed_pages(spark, sf_dir))[1].select("account_id", "page", "any_filtered", "n_clips")
 
@@ -101,7 +101,7 @@ def a05b(spark, sf_dir):
 
 @query(
     "a06_feed_completeness",
-    f"""WITH p AS ({_PAGES}), w AS (SELECT account_id, count(*) AS pages, bool_or(good < n) AS lost, min_by(good < n, page) AS first_lost FROM p GROUP BY account_id)
+    f"""WITH p AS ({PAGES_SQL}), w AS (SELECT account_id, count(*) AS pages, bool_or(good < n) AS lost, min_by(good < n, page) AS first_lost FROM p GROUP BY account_id)
         SELECT account_id, CAST(account_id AS INTEGER) % 3 <> 0 AND NOT (CAST(account_id AS INTEGER) % 5 = 4 AND pages > 1) AS complete, CASE WHEN CAST(account_id AS INTEGER) % 5 = 4 THEN first_lost ELSE lost END AS any_filtered FROM w""",
 )
 def a06(spark, sf_dir):

@@ -10,7 +10,7 @@ from ..sources import state
 from ..streaming import feeds
 from ..tables import shared_dir
 from .lineage import ALL_SQL, ROOTS_SQL, f04
-from .payloads import feed_pages
+from .payloads import PAGES_SQL, feed_pages
 from .roles import role, with_roles
 
 QUERIES, ORACLES = {}, {}
@@ -81,7 +81,7 @@ def landed(spark, pages, at: str | None = None, later: int = 0) -> str:
     """A folder of page files, each line a page of an account; `later` hours after the first."""
     at = at or f"{folder(spark)}/landing"
     stamp = F.timestamp_seconds(F.col("page") * 60 + 1_700_000_000 + 3600 * later)
-    pages.select("account_id", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("landed_at"), "payload").write.mode("append").json(at)
+    pages.select("account_id", "page", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("landed_at"), "payload").write.mode("append").json(at)
     return at
 
 
@@ -105,6 +105,23 @@ def s02(spark, sf_dir):
     return appended(spark, feeds.stream_first_seen(clips.select("account_id", "clip_id", "landed_at"), "3650 days").select("account_id", "clip_id"))
 
 
+@query(
+    "s01_stream_completeness",
+    f"""WITH p AS ({PAGES_SQL}), w AS (SELECT account_id, count(*) AS pages, bool_or(good < n) AS lost, min_by(good < n, page) AS first_lost, count(*) FILTER (WHERE page % 3 = 0) AS n_damaged FROM p GROUP BY account_id), k AS (SELECT *, CAST(account_id AS INTEGER) AS a FROM w)
+        SELECT account_id, a % 3 <> 0 AND NOT (a % 5 = 4 AND pages > 1) AS complete, CASE WHEN a % 5 = 4 THEN first_lost ELSE lost END AS any_filtered, pages AS n_pages, n_damaged, 0 AS n_rejected, CASE WHEN a % 3 <> 0 AND NOT (a % 5 = 4 AND pages > 1) THEN 2 END AS completed_in FROM k""",
+)
+def s01b(spark, sf_dir):
+    """Each account's pages land in three batches, later ones first; in the second the pages still missing come damaged."""
+    pages, at, n = feed_pages(spark, sf_dir), folder(spark), F.col("page") % 3
+    damaged = pages.where(n == 0).withColumn("payload", F.left("payload", (F.length("payload") - 1)))
+    for batch, rows in enumerate((pages.where(n == 2), pages.where(n == 1).unionByName(damaged), pages.where(n == 0))):
+        source = landed(spark, rows, f"{at}/landing", batch)
+        feeds.stream_walks(feeds.stream_pages(spark, source), f"{at}/ledger", f"{at}/checkpoint").awaitTermination()
+    ledger = feeds.read_ledger(spark, f"{at}/ledger")
+    counted = ledger["rejects"].groupBy("account_id").agg(F.count("*").alias("n_damaged"))
+    return ledger["walks"].drop("walk").join(counted, "account_id")
+
+
 def _clip_pages(rows, edited, page):
     """Each clip as a page of one; its edited pointer is the only link."""
     meta = F.struct(edited.alias("edited_clip_id"))

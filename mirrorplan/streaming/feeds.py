@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import lineage
 from ..sources import state
-from ..sources.ingest import clip_columns, items
+from ..sources.ingest import clip_columns, decode_feed_pages, feed_completeness, items
 from ..tables import discard, written
 
-PAGES = "account_id string, landed_at timestamp, payload string"
+PAGES = "account_id string, walk string, page int, landed_at timestamp, payload string"
+STATUS = "account_id string, walk string, page int, landed_at timestamp, has_more boolean, next_cursor string, any_filtered boolean, n_clips int"
+REJECTS = "account_id string, walk string, page int, landed_at timestamp, reason string, payload string"
+WALKS = "account_id string, walk string, complete boolean, any_filtered boolean, n_pages bigint, n_rejected bigint, completed_in bigint"
+LEDGER = {"pages": STATUS, "rejects": REJECTS, "walks": WALKS}
 NODES = "account_id string, clip_id string, title string, created_at string, clip_type string, task string, is_trashed boolean, first_seen_at string, last_seen_at string"
 EDGES = "account_id string, child_id string, parent_id string, edge_type string, role string, ordinal int, source_field string, status string, first_seen_at string, last_seen_at string"
 TREE = "account_id string, clip_id string, parent_id string, root_id string, status string"
@@ -20,9 +24,14 @@ LAPSING = "account_id string, clip_id string"
 LINEAGE = {"nodes": NODES, "edges": EDGES, "tree": TREE, "roots": ROOTS}
 
 
+def stream_pages(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The JSON page files that land in a folder, as a stream. walk: which listing a page belongs to, if there are several."""
+    return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_trigger).json(landing)
+
+
 def stream_feed(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Clips of the JSON page files that land in a folder, as a stream."""
-    pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_trigger).json(landing)
+    """Clips of the JSON page files that land in a folder, as a stream. Pages that do not parse have none; stream_walks() keeps those."""
+    pages = stream_pages(spark, landing, files_per_trigger)
     rows = pages.select("account_id", "landed_at", F.explode(items(F.try_parse_json("payload"), "$.clips")).alias("_c"))
     return rows.select("account_id", "landed_at", *(x.alias(k) for k, x in clip_columns(F.col("_c")).items())).where("clip_id <> ''")
 
@@ -38,6 +47,62 @@ def append_stream(clips: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     return clips.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def fold_pages(batch: DataFrame, path: str, number: int) -> state.Version:
+    """Take a batch of pages into the ledger of listing walks under path: what each page says, pages that do not parse, and how far each walk is.
+
+    Pages may come in any order and more than once; of one page the last landed that parses counts. A walk's pages chain
+    as far as their numbers run from 0 without a gap, so a page that has not come yet, or that was damaged, holds the walk
+    open, whatever later pages say. complete and any_filtered of the chained pages are those of feed_completeness().
+    n_rejected counts pages of a walk that never came in order; completed_in is the batch that first saw it complete. Only
+    the account buckets of the batch's pages are read and written; the batch number is published with them, so a
+    batch that is run again changes nothing.
+    """
+    spark, walk = batch.sparkSession, ["account_id", "walk"]
+    base = state.current(spark, path)
+    if base.note.get("batch", -1) >= number:
+        return base
+    rows = written(batch.withColumn("walk", F.coalesce("walk", F.lit(""))), "pages")
+    buckets = state.buckets_of(rows)
+    pages, rejects, walks = (state.table(spark, path, base, n, s, buckets) for n, s in LEDGER.items())
+    v = F.try_parse_json("payload")
+    reason = F.when(v.isNull(), "not JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "no object")
+    judged = rows.withColumn("reason", reason)
+    bad = judged.where("reason is not null").select(*(c.split()[0] for c in REJECTS.split(", ")))
+    good = decode_feed_pages(judged.where("reason is null").drop("reason"))[1]
+    fields = [c.split()[0] for c in STATUS.split(", ")][3:]
+    pages = pages.unionByName(good).groupBy(*walk, "page").agg(F.max_by(F.struct(*fields), "landed_at").alias("s")).select(*walk, "page", "s.*")
+    pages, rejects = written(pages, "pages"), written(rejects.unionByName(bad), "rejects")
+
+    rank = F.row_number().over(Window.partitionBy(*walk).orderBy("page"))
+    chained = pages.withColumn("_at", rank - 1).where("_at = page").drop("_at")
+    found = feed_completeness(chained, walk)
+    lost = rejects.select(*walk, "page").distinct().join(pages, [*walk, "page"], "left_anti").groupBy(*walk).agg(F.count("*").alias("n_rejected"))
+    seen = pages.groupBy(*walk).agg(F.count("*").alias("n_pages")).join(lost, walk, "full_outer").join(found, walk, "left").join(walks.select(*walk, "completed_in"), walk, "left")
+    complete = F.coalesce("complete", F.lit(False))
+    walks = seen.select(
+        *walk, complete.alias("complete"), F.coalesce("any_filtered", F.lit(False)).alias("any_filtered"), F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"),
+        F.coalesce("completed_in", F.when(complete, F.lit(number))).cast("bigint").alias("completed_in"),
+    )
+    version = state.commit(spark, path, base, {"pages": pages, "rejects": rejects, "walks": walks}, LEDGER, buckets, {"batch": number})
+    discard(rows, pages, rejects)
+    return version
+
+
+def stream_walks(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the ledger of listing walks under path as pages land."""
+
+    def fold(batch: DataFrame, number: int) -> None:
+        fold_pages(batch, path, number)
+
+    return pages.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_ledger(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Pages, rejects and walks as the last batch left them."""
+    version = state.current(spark, path)
+    return {name: state.table(spark, path, version, name, schema) for name, schema in LEDGER.items()}
+
+
 def fold_batch(batch: DataFrame, path: str, number: int) -> state.Version:
     """Fold clips (with landed_at) into the lineage tables under path; only the account buckets that they touch are read and written.
 

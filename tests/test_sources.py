@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from mirrorplan.operators.reports import orphan_files
 from mirrorplan.sources import ingest, state
@@ -156,3 +157,29 @@ def test_some_buckets_replaced(spark, tmp_path):
     same = {r.account_id for r in there.collect()}
     assert got == {str(k): int(str(k) in same) for k in range(100) if k != 5} and second.tables["u"] == first.tables["u"]
     assert sum(a != b for a, b in zip(sorted(first.tables["t"].items()), sorted(second.tables["t"].items()), strict=False)) <= len(touched) + 1
+
+
+def test_walks_in_any_order(spark, tmp_path):
+    """After each batch every walk is as the pages that chain by then make it; damaged pages hold it open."""
+    path = str(tmp_path / "ledger")
+    more = lambda *ids: json.dumps({"clips": [{"id": i, "status": "complete"} for i in ids], "has_more": True, "next_cursor": "c"})
+    end = lambda status="complete": json.dumps({"clips": [{"id": "z", "status": status}], "has_more": False})
+    batches = [
+        [("1", None, 2, end()), ("1", None, 0, more("a")), ("2", "w", 0, end("queued")), ("3", "v", 0, "{"), ("3", "v", 1, end())],
+        [("1", None, 1, '{"clips": ['), ("1", None, 1, "[]"), ("3", "v", 0, more("q")), ("4", None, 0, None)],
+        [("1", None, 1, more("b")), ("2", "w", 0, end("queued"))],
+        [("5", None, 1, end())],
+    ]
+    want = [
+        {("1", ""): (False, False, 2, 0, None), ("2", "w"): (True, True, 1, 0, 0), ("3", "v"): (False, False, 1, 1, None)},
+        {("1", ""): (False, False, 2, 1, None), ("2", "w"): (True, True, 1, 0, 0), ("3", "v"): (True, False, 2, 0, 1), ("4", ""): (False, False, 0, 1, None)},
+        {("1", ""): (True, False, 3, 0, 2), ("2", "w"): (True, True, 1, 0, 0), ("3", "v"): (True, False, 2, 0, 1), ("4", ""): (False, False, 0, 1, None)},
+        {("1", ""): (True, False, 3, 0, 2), ("2", "w"): (True, True, 1, 0, 0), ("3", "v"): (True, False, 2, 0, 1), ("4", ""): (False, False, 0, 1, None), ("5", ""): (False, False, 1, 0, None)},
+    ]
+    for number, rows in enumerate(batches):
+        df = spark.createDataFrame([(a, w, p, None, x) for a, w, p, x in rows], feeds.PAGES).withColumn("landed_at", F.timestamp_seconds(F.lit(number)))
+        for _ in range(2 if number == 1 else 1):  # the second batch is run twice
+            feeds.fold_pages(df, path, number)
+        assert {(r.account_id, r.walk): tuple(r)[2:] for r in feeds.read_ledger(spark, path)["walks"].collect()} == want[number], number
+    rejects = feeds.read_ledger(spark, path)["rejects"]
+    assert sorted((r.account_id, r.page, r.reason) for r in rejects.collect()) == [("1", 1, "no object"), ("1", 1, "not JSON"), ("3", 0, "not JSON"), ("4", 0, "not JSON")]
