@@ -194,6 +194,18 @@ def d12(spark, sf_dir):
     return reports.path_refcounts(role(spark, sf_dir, "manifest"), role(spark, sf_dir, "manifest_slots"), albums, lists)
 
 
+@query(
+    "d12_release_paths",
+    """WITH held AS (SELECT account_id, path, count(*) + 1 - any_value(length(path)) % 2 AS n FROM {give_ups} WHERE length(path) % 7 <> 0 GROUP BY account_id, path), w AS (SELECT account_id, target AS path, min(seq) AS first FROM {give_ups} GROUP BY ALL),
+        e AS (SELECT g.account_id, seq, g.path, move, coalesce(n, 0) - row_number() OVER (PARTITION BY g.account_id, g.path ORDER BY seq) AS after, coalesce(first < seq, FALSE) AS taken FROM {give_ups} g LEFT JOIN held USING (account_id, path) LEFT JOIN w USING (account_id, path))
+        SELECT account_id, seq, path, move, CASE WHEN NOT move THEN 'write' WHEN after <= 0 AND NOT taken THEN 'rename' ELSE 'refetch' END AS outcome, NOT move AND after <= 0 AND NOT taken AS removed FROM e""",
+)
+def d12b(spark, sf_dir):
+    events = role(spark, sf_dir, "give_ups")
+    held = events.where(F.length("path") % 7 != 0).groupBy("account_id", "path").agg((F.count("*") + 1 - F.any_value(F.length("path")) % 2).alias("n"))
+    return reports.release_paths(events.drop("target"), held, events.select("account_id", "seq", F.col("target").alias("path")))
+
+
 @query("d13_plan_changes", f"SELECT account_id, bool_or(action <> 'skip') AS has_changes FROM ({AUDIO_SQL}) GROUP BY account_id")
 def d13(spark, sf_dir):
     return reports.plan_changes(plan_catalog.h03(spark, sf_dir))

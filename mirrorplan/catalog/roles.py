@@ -169,4 +169,7 @@ ROLES |= {
             CASE WHEN ord % 15 > 11 THEN 's' || CAST(ord % 3 AS STRING) ELSE '' END AS slot_key, 'a' || CAST(ord % 50 AS STRING) || '/' || clip_id AS path, CASE WHEN ord % 15 IN (3, 10, 13) THEN 'old/' || clip_id END AS from_path,
             CASE WHEN ord % 2 = 0 THEN 'flac' ELSE 'mp3' END AS format, CASE WHEN ord % 15 = 6 THEN 'cannot read ' || title || ' ' || title || ' ' || title || ' ' || title END AS reason
         FROM {clips}""",
+    "give_ups": """
+        SELECT account_id, row_number() OVER (PARTITION BY account_id ORDER BY clip_id, n) AS seq, CASE WHEN (ord + n) % 5 < 2 THEN 'shared/' || CAST((ord + n) % 40 AS STRING) ELSE path END AS path, (ord + n) % 3 = 0 AS move, CASE WHEN ord % 6 = 0 THEN 'shared/' || CAST(ord % 40 AS STRING) ELSE 'new/' || path END AS target
+        FROM {manifest_slots} WHERE path <> '' AND ord % 4 <> 0""",
 }

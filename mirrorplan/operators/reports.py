@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clips as fn
 from ..functions import naming
-from ..plans.reconcile import DELETES, WRITES
+from ..plans.reconcile import DELETES
 
 CLIP = ["account_id", "clip_id"]
 # Which actions each bucket of a report counts; the smallest manifest that the guard watches.
@@ -80,11 +80,33 @@ def path_refcounts(manifest: DataFrame, manifest_slots: DataFrame, albums: DataF
     return paths.groupBy("account_id", "path").agg(F.count("*").alias("n"))
 
 
-def removable_superseded(superseded: DataFrame, refcounts: DataFrame, plan: DataFrame) -> DataFrame:
-    """Superseded (account_id, path) that one slot at most holds and no write or move of the plan targets."""
-    held = refcounts.where("n > 1").select("account_id", "path")
-    aimed = plan.where(F.col("action").isin(*WRITES, "rename", "move_artifact", "move_stem")).select("account_id", "path")
-    return superseded.join(held, ["account_id", "path"], "left_anti").join(aimed, ["account_id", "path"], "left_anti")
+def given_up(ordered: DataFrame, manifest_slots: DataFrame) -> DataFrame:
+    """(account_id, seq, path, move) of the plan's rows by which a sidecar or stem leaves its recorded path: moves, and writes elsewhere."""
+    rows = ordered.where(F.col("action").isin("write_artifact", "write_stem", "move_artifact", "move_stem"))
+    old = manifest_slots.select(*CLIP, F.col("kind").alias("slot_kind"), F.col("key").alias("slot_key"), F.col("path").alias("_old"))
+    rows = rows.join(old, [*CLIP, "slot_kind", "slot_key"], "left").withColumn("_from", F.coalesce("from_path", "_old", F.lit("")))
+    move = F.col("action").isin("move_artifact", "move_stem")
+    return rows.where((F.col("_from") != "") & (F.col("_from") != F.col("path"))).select("account_id", "seq", F.col("_from").alias("path"), move.alias("move"))
+
+
+def release_paths(events: DataFrame, refcounts: DataFrame, writes: DataFrame) -> DataFrame:
+    """What becomes of old files as slots leave them one by one: (account_id, seq, path, move, outcome, removed).
+
+    events: (account_id, seq, path, move), a slot leaving path at place seq of the run. refcounts: (account_id, path, n)
+    before the run. writes: (account_id, seq, path) of files that the run puts somewhere. Each event takes one off
+    the count of its path. A move renames the file (`rename`) if the slot holds it alone and nothing was written there
+    earlier in the run; otherwise it is written anew at its new place (`refetch`), and like any write (`write`) removes the
+    old file if no slot holds it any more and nothing was written there. So of n slots on one path the last one removes it.
+    Paths that nothing records count as held by none. Events of one path are ranked together: as many rows as slots share it.
+    """
+    first = writes.groupBy("account_id", "path").agg(F.min("seq").alias("_written"))
+    rank = F.row_number().over(Window.partitionBy("account_id", "path").orderBy("seq"))
+    rows = events.withColumn("_rank", rank).join(refcounts.select("account_id", "path", "n"), ["account_id", "path"], "left").join(first, ["account_id", "path"], "left")
+    untouched = ~F.coalesce(F.col("_written") < F.col("seq"), F.lit(False))
+    held = F.greatest(F.coalesce("n", F.lit(0)) - F.col("_rank") + 1, F.lit(0))  # before the event
+    renamed = F.col("move") & (held <= 1) & untouched
+    outcome = F.when(renamed, "rename").when(F.col("move"), "refetch").otherwise("write")
+    return rows.select("account_id", "seq", "path", "move", outcome.alias("outcome"), (~renamed & (held <= 1) & untouched).alias("removed"))
 
 
 def shared_sources(plan: DataFrame) -> DataFrame:

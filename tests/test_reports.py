@@ -51,3 +51,33 @@ def test_blocks_show_few_and_count_all(spark):
     assert text["a"].split("\n")[0].startswith("note: 45 untracked") and text["a"].split("\n")[1:4] == ["  p000", "  p001", "  ... and 43 more"] and "more" not in text["b"]
     prompt = reports.delete_prompt(spark.createDataFrame(rows, "account_id string, path string"), 0).collect()
     assert {r["text"].count("\n") for r in prompt} == {3}
+
+
+def test_paths_are_released_one_by_one(spark):
+    """Against a run that goes through the events in order; two slots that leave one path in the same run among them."""
+    rnd = random.Random(3)
+    names = [f"p{k}" for k in range(6)]
+    events = [("a", k, rnd.choice(names), rnd.random() < 0.4, rnd.choice(names) if rnd.random() < 0.1 else f"new{k}") for k in range(60)] + [("b", 0, "x", False, "y"), ("b", 1, "x", False, "z")]
+    counts = {("a", p): rnd.randrange(0, 14) for p in names[:5]} | {("b", "x"): 2}
+    left, written, want = dict(counts), set(), set()
+    for a, k, p, move, to in events:
+        free = (a, p) not in written
+        if move and left.get((a, p), 0) <= 1 and free:
+            want.add((a, k, p, True, "rename", False))
+            left[(a, p)] = max(0, left.get((a, p), 0) - 1)
+        else:
+            left[(a, p)] = max(0, left.get((a, p), 0) - 1)
+            want.add((a, k, p, move, "refetch" if move else "write", left[(a, p)] == 0 and free))
+        written.add((a, to))
+    df = spark.createDataFrame(events, "account_id string, seq int, path string, move boolean, target string")
+    held = spark.createDataFrame([(*k, n) for k, n in counts.items()], "account_id string, path string, n bigint")
+    got = reports.release_paths(df.drop("target"), held, df.select("account_id", "seq", F.col("target").alias("path")))
+    assert {tuple(r) for r in got.collect()} == want
+    assert {r[1]: r[5] for r in want if r[0] == "b"} == {0: False, 1: True}
+
+
+def test_given_up_paths_of_a_plan(spark):
+    plan = [("a", 1, "c", "write_artifact", "lrc", "", "new.lrc", None), ("a", 2, "c", "move_stem", "stem", "s", "n.mp3", "o.mp3"), ("a", 3, "d", "write_artifact", "lrc", "", "same.lrc", None), ("a", 4, "e", "write_artifact", "lrc", "", "first.lrc", None), ("a", 5, "c", "delete_artifact", "lrc", "", "old.lrc", None)]
+    ordered = spark.createDataFrame(plan, "account_id string, seq int, clip_id string, action string, slot_kind string, slot_key string, path string, from_path string")
+    slots = spark.createDataFrame([("a", "c", "lrc", "", "old.lrc"), ("a", "c", "stem", "s", "o.mp3"), ("a", "d", "lrc", "", "same.lrc")], "account_id string, clip_id string, kind string, key string, path string")
+    assert {tuple(r) for r in reports.given_up(ordered, slots).collect()} == {("a", 1, "old.lrc", False), ("a", 2, "o.mp3", True)}
