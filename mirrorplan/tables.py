@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, one machine takes a folder of its own and a cluster is an error."""
+    """spark.checkpoint.dir of the session, with its file system's name; where it is unset, one machine takes a folder of its own and a cluster is an error."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-mirrorplan-"))
         known = sc.getCheckpointDir()
-    return known.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(known.rstrip("/"))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
