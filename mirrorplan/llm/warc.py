@@ -172,8 +172,25 @@ def record_ranges(f, size: int) -> Iterator[tuple[int, list[int]]]:
         yield run_at, lengths
 
 
+#: How Arrow names the file systems that Hadoop knows under these schemes. Arrow has no others.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme of its file system, by Spark's own settings; one that tasks could not open is an error before anything is written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if (scheme := uri.split(":", 1)[0]) not in SCHEMES:
+        raise ValueError(f"archives cannot be written to a {scheme} folder ({uri}); schemes: {', '.join(SCHEMES)}")
+    return uri
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    """File system and path there of a URI. Without a scheme it would be another disk on each executor, so that is an error."""
+    scheme, _, rest = uri.partition(":")
+    if scheme not in SCHEMES or not rest.startswith("/"):
+        raise ValueError(f"no URI that Arrow can open: {uri}")
+    return pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest if rest.startswith('//') else '//' + rest}")
 
 
 # --- Spark jobs ---------------------------------------------------------------------------------
@@ -194,7 +211,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
 
 
 def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, force_zip64: bool = False) -> DataFrame:
-    """Write archives under folder (a URI that all executors reach); returns (archive, records)."""
+    """Write archives under folder (that all executors reach); returns (archive, records). Each html is one record and held whole, with its gzip."""
+    folder = _qualified(pages.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)

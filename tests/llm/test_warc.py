@@ -81,3 +81,24 @@ def test_edges(spark, tmp_path):
     assert warc.round_trip(spark, df.limit(0)).collect() == []
     many = warc.write(df, f"{tmp_path}/small", archive_bytes=1, force_zip64=True)
     assert many.count() == len(rows) and sorted(map(tuple, warc.read(many).collect()), key=str) == got
+
+
+def test_folders_are_qualified(spark, tmp_path):
+    """A folder without a scheme is one of the session's file system; what tasks cannot open is an error at once."""
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 2000)], "page_id bigint, url string, html string")
+    archives = warc.write(pages, str(tmp_path / "plain"))
+    assert all(r["archive"].startswith("file:/") for r in archives.collect()) and warc.read(archives).count() == 1
+    with pytest.raises(ValueError, match="viewfs"):
+        spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.here.link./x", f"file://{tmp_path}")
+        warc.write(pages, "viewfs://here/x/out")
+    for uri in ("/tmp/x", "viewfs://here/x", "relative"):
+        with pytest.raises(ValueError):
+            warc._open(uri)
+    assert warc._open("file:/tmp/x")[1] == warc._open("file:///tmp/x")[1] == "/tmp/x"
+
+
+def test_long_page(spark):
+    """50 MB of html in one record, and its copy."""
+    pages = spark.sql("SELECT id AS page_id, 'http://a/' AS url, repeat('<p>long</p>', 4600000) AS html FROM range(2)")
+    got = {r["page_id"]: r for r in warc.round_trip(spark, pages).collect()}
+    assert (got[0]["record_type"], got[0]["refers_to"], got[1]["record_type"]) == ("revisit", 1, "response") and got[0]["payload_bytes"] == got[1]["payload_bytes"] == 50_600_000
