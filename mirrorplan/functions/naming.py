@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import written
 from .clips import album_title, c, present, strip
 
 # The default template, lengths, and the accents that ascii names fold.
@@ -105,10 +106,16 @@ def placeholder_values(album: Column, charset: str = "unicode", size: int = MAX_
     }
 
 
-@F.pandas_udf(T.StringType())
-def _folded(paths: pd.Series) -> pd.Series:
-    fold = lambda s: None if s is None else "".join(ch.lower() for ch in unicodedata.normalize("NFC", s))
-    return paths.map(fold, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _folded(paths: pa.Array) -> pa.Array:
+    """A batch folded as one text: a NUL parts the paths, with which nothing composes. Lower case by characters knows no final sigma."""
+    if paths.null_count == len(paths):
+        return paths
+    fold = lambda s: unicodedata.normalize("NFC", s).replace("Σ", "σ").lower()
+    known = paths.drop_null().to_pylist()
+    folded = fold("\0".join(known)).split("\0")
+    folded = iter(folded if len(folded) == len(known) else map(fold, known))  # a path may hold a NUL itself
+    return pa.array([next(folded) if there else None for there in paths.is_valid().to_pylist()], pa.string())
 
 
 def canonical_path_key(x: str | Column) -> Column:
@@ -118,10 +125,6 @@ def canonical_path_key(x: str | Column) -> Column:
     return F.coalesce(F.when(ascii_only, F.lower(c(x))), _folded(F.when(~ascii_only, c(x))))
 
 
-def with_path_key(df: DataFrame, path: str, key: str) -> DataFrame:
-    return df.withColumn(key, canonical_path_key(path))
-
-
 def parent_dir(x: str | Column) -> Column:
     return F.regexp_extract(c(x), r"(?s)^(.*)/[^/]*$", 1)
 
@@ -195,7 +198,18 @@ def render_names(
     rows = rows.select("account_id", "clip_id", "_shared_id", path.alias("path"))
     longer = set_file_name("path", append_suffix(file_name("path"), "clip_id", charset, size))
     rows = rows.withColumn("path", F.when(F.col("_shared_id"), longer).otherwise(F.col("path"))).drop("_shared_id")
-    many = lambda key: F.count("*").over(Window.partitionBy("account_id", key)) > 1
-    rows = rows.withColumn("_many", many("path")).withColumn("path", F.when(F.col("_many"), longer).otherwise(F.col("path")))
-    rows = rows.withColumn("_key", canonical_path_key("path")).withColumn("_many", many("_key"))
-    return rows.select("account_id", "clip_id", F.when(F.col("_many"), longer).otherwise(F.col("path")).alias("path"))
+    rows = _parted(rows.withColumn("_key", F.col("path")), longer)
+    return _parted(rows.withColumn("_key", canonical_path_key("path")), longer)
+
+
+def _parted(rows: DataFrame, longer: Column) -> DataFrame:
+    """(account_id, clip_id, path, _key) -> (account_id, clip_id, path): the longer path where several rows of an account share the key.
+
+    Hashes of keys are counted first, so that only rows that may share one are compared, and get a longer name made.
+    """
+    rows = written(rows.withColumn("_hash", F.xxhash64("_key")), "names")
+    shared = rows.groupBy("account_id", "_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("account_id", "_hash")
+    few = rows.join(shared, ["account_id", "_hash"], "left_semi")
+    several = F.count("*").over(Window.partitionBy("account_id", "_key")) > 1
+    few = few.withColumn("_several", several).select("account_id", "clip_id", F.when(F.col("_several"), longer).otherwise(F.col("path")).alias("path"))
+    return rows.join(shared, ["account_id", "_hash"], "left_anti").select("account_id", "clip_id", "path").unionByName(few)

@@ -109,30 +109,30 @@ def resolve_roots(lookup: DataFrame, settled: DataFrame | None = None) -> DataFr
         F.when(inner, F.col("parent_id")).alias("least"),
     )
     rows = written(rows, "roots")
-
-    def open_rows(df: DataFrame) -> tuple[int, int]:
-        """How many there are, and how many in one account at most."""
-        n = df.where("root_id is null").groupBy("account_id").count().agg(F.sum("count"), F.max("count")).first()
-        return n[0] or 0, n[1] or 0
-
     ends = lambda df: df.select("account_id", F.col("clip_id").alias("jump"), F.col("root_id").alias("t_root"), F.col("status").alias("t_status"))
     took = [F.coalesce("root_id", "t_root").alias("root_id"), F.coalesce("status", "t_status").alias("status")]
     left, last, made, done = rows.where("root_id is null"), rows.where("root_id is not null"), [rows], [rows.where("root_id is not null")]
-    (many, longest), reach, finishing = open_rows(rows), 1, True
-    while many and (finishing or reach < longest):  # once none finishes, all that is left runs in cycles of `longest` rows at most
+    many, targets = rows.where("root_id is null").count(), None
+    while many:
         first = written(left.join(ends(last), ["account_id", "jump"], "left").select("account_id", "clip_id", "jump", *took, "least"), "roots")
         rest = first.where("root_id is null")
         onward = rest.select("account_id", F.col("clip_id").alias("jump"), F.col("jump").alias("t_jump"), F.col("least").alias("t_least"), F.lit(None).cast("string").alias("t_root"), F.lit(None).cast("string").alias("t_status"))
         onward = onward.unionByName(ends(first.where("root_id is not null")), allowMissingColumns=True)
-        second = rest.join(onward, ["account_id", "jump"]).select("account_id", "clip_id", F.col("t_jump").alias("jump"), *took, F.least("least", "t_least").alias("least"))
+        second = rest.join(onward, ["account_id", "jump"]).select("account_id", "clip_id", F.col("t_jump").alias("jump"), *took, F.least("least", "t_least").alias("least"), (F.col("t_least") < F.col("least")).alias("moved"))
         second = written(second, "roots")
-        last = first.where("root_id is not null").unionByName(second.where("root_id is not null"))
+        last = first.where("root_id is not null").unionByName(second.where("root_id is not null").drop("moved"))
         left = second.where("root_id is null")
         done.append(last)
         made += [first, second]
-        before, (many, longest), reach = many, open_rows(second), 2 * reach
-        finishing = many < before
-    # what still jumps runs in a cycle by now, and the row that it points at has seen all of it
+        before = many
+        many, *now = left.agg(F.count("*"), F.count_distinct("account_id", "jump"), F.count_if("moved")).first()
+        if many == before:
+            # None finished, so all that is left runs into cycles. Once jumps have no fewer targets than in the round before,
+            # all of them lie on cycles; once no least id changes, each has seen all that it can reach.
+            if now == [targets, 0]:
+                break
+            targets = now[0]
+    # what still jumps runs in a cycle, and the row that it points at has seen all of it
     seen = left.select("account_id", F.col("clip_id").alias("jump"), F.col("least").alias("t_least"))
     cycles = left.join(seen, ["account_id", "jump"]).select("account_id", "clip_id", F.col("t_least").alias("root_id"), F.lit("cycle").alias("status"))
     found = written(reduce(DataFrame.unionByName, [d.select("account_id", "clip_id", "root_id", "status") for d in done], cycles), "roots")

@@ -22,3 +22,12 @@ def test_whole_library_names(spark):
     # a clip's name does not change when the batch is smaller, but for the passes over one batch
     part = {r.clip_id: r.path for r in naming.render_names(clips.where("clip_id not like 'a%' and clip_id not like 'A%'"), titles, ids).collect()}
     assert part == {k: v for k, v in got.items() if k in part}
+
+
+def test_path_keys_by_characters(spark):
+    """Every letter and mark there is, alone and after others, as one character at a time gives them; nulls, NULs and final sigmas."""
+    points = [chr(k) for k in range(0x20, 0x30000) if not 0xD800 <= k <= 0xDFFF]
+    rows = ["".join(points[k : k + 97]) for k in range(0, len(points), 97)] + [c + "́x" for c in points[::53]] + ["ΟΔΟΣ/ΟΔΟΣ.mp3", "İI", "a\0É\0", "", None, "é/É"]
+    for batch in (rows, [None, "ascii/Only"], [r for r in rows if r is None or "\0" not in r]):
+        got = spark.createDataFrame([(r,) for r in batch], "p string").select("p", naming.canonical_path_key("p").alias("k")).collect()
+        assert all(r["k"] == (None if r["p"] is None else "".join(ch.lower() for ch in unicodedata.normalize("NFC", r["p"]))) for r in got)
