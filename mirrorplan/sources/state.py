@@ -101,7 +101,8 @@ def commit(spark: SparkSession, path: str, base: Version, tables: dict[str, Data
             df.write.parquet(f"{path}/{at}")
             places[name] = at
             continue
-        df.select("*", _bucket()).write.partitionBy(_BUCKET).parquet(f"{path}/{at}")
+        # few files to a bucket, and a bucket with many rows is written by several tasks
+        df.select("*", _bucket()).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{path}/{at}")
         old = base.tables.get(name, {}) if buckets is not None else {}
         kept = {k: v for k, v in old.items() if int(k) not in buckets} if old else {}
         places[name] = kept | {n.split("=")[1]: f"{at}/{n}" for n in _names(spark, f"{path}/{at}") if n.startswith(f"{_BUCKET}=")}

@@ -129,7 +129,7 @@ def fold_batch(batch: DataFrame, path: str, number: int) -> state.Version:
     edges = written(lineage.update_edges(edges, lineage.all_edges(latest), now), "edges")
     archived = lineage.archived_parents(edges).withColumnRenamed("child_id", "clip_id")
 
-    live = lineage.parents(latest).select(*key, "parent_id")
+    live = written(lineage.parents(latest).select(*key, "parent_id"), "live")
     old = lapsing.join(live, key, "left_anti").join(archived, key, "left")
     before = tree.select(*key, F.col("parent_id").alias("_was"), F.col("root_id").alias("_root"), F.lit(True).alias("_known"))
     changed = live.unionByName(old).join(before, key, "left").where(F.col("_known").isNull() | ~F.col("parent_id").eqNullSafe(F.col("_was")))
@@ -145,7 +145,7 @@ def fold_batch(batch: DataFrame, path: str, number: int) -> state.Version:
         "lapsing": live.join(archived.withColumnRenamed("parent_id", "_archived"), key, "left").where(~F.col("parent_id").eqNullSafe(F.col("_archived"))).select(*key),
     }
     version = state.commit(spark, path, base, tables, LINEAGE, buckets, {"batch": number})
-    discard(latest, edges, changed, lookup, found)
+    discard(latest, live, edges, changed, lookup, found)
     return version
 
 
