@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 BUCKETS = 64
 _BUCKET = "_account_bucket"
 _ONE = "table"
@@ -169,16 +171,11 @@ def scan_inventory(spark: SparkSession, root: str, account_id: str) -> DataFrame
     """Files under root: path below it, size, whether they are audio, a content hash of the others, and unreadable.
 
     Audio is never read: without its content only the listing is. A file that is listed but whose content cannot
-    be read is unreadable, not missing. Spark lists no empty files, so those count as missing, which the planner
-    treats alike.
+    be read is unreadable, not missing. Empty files are listed, with size 0, which the planner treats as missing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
-    below = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
-    base = "/" + root.split("://")[-1].split(":/")[-1].strip("/")
-    place, audio = F.substr(below, F.lit(len(base) + 2)), F.lower("path").rlike(AUDIO)
-    listed = files.load(root).select(place.alias("path"), F.col("length").alias("size"), audio.alias("audio"))
-    hashed = files.load(root).where(~audio).select(place.alias("path"), F.sha2("content", 256).alias("content_hash"))
-    rows = listed.join(hashed, "path", "left")
+    uri = files.folder_uri(spark, root)
+    listed = files.list_files(spark, uri).withColumn("audio", F.lower("path").rlike(AUDIO))
+    rows = listed.join(files.content_hashes(spark, uri, listed.where("not audio")), "path", "left")
     unreadable = ~F.col("audio") & F.col("content_hash").isNull()
     return rows.select(F.lit(account_id).alias("account_id"), "path", F.lit(True).alias("exists"), "size", "content_hash", "audio", unreadable.alias("unreadable"))
 

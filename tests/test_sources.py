@@ -1,10 +1,11 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from mirrorplan.operators.reports import orphan_files
-from mirrorplan.sources import ingest, state
+from mirrorplan.sources import files, ingest, state
 from mirrorplan.streaming import feeds
 
 
@@ -75,11 +76,11 @@ def test_inventory_of_a_folder(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     found = state.scan_inventory(spark, str(tmp_path), "1")
     rows = {r.path: (r.size, r.content_hash is None) for r in found.collect()}
-    assert rows == {"a/x.MP3": (3, True), "a/y.flac": (1, True), "b.jpg": (3, False), "c/z.txt": (4, False)}  # Spark lists no empty files
+    assert rows == {"a/x.MP3": (3, True), "a/y.flac": (1, True), "a/empty.mp3": (0, True), "b.jpg": (3, False), "c/z.txt": (4, False)}
     recorded = spark.createDataFrame([("1", "b.jpg"), ("1", "lost.mp3")], "account_id string, path string")
     assert {(r.path, r.exists, r.size) for r in state.probe(recorded, found).collect()} == {("b.jpg", True, 3), ("lost.mp3", False, 0)}
     m = spark.createDataFrame([("1", "A/X.mp3")], "account_id string, path string")
-    assert [r.path for r in orphan_files(found, m, m.limit(0)).collect()] == ["a/y.flac"]
+    assert sorted(r.path for r in orphan_files(found, m, m.limit(0)).collect()) == ["a/empty.mp3", "a/y.flac"]
 
 
 def test_unreadable_is_not_missing(spark, tmp_path):
@@ -93,6 +94,36 @@ def test_unreadable_is_not_missing(spark, tmp_path):
     assert got == {"good.txt": (True, False, False), "bad.txt": (True, True, True), "lost.txt": (False, False, True)}
 
 
+def test_large_empty_and_odd_files(spark, tmp_path):
+    """3 GB of which nothing is on disk, empty files, names that Spark passes over or takes for patterns; by rows and by ranges."""
+    root = tmp_path / "a [1] {b}%20*"
+    names = {"x y/\u00e9 #1?.txt": b"odd", "_first.txt": b"under", "_d/e/f.jpg": b"deep", "none.txt": b"", "_none.lrc": b"", ".hidden": b"no", "plain.txt": b"p" * 70_000}
+    for name, data in names.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    (root / "gone.txt").symlink_to(root / "nowhere")
+    with open(root / "big.bin", "wb") as f:
+        f.truncate(3 << 30)
+    want, big = {n: hashlib.sha256(d).hexdigest() for n, d in names.items() if n != ".hidden"}, hashlib.sha256()
+    for _ in range(3 << 4):
+        big.update(bytes(1 << 26))
+    found = state.scan_inventory(spark, str(root), "1").collect()
+    assert {r.path: r.content_hash for r in found} == want | {"big.bin": big.hexdigest()}
+    assert {r.path: r["size"] for r in found} == {n: len(names[n]) for n in want} | {"big.bin": 3 << 30} and not any(r.unreadable for r in found)
+    (root / "big.bin").unlink()
+    uri = files.folder_uri(spark, str(root))
+    for whole in (0, 10, 1 << 20):
+        got = files.content_hashes(spark, uri, files.list_files(spark, uri), whole, 7).collect()
+        assert {r.path: r.content_hash for r in got} == want
+    gone = spark.createDataFrame([("lost.txt", 1), ("lost.bin", 1 << 40)], "path string, size bigint")
+    assert {tuple(r) for r in files.content_hashes(spark, uri, gone).collect()} == {("lost.txt", None), ("lost.bin", None)}
+    (tmp_path / "empty").mkdir()
+    assert state.scan_inventory(spark, str(tmp_path / "empty"), "1").collect() == []
+    for bad in (str(tmp_path / "none"), str(root / "plain.txt")):
+        with pytest.raises(FileNotFoundError):
+            state.scan_inventory(spark, bad, "1")
+
+
 def test_streams(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
