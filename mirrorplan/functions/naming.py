@@ -150,6 +150,14 @@ def relocated_stem_path(base: str | Column, old: str | Column) -> Column:
     return F.when(F.contains(c(old), F.lit(".stems/")), F.concat(c(base), F.lit(".stems/"), inner))
 
 
+def relocated_stem_key(base_key: str | Column, old: str | Column, old_key: str | Column) -> Column:
+    """The canonical key of relocated_stem_path, from the keys of its parts. Slashes compose with nothing and stay as many as they are."""
+    inner = F.regexp_extract(c(old), r"(?s)^.*\.stems/(.*)$", 1)
+    parts = F.length(inner) - F.length(F.replace(inner, F.lit("/"))) + 1
+    moved = F.concat(c(base_key), F.lit(".stems/"), F.call_function("substring_index", c(old_key), F.lit("/"), -parts))
+    return F.when(F.contains(c(old), F.lit(".stems/")), moved)
+
+
 def relative_path(x: str | Column) -> Column:
     """Without empty, '.' and '..' components."""
     return F.array_join(F.filter(F.split(c(x), "/"), lambda p: ~p.isin("", ".", "..")), "/")

@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clips import content_hash
-from ..functions.naming import SIDECARS, audio_base, canonical_path_key, relocated_stem_path
+from ..functions.naming import SIDECARS, audio_base, canonical_path_key, relocated_stem_key, relocated_stem_path
 from ..operators.authority import deletion_allowed
-from ..tables import numbered, written
+from ..tables import discard, numbered, written
 
 # Format order for ties, kinds that a run may delete when they are switched off, kind order.
 FORMATS = ("mp3", "flac", "wav", "alac")
@@ -33,19 +33,33 @@ WRITES = ("download", "reformat", "write_artifact", "write_stem")
 MOVES = ("rename", "move_artifact", "move_stem")
 DELETES = ("delete", "delete_artifact", "delete_stem")
 CLIP = ["account_id", "clip_id"]
+# Where the key of each path lies, for plans that carry the keys of their paths.
+_KEYS = {"d_path": "d_pathkey", "m_path": "m_pathkey", "w_path": "w_pathkey", "s_path": "s_pathkey", "_heal": "_healkey", "_moved": "_movedkey", "path": "pathkey"}
 PLAN = ["account_id", "section", "clip_id", "step", "slot_kind", "slot_key", "action", "path", "from_path", "source_url", "hash", "content", "format", "from_format", "reason"]
 
 
 def _row(action: Column | str, step: int = 0, **fields: Column | str) -> Column:
-    """One plan row as a struct; what is not given is null, slot fields ''."""
-    base = {"slot_kind": F.lit(""), "slot_key": F.lit(""), **{k: F.lit(None).cast("string") for k in PLAN[7:]}}
+    """One plan row as a struct, with the keys of its paths; what is not given is null, slot fields ''. Paths are given by name."""
+    null = F.lit(None).cast("string")
+    base = {"slot_kind": F.lit(""), "slot_key": F.lit(""), **{k: null for k in PLAN[7:]}}
     values = base | {k: F.col(v) if isinstance(v, str) else v for k, v in fields.items()}
+    values |= {key: F.col(_KEYS[fields[at]]) if at in fields else null for key, at in (("_key", "path"), ("_from", "from_path"))}
     return F.struct(F.lit(step).alias("step"), (F.lit(action) if isinstance(action, str) else action).alias("action"), *(v.cast("string").alias(k) for k, v in values.items()))
 
 
-def _exploded(rows: DataFrame, section: int, actions: Column) -> DataFrame:
-    out = rows.select("account_id", F.lit(section).alias("section"), "clip_id", F.explode(F.array_compact(actions)).alias("a"))
-    return out.select("account_id", "section", "clip_id", *(F.col(f"a.{x}") for x in PLAN[3:]))
+def _exploded(rows: DataFrame, section: int, actions: Column, keys: bool) -> DataFrame:
+    return _flat(rows.select("account_id", F.lit(section).alias("section"), "clip_id", F.explode(F.array_compact(actions)).alias("a")), keys)
+
+
+def _flat(rows: DataFrame, keys: bool) -> DataFrame:
+    """Plan rows from their structs. keys: with _key and _from, as keyed() gives them."""
+    carried = (F.coalesce(f"a.{k}", _no_path()).alias(k) for k in ("_key", "_from") if keys)
+    return rows.select("account_id", "section", "clip_id", *(F.col(f"a.{x}") for x in PLAN[3:]), *carried)
+
+
+def with_pathkey(df: DataFrame) -> DataFrame:
+    """df with pathkey, the canonical key of its path, unless it was landed with one."""
+    return df if "pathkey" in df.columns else df.withColumn("pathkey", canonical_path_key("path"))
 
 
 def aggregate_desired(desired: DataFrame) -> DataFrame:
@@ -62,7 +76,8 @@ def aggregate_desired(desired: DataFrame) -> DataFrame:
 
 
 def plan_inputs(desired: DataFrame, manifest: DataFrame, inventory: DataFrame, gate: DataFrame) -> DataFrame:
-    """Desired and recorded rows of each clip side by side (d_*, m_*), with the file at the recorded path (f_*)."""
+    """Desired and recorded rows of each clip side by side (d_*, m_*), with the keys of their paths and the file at the recorded path (f_*)."""
+    desired, manifest = with_pathkey(desired), with_pathkey(manifest)
     d = desired.select(*CLIP, F.lit(True).alias("d"), *(F.col(c).alias(f"d_{c}") for c in desired.columns if c not in CLIP))
     m = manifest.select(*CLIP, F.lit(True).alias("m"), *(F.col(c).alias(f"m_{c}") for c in manifest.columns if c not in CLIP))
     f = inventory.select("account_id", F.col("path").alias("m_path"), F.lit(True).alias("f"), *(F.col(c).alias(f"f_{c}") for c in inventory.columns if c not in ("account_id", "path")))
@@ -112,14 +127,13 @@ def audio_state(rows: DataFrame) -> Column:
     return F.when(F.coalesce("f_observed", F.lit(False)), seen).otherwise(unseen)
 
 
-def plan_audio(inputs: DataFrame) -> DataFrame:
+def plan_audio(inputs: DataFrame, keys: bool = False) -> DataFrame:
     """Rows of every wanted clip's audio file (section 0)."""
-    rows = inputs.where("d").withColumns({"_dkey": canonical_path_key("d_path"), "_mkey": canonical_path_key("m_path")})
-    rows = rows.withColumn("_state", audio_state(rows))
+    rows = inputs.where("d").withColumn("_state", audio_state(inputs))
     skip = _row("skip")
     download = _row("download", path="d_path", format="d_format")
     missing = F.col("f").isNull() | ~F.col("f_exists") | (F.col("f_size") == 0)
-    moved = F.col("_dkey") != F.col("_mkey")
+    moved = F.col("d_pathkey") != F.col("m_pathkey")
     verify = lambda step: _row("verify_audio", step, hash="d_meta_hash")
     second = F.when(F.col("_state") == "retag", _row("retag", 1, path="d_path")).when(F.col("_state") == "verify", verify(1))
     alone = F.when(F.col("_state") == "retag", _row("retag", path="m_path")).when(F.col("_state") == "verify", verify(0)).otherwise(skip)
@@ -132,12 +146,12 @@ def plan_audio(inputs: DataFrame) -> DataFrame:
         .when(moved, F.array(_row("rename", path="d_path", from_path="m_path"), second))
         .otherwise(one(alone))
     )
-    return _exploded(rows, 0, actions)
+    return _exploded(rows, 0, actions, keys)
 
 
-def absent_actions(inputs: DataFrame) -> DataFrame:
+def absent_actions(inputs: DataFrame, keys: bool = False) -> DataFrame:
     """Recorded clips that are no longer wanted (section 1): deleted if they may be, else skipped."""
-    return _exploded(inputs.where("d is null"), 1, F.array(F.when(F.col("may_delete"), _row("delete", path="m_path")).otherwise(_row("skip"))))
+    return _exploded(inputs.where("d is null"), 1, F.array(F.when(F.col("may_delete"), _row("delete", path="m_path")).otherwise(_row("skip"))), keys)
 
 
 def write_drift(expected: Column) -> Column:
@@ -159,9 +173,10 @@ def write_drift(expected: Column) -> Column:
 
 
 def slot_inputs(wanted: DataFrame, stored: DataFrame, inventory: DataFrame, keys: list[str]) -> DataFrame:
-    """Wanted (w_*) and stored (s_*) slots side by side, with the file at the stored path."""
-    w = wanted.select(*keys, F.lit(True).alias("w"), *(F.col(c).alias(f"w_{c}") for c in wanted.columns if c not in keys)).withColumn("w_pathkey", canonical_path_key("w_path"))
-    s = stored.select(*keys, F.lit(True).alias("s"), *(F.col(c).alias(f"s_{c}") for c in stored.columns if c not in keys)).withColumn("s_pathkey", canonical_path_key("s_path"))
+    """Wanted (w_*) and stored (s_*) slots side by side, with the keys of their paths and the file at the stored path."""
+    wanted, stored = with_pathkey(wanted), with_pathkey(stored)
+    w = wanted.select(*keys, F.lit(True).alias("w"), *(F.col(c).alias(f"w_{c}") for c in wanted.columns if c not in keys))
+    s = stored.select(*keys, F.lit(True).alias("s"), *(F.col(c).alias(f"s_{c}") for c in stored.columns if c not in keys))
     f = inventory.select("account_id", F.col("path").alias("s_path"), F.lit(True).alias("f"), *(F.col(c).alias(f"f_{c}") for c in ("exists", "size", "content_hash", "unreadable")))
     rows = w.join(s, keys, "full_outer").withColumn("_at", F.coalesce("s_path", F.concat(F.lit("\0"), keys[1])))
     return rows.join(f.withColumnRenamed("s_path", "_at"), ["account_id", "_at"], "left").drop("_at")
@@ -171,14 +186,18 @@ def _there() -> Column:
     return F.coalesce(F.col("f_exists") & (F.col("f_size") > 0), F.lit(False))
 
 
-def plan_slots(slots: DataFrame, clips: DataFrame) -> DataFrame:
+# What plan_slots needs to know of a clip.
+NEEDED = ["can_delete", "m", "m_preserve", "d_path", "d_pathkey", "d_format", "d_trashed", "protected_now", "d_stems_authoritative"]
+
+
+def plan_slots(slots: DataFrame, clips: DataFrame, keys: bool = False) -> DataFrame:
     """Rows of the sidecars and stems of clips whose audio is kept (section 0, steps 10 to 13).
 
     slots: slot_inputs by (account_id, clip_id, kind, key). clips: per clip, can_delete, m, m_preserve, d_path,
-    d_format, d_trashed, protected_now, d_stems_authoritative.
+    d_pathkey, d_format, d_trashed, protected_now, d_stems_authoritative.
     """
-    needed = ["can_delete", "m", "m_preserve", "d_path", "d_format", "d_trashed", "protected_now", "d_stems_authoritative"]
-    rows = slots.join(clips.select(*CLIP, *needed), CLIP).withColumns({"slot_kind": F.col("kind"), "slot_key": F.col("key"), "_base": audio_base("d_path", "d_format")})
+    rows = slots.join(clips.select(*CLIP, *NEEDED), CLIP).withColumns({"slot_kind": F.col("kind"), "slot_key": F.col("key"), "_base": audio_base("d_path", "d_format"), "_basekey": audio_base("d_pathkey", F.lower("d_format"))})
+    rows = rows.withColumn("_basekey", F.when(F.col("_base").isNotNull(), F.col("_basekey")))
     may_delete = F.coalesce(F.col("can_delete") & F.col("m") & ~F.col("m_preserve") & (F.col("s_path") != ""), F.lit(False))
     rows = rows.withColumn("_may_delete", may_delete)
     slot = {"slot_kind": "slot_kind", "slot_key": "slot_key"}
@@ -198,14 +217,14 @@ def plan_slots(slots: DataFrame, clips: DataFrame) -> DataFrame:
     suffix = F.element_at(F.create_map(*[F.lit(x) for kv in SIDECARS.items() for x in kv]), F.col("kind"))
     healed = F.concat("_base", suffix)
     heal = ~F.col("d_trashed") & (F.col("_base") != "") & (F.col("s_pathkey") != F.col("_healkey")) & _there()
-    side = side.withColumn("_heal", healed).withColumn("_healkey", canonical_path_key("_heal"))
+    side = side.withColumns({"_heal": healed, "_healkey": F.concat("_basekey", suffix)})  # a dot composes with nothing, so keys can be put together
     gone = F.when(removed, _row("delete_artifact", 11, path="s_path", **slot)).when(
         heal, _row("move_artifact", 12, path="_heal", from_path="s_path", source_url=F.lit(""), hash="s_source_hash", **slot)
     )
-    out = _exploded(side, 0, F.array(F.when(F.col("w"), wanted).otherwise(gone)))
+    out = _exploded(side, 0, F.array(F.when(F.col("w"), wanted).otherwise(gone)), keys)
 
     # stems: an unknown listing only lets them follow the song
-    stem = rows.where("kind = 'stem'").withColumn("_moved", relocated_stem_path("_base", "s_path")).withColumn("_movedkey", canonical_path_key("_moved"))
+    stem = rows.where("kind = 'stem'").withColumns({"_moved": relocated_stem_path("_base", "s_path"), "_movedkey": relocated_stem_key("_basekey", "s_path", "s_pathkey")})
     follow = ~F.col("d_trashed") & (F.col("_base") != "") & (F.col("s_pathkey") != F.col("_movedkey")) & _there()
     changed = F.col("s").isNull() | (F.col("s_source_hash") != F.col("w_hash")) | (F.col("s_pathkey") != F.col("w_pathkey"))
     listed = (
@@ -214,16 +233,15 @@ def plan_slots(slots: DataFrame, clips: DataFrame) -> DataFrame:
         .when(F.col("w").isNull() & ~F.col("protected_now") & F.col("_may_delete"), _row("delete_stem", 14, path="s_path", **slot))
     )
     unlisted = F.when(F.col("s") & F.coalesce(follow, F.lit(False)), _row("move_stem", 13, path="_moved", from_path="s_path", source_url=F.lit(""), hash="s_source_hash", format=F.lit("mp3"), **slot))
-    return out.unionByName(_exploded(stem, 0, F.array(F.when(F.col("d_stems_authoritative"), listed).otherwise(unlisted))))
+    return out.unionByName(_exploded(stem, 0, F.array(F.when(F.col("d_stems_authoritative"), listed).otherwise(unlisted)), keys))
 
 
-def co_deletes(audio: DataFrame, stored: DataFrame) -> DataFrame:
+def co_deletes(audio: DataFrame, stored: DataFrame, keys: bool = False) -> DataFrame:
     """Deletes of all slots of the clips whose audio is deleted."""
     gone = audio.where("action = 'delete'").select(*CLIP, "section")
-    rows = stored.where("path <> ''").join(gone, CLIP).withColumns({"slot_kind": F.col("kind"), "slot_key": F.col("key"), "_stem": F.col("kind") == "stem"})
+    rows = with_pathkey(stored).where("path <> ''").join(gone, CLIP).withColumns({"slot_kind": F.col("kind"), "slot_key": F.col("key"), "_stem": F.col("kind") == "stem"})
     row = _row(F.when(F.col("_stem"), "delete_stem").otherwise("delete_artifact"), 20, path="path", slot_kind="slot_kind", slot_key="slot_key")
-    out = rows.select("account_id", "section", "clip_id", row.alias("a"))
-    return out.select("account_id", "section", "clip_id", *(F.col(f"a.{x}") for x in PLAN[3:]))
+    return _flat(rows.select("account_id", "section", "clip_id", row.alias("a")), keys)
 
 
 def suppress_target_clobber(plan: DataFrame, manifest: DataFrame, manifest_slots: DataFrame) -> DataFrame:
@@ -231,8 +249,17 @@ def suppress_target_clobber(plan: DataFrame, manifest: DataFrame, manifest_slots
 
     A path is held by the clip with the smallest id that recorded it, whatever its case or composition.
     """
-    paths = manifest.select(*CLIP, "path").union(manifest_slots.select(*CLIP, "path")).withColumn("_key", canonical_path_key("path"))
-    holders = paths.groupBy("account_id", "_key").agg(F.min("clip_id").alias("_holder"))
+    return skip_clobbers(plan, path_holders(manifest, manifest_slots))
+
+
+def path_holders(manifest: DataFrame, manifest_slots: DataFrame) -> DataFrame:
+    """(account_id, _key, _holder): the clip that holds each recorded path."""
+    paths = with_pathkey(manifest).select(*CLIP, "pathkey").union(with_pathkey(manifest_slots).select(*CLIP, "pathkey"))
+    return paths.groupBy("account_id", F.col("pathkey").alias("_key")).agg(F.min("clip_id").alias("_holder"))
+
+
+def skip_clobbers(plan: DataFrame, holders: DataFrame) -> DataFrame:
+    """suppress_target_clobber with path_holders() at hand."""
     rows = keyed(plan)
     freed = rows.where(F.col("action").isin(*DELETES)).select("account_id", "_key", F.lit(True).alias("_freed")).distinct()
     rows = rows.join(holders, ["account_id", "_key"], "left").join(freed, ["account_id", "_key"], "left")
@@ -285,7 +312,7 @@ def plan_albums(album_desired: DataFrame, album_art: DataFrame, inventory: DataF
         drift == "write", _row("write_artifact", path="w_path", source_url="w_source_url", hash="w_hash", slot_kind="slot_kind")
     )
     gone = F.when(may & (F.col("s_path") != ""), _row("delete_artifact", path="s_path", slot_kind="slot_kind"))
-    return _exploded(rows, 2, F.array(F.when(F.col("w"), wanted).otherwise(gone)))
+    return _exploded(rows, 2, F.array(F.when(F.col("w"), wanted).otherwise(gone)), False)
 
 
 def plan_playlists(playlist_desired: DataFrame, playlist_state: DataFrame, inventory: DataFrame, gate: DataFrame, listed: DataFrame) -> DataFrame:
@@ -300,7 +327,7 @@ def plan_playlists(playlist_desired: DataFrame, playlist_state: DataFrame, inven
     may = F.coalesce(F.col("can_delete") & F.col("playlists_enumerated"), F.lit(False)) & (F.col("s_path") != "")
     write = F.when(F.col("w") & (write_drift(F.col("w_hash")) == "write"), _row("write_artifact", 0, path="w_path", source_url=F.lit(""), hash="w_hash", content="w_content", slot_kind="slot_kind"))
     delete = F.when(may & (F.col("w").isNull() | (F.col("s_path") != F.col("w_path"))), _row("delete_artifact", 1, path="s_path", slot_kind="slot_kind"))
-    return suppress_path_aliasing(_exploded(rows, 3, F.array(write, delete)))
+    return suppress_path_aliasing(_exploded(rows, 3, F.array(write, delete), True)).select(*PLAN)
 
 
 def order_plan(plan: DataFrame) -> DataFrame:
@@ -315,14 +342,19 @@ def reconcile(
 ) -> DataFrame:
     """The whole plan. albums and playlists: their desired and stored tables; authority: run_authority rows."""
     gate = deletion_allowed(accounts, statuses)
-    inputs = written(plan_inputs(aggregate_desired(desired), manifest, inventory, gate), "inputs")  # four readers below
+    recorded = with_pathkey(manifest_slots)
+    if "pathkey" not in manifest_slots.columns:
+        recorded = written(recorded, "slots")  # three readers below
+    inputs = written(plan_inputs(aggregate_desired(desired), manifest, inventory, gate), "inputs")  # five readers below
     slots = desired_slots.join(inputs.where("d").select(*CLIP, F.col("d_ord").alias("ord")), [*CLIP, "ord"], "left_semi").drop("ord")
-    audio = written(plan_audio(inputs).unionByName(absent_actions(inputs)), "audio")
+    audio = written(plan_audio(inputs, True).unionByName(absent_actions(inputs, True)), "audio")
     blocked = audio.where("action in ('delete', 'unverifiable')").select(*CLIP)
-    kept = inputs.where("d").join(blocked, CLIP, "left_anti").select(*CLIP, "can_delete", "m", "m_preserve", "d_path", "d_format", "d_trashed", "protected_now", "d_stems_authoritative")
-    sides = plan_slots(slot_inputs(slots, manifest_slots, inventory, [*CLIP, "kind", "key"]), kept)
-    plan = written(keyed(audio.unionByName(sides).unionByName(co_deletes(audio, manifest_slots))), "plan")
-    plan = suppress_path_aliasing(suppress_target_clobber(plan, manifest, manifest_slots)).select(*PLAN)
+    kept = inputs.where("d").join(blocked, CLIP, "left_anti").select(*CLIP, *NEEDED)
+    sides = plan_slots(slot_inputs(slots, recorded, inventory, [*CLIP, "kind", "key"]), kept, True)
+    plan = written(audio.unionByName(sides).unionByName(co_deletes(audio, recorded, True)), "plan")
+    holders = written(path_holders(inputs.where("m").select(*CLIP, F.col("m_path").alias("path"), F.col("m_pathkey").alias("pathkey")), recorded), "holders")
+    discard(inputs, audio, *([recorded] if recorded is not manifest_slots else []))
+    plan = suppress_path_aliasing(skip_clobbers(plan, holders)).select(*PLAN)
     if albums:
         plan = plan.unionByName(plan_albums(*albums, inventory, gate, authority))
     if playlists:

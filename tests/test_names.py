@@ -1,5 +1,7 @@
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from mirrorplan.functions import naming
 
 
@@ -31,3 +33,17 @@ def test_path_keys_by_characters(spark):
     for batch in (rows, [None, "ascii/Only"], [r for r in rows if r is None or "\0" not in r]):
         got = spark.createDataFrame([(r,) for r in batch], "p string").select("p", naming.canonical_path_key("p").alias("k")).collect()
         assert all(r["k"] == (None if r["p"] is None else "".join(ch.lower() for ch in unicodedata.normalize("NFC", r["p"]))) for r in got)
+
+
+def test_keys_put_together_from_parts(spark):
+    """The keys of moved sidecars and stems are those of the whole paths, whatever letters and marks meet at the seams."""
+    bases = ["a/Café", "a/Café", "İ/ΟΔΟΣ", "x/가", "k/K̸", "", "e.MP3", "z/á.Stems/B"]
+    olds = ["q/É.stems/ s.mp3", "q/É.stems/́é.MP3", "q.stems/w.STEMS/İ/x̸.mp3", "q.stems/a.stems/b.mp3", "q.STEMS/n.mp3", "none.mp3", "", None, ";.stems/;/Å"]
+    rows = [(f"{b}.{x}", x, o) for b in bases for x in ("mp3", "MP3", "flac") for o in olds] + [("odd.wav", "mp3", "q.stems/a.mp3")]
+    df = spark.createDataFrame(rows, "path string, format string, old string").withColumn("base", naming.audio_base("path", "format"))
+    df = df.withColumns({"key": naming.canonical_path_key("path"), "old_key": naming.canonical_path_key("old"), "moved": naming.relocated_stem_path("base", "old"), "healed": F.concat("base", F.lit(".details.txt"))})
+    base_key = F.when(F.col("base").isNotNull(), naming.audio_base("key", F.lower("format")))
+    df = df.withColumns({"moved_key": naming.relocated_stem_key(base_key, "old", "old_key"), "healed_key": F.concat(base_key, F.lit(".details.txt"))})
+    fold = lambda p: None if p is None else "".join(ch.lower() for ch in unicodedata.normalize("NFC", p))
+    for r in df.collect():
+        assert (r["moved_key"], r["healed_key"]) == (fold(r["moved"]), fold(r["healed"])), r

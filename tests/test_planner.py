@@ -1,5 +1,6 @@
 """The planner against a plain model, and its invariants, on random small tables."""
 
+import os
 import random
 import unicodedata
 
@@ -173,6 +174,23 @@ def test_failed_actions_do_not_advance_state(spark):
     assert ms2.count() == ms.join(m, ["account_id", "clip_id"], "left_semi").count()
 
 
+def test_keys_are_made_once_and_steps_are_dropped(spark, monkeypatch):
+    """Landed keys are taken as they are; without them three tables are keyed; only two tables are left in the shared folder."""
+    d, ds, m, ms, inv, accounts, st = frames(spark, world(4, 30))
+    made, left, keyed = r.written, [], []
+    monkeypatch.setattr(r, "written", lambda df, name: left.append((name, made(df, name))) or left[-1][1])
+    key = r.canonical_path_key
+    monkeypatch.setattr(r, "canonical_path_key", lambda x: keyed.append(x) or key(x))
+    plan = sorted(map(str, r.reconcile(d, ds, m, ms, inv, accounts, st).collect()))
+    assert len(keyed) == 4 and [n for n, df in left if os.path.exists(df.inputFiles()[0].removeprefix("file:"))] == ["plan", "holders"]
+    keyed.clear()
+    landed = [r.with_pathkey(x) for x in (d, ds, m, ms)]
+    keyed.clear()
+    assert sorted(map(str, r.reconcile(*landed, inv, accounts, st).collect())) == plan and not keyed
+    empty = [x.limit(0) for x in (d, ds, m, ms, inv)]
+    assert r.reconcile(*empty, accounts, st).collect() == []
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 25 and all(x.total > 0 for x in rows)
