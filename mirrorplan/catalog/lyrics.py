@@ -51,6 +51,17 @@ def i02(spark, sf_dir):
     return lyrics.plain_text(rows, rows.select("account_id", "clip_id", F.col("line_no").alias("word_no"), F.col("text").alias("word")))
 
 
+@query(
+    "i05_plain_lyrics",
+    f"""SELECT account_id, clip_id, best || chr(10) AS text FROM (SELECT account_id, clip_id, CASE WHEN {_TRIM.replace('{x}', 'lyrics')} <> '' THEN r{_TRIM.replace('{x}', 'lyrics')} WHEN ord % 4 <> 3 THEN nullif(r{_TRIM.replace('{x}', 'title')}, '') END AS best FROM {{clips}})
+        WHERE best IS NOT NULL""",
+)
+def i05b(spark, sf_dir):
+    """Lyrics of their own, else aligned ones (here the titles, for three clips in four), else none."""
+    rows = role(spark, sf_dir, "clips")
+    return lyrics.plain_lyrics(rows, rows.where("ord % 4 <> 3").select("account_id", "clip_id", F.concat("title", F.lit("  ")).alias("text")))
+
+
 _CS = "CAST(round(start_s * 100) AS BIGINT)"
 _STAMP = f"lpad(CAST({_CS} // 6000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({_CS} // 100) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST({_CS} % 100 AS VARCHAR), 2, '0')"
 

@@ -162,17 +162,31 @@ def d09(spark, sf_dir):
     return reports.plan_summary(plan_catalog.h03(spark, sf_dir))
 
 
-@query(
-    "d10_mass_delete_guard",
-    """SELECT a.account_id, CASE WHEN deletes = 0 OR had = 0 THEN FALSE WHEN want = 0 THEN NOT (k % 2 = 0 AND k % 3 = 0) WHEN k % 5 = 0 AND k % 3 = 0 THEN FALSE ELSE had >= 8 AND deletes * 2 >= had END AS abort FROM {accounts} a JOIN (
-        SELECT account_id, count(*) FILTER (WHERE ord % 7 <> 0) AS had, count(*) FILTER (WHERE ord % 7 <> 0 AND (ord % 3 = 0 OR CAST(account_id AS INTEGER) % 4 = 0)) AS deletes, count(*) FILTER (WHERE ord % 2 = 0 AND CAST(account_id AS INTEGER) % 8 <> 0) AS want FROM {clips} GROUP BY ALL) USING (account_id)""",
-)
-def d10(spark, sf_dir):
+GUARD_SQL = """SELECT a.account_id, CASE WHEN deletes = 0 OR had = 0 THEN FALSE WHEN want = 0 THEN NOT (k % 2 = 0 AND k % 3 = 0) WHEN k % 5 = 0 AND k % 3 = 0 THEN FALSE ELSE had >= 8 AND deletes * 2 >= had END AS abort FROM {accounts} a JOIN (
+        SELECT account_id, count(*) FILTER (WHERE ord % 7 <> 0) AS had, count(*) FILTER (WHERE ord % 7 <> 0 AND (ord % 3 = 0 OR CAST(account_id AS INTEGER) % 4 = 0)) AS deletes, count(*) FILTER (WHERE ord % 2 = 0 AND CAST(account_id AS INTEGER) % 8 <> 0) AS want FROM {clips} GROUP BY ALL) USING (account_id)"""
+
+
+def guard_inputs(spark, sf_dir):
+    """Accounts with what their run asked for, a plan of which some accounts' deletes look like a broken listing, and what is wanted and recorded."""
     rows, k = role(spark, sf_dir, "clips"), F.col("account_id").cast("int")
     accounts = role(spark, sf_dir, "accounts").select("account_id", (F.col("k") % 5).alias("min_newest"), (F.col("k") % 2 == 0).alias("explicit_zero"), (F.col("k") % 3 == 0).alias("yes")).join(rows, "account_id", "left_semi")
     had = rows.where("ord % 7 <> 0")
-    deletes = had.where((F.col("ord") % 3 == 0) | (k % 4 == 0)).withColumn("action", F.lit("delete"))
-    return reports.mass_delete_guard(accounts, deletes, rows.where((F.col("ord") % 2 == 0) & (k % 8 != 0)), had)
+    plan = had.withColumn("action", F.when((F.col("ord") % 3 == 0) | (k % 4 == 0), "delete").otherwise("skip"))
+    return accounts, plan, rows.where((F.col("ord") % 2 == 0) & (k % 8 != 0)), had
+
+
+@query("d10_mass_delete_guard", GUARD_SQL)
+def d10(spark, sf_dir):
+    return reports.mass_delete_guard(*guard_inputs(spark, sf_dir))
+
+
+@query(
+    "d10_guarded_plan",
+    f"""SELECT account_id, clip_id, CASE WHEN ord % 3 = 0 OR CAST(account_id AS INTEGER) % 4 = 0 THEN 'delete' ELSE 'skip' END AS action FROM {{clips}} JOIN ({GUARD_SQL}) USING (account_id) WHERE ord % 7 <> 0 AND NOT abort""",
+)
+def d10b(spark, sf_dir):
+    accounts, plan, wanted, had = guard_inputs(spark, sf_dir)
+    return reports.guarded(plan, reports.mass_delete_guard(accounts, plan, wanted, had)).select("account_id", "clip_id", "action")
 
 
 _RUNS = "SELECT o_custkey AS a, max(o_orderkey % 101) AS x, count(*) FILTER (WHERE o_orderkey % 23 = 0) AS u, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS f, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS p FROM {orders} GROUP BY o_custkey"

@@ -374,7 +374,3 @@ def failure_class() -> Column:
         .otherwise("failed")
     )
     return F.struct(kind.alias("class"), reason.alias("reason"))
-
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns, F.lit(False))
