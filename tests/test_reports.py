@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from mirrorplan.functions import clips as fn
 from mirrorplan.operators import reports, select
 
+from .measure import shuffled_rows
+
 
 def test_tenths_round_by_exact_value(spark):
     rnd = random.Random(1)
@@ -27,6 +29,19 @@ def test_roots_are_compared_as_folders(spark):
     assert {tuple(r) for r in select.overlapping_roots(df).collect()} == {(0, 1), (0, 3), (0, 4), (1, 3), (1, 4), (3, 4)}
 
 
+def test_pairs_of_roots_are_not_shuffled(spark):
+    rows = [(k, ("/", "/all", "/all/x", "/ALL/x/y", "/b")[min(k % 17, 4)]) for k in range(600)] + [(k, "/all/x") for k in range(0, 600, 50)] + [(1000, None)]
+    parts = lambda r: [p for p in r.lower().split("/") if p]
+    inside = lambda a, b: parts(b)[: len(parts(a))] == parts(a)
+    want = sorted({(min(x, y), max(x, y)) for x, a in rows if a for y, b in rows if b and x != y and inside(a, b)})
+    df = spark.createDataFrame(rows, "account_id bigint, root string")
+    assert sorted(tuple(r) for r in select.overlapping_roots(df, chunk=16).collect()) == want
+    many = spark.range(3000).select("id", F.lit("/all").alias("root")).toDF("account_id", "root")
+    before = shuffled_rows(spark)
+    assert select.overlapping_roots(many).count() == 3000 * 2999 // 2
+    assert shuffled_rows(spark) - before < 50_000
+
+
 def test_conflicts_of_one_shared_folder_are_a_row_each(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("account_id"), F.lit("/all").alias("root")).unionByName(spark.createDataFrame([("x", "/all/x"), ("y", "/other")], "account_id string, root string"))
     got = {r["account_id"]: r for r in select.root_conflicts(df).collect()}
