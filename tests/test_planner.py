@@ -9,6 +9,8 @@ import pytest
 import __spark_entry__ as entry
 from mirrorplan.plans import reconcile as r
 
+from .measure import moved_bytes
+
 DESIRED = "account_id string, clip_id string, ord int, path string, format string, meta_hash string, art_hash string, embedded_lyrics_hash string, embedded_timed_lyrics_hash string, lyrics_reencode_safe boolean, modes array<string>, trashed boolean, private boolean, stems_authoritative boolean"
 SLOTS = "account_id string, clip_id string, ord int, kind string, key string, path string, source_url string, hash string, content string, stem_id string, format string"
 MANIFEST = "account_id string, clip_id string, path string, format string, meta_hash string, art_source_hash string, art_content_hash string, embedded_lyrics_hash string, embedded_timed_lyrics_hash string, size bigint, preserve boolean"
@@ -194,3 +196,27 @@ def test_keys_are_made_once_and_steps_are_dropped(spark, monkeypatch):
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 25 and all(x.total > 0 for x in rows)
+
+
+def test_paths_met_by_one_clip_alone_skip_the_two_steps(spark):
+    rnd = random.Random(7)
+    for _ in range(3):
+        clips = [f"c{k}" for k in range(40)]
+        path = lambda: rnd.choice(["", "P/\u00e9", "P/E\u0301", *(f"d/{k}" for k in range(60))])
+        recorded = [("a", c, path()) for c in clips for _ in range(2)]
+        rows = []
+        for n, c in enumerate(clips * 2):
+            action = rnd.choice(["download", "rename", "delete", "skip", "write_artifact", "retag", "move_stem", "delete_artifact"])
+            row = dict.fromkeys(r.PLAN) | {"account_id": "a", "section": 0, "clip_id": c, "step": n, "slot_kind": "", "slot_key": "", "action": action}
+            rows.append(tuple((row | {"path": None if action == "skip" else path(), "from_path": path() if action in ("rename", "move_stem") else None})[k] for k in r.PLAN))
+        made = spark.createDataFrame(rows, ", ".join(f"{k} {'int' if k in ('section', 'step') else 'string'}" for k in r.PLAN))
+        held = spark.createDataFrame(recorded, "account_id string, clip_id string, path string")
+        want = r.suppress_path_aliasing(r.suppress_target_clobber(made, held, held))
+        got = r.suppressed(r.keyed(made), r.with_pathkey(held).select("account_id", "clip_id", "pathkey"))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_roll_forward_moves_few_bytes(spark):
+    before = moved_bytes(spark)
+    n = entry.queries()["h14_roll_forward"](spark, "/root/testdata/sf0.01").count()
+    assert n and moved_bytes(spark) - before < 60_000_000  # 15000 clips
