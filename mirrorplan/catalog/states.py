@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources import state
 from ..streaming import feeds
-from ..tables import shared_dir
+from ..tables import shared_dir, written
 from .lineage import ALL_SQL, ROOTS_SQL, f04
 from .payloads import PAGES_SQL, feed_pages
 from .roles import role, with_roles
@@ -112,7 +112,7 @@ def s02(spark, sf_dir):
 )
 def s01b(spark, sf_dir):
     """Each account's pages land in three batches, later ones first; in the second the pages still missing come damaged."""
-    pages, at, n = feed_pages(spark, sf_dir), folder(spark), F.col("page") % 3
+    pages, at, n = written(feed_pages(spark, sf_dir), "pages"), folder(spark), F.col("page") % 3
     damaged = pages.where(n == 0).withColumn("payload", F.left("payload", (F.length("payload") - 1)))
     for batch, rows in enumerate((pages.where(n == 2), pages.where(n == 1).unionByName(damaged), pages.where(n == 0))):
         source = landed(spark, rows, f"{at}/landing", batch)
