@@ -11,7 +11,7 @@ from ..streaming import feeds
 from ..tables import shared_dir, written
 from .lineage import ALL_SQL, ROOTS_SQL, f04
 from .payloads import PAGES_SQL, feed_pages
-from .roles import role, with_roles
+from .roles import clips_once, role, with_roles
 
 QUERIES, ORACLES = {}, {}
 
@@ -140,7 +140,7 @@ _FOLDED = f"""SELECT account_id, clip_id, CASE WHEN status = 'resolved' OR orpha
 @query("s03_stream_lineage", _FOLDED)
 def s03(spark, sf_dir):
     """Three batches: every clip, every fifth one made an orphan, the truth about those again."""
-    rows, at = role(spark, sf_dir, "clips"), folder(spark)
+    rows, at = clips_once(spark, sf_dir, "account_id", "clip_id", "ord", "title", "edited_clip_id")["clips"], folder(spark)
     some = rows.where("ord % 5 = 2")
     for batch, pages in enumerate((_clip_pages(rows, F.col("edited_clip_id"), 0), _clip_pages(some, F.lit(""), 1), _clip_pages(some, F.col("edited_clip_id"), 2))):
         source = landed(spark, pages, f"{at}/landing", batch)

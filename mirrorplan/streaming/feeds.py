@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.clips import POINTING
 from ..operators import lineage
 from ..sources import state
 from ..sources.ingest import clip_columns, decode_feed_pages, feed_completeness, items
@@ -20,6 +21,8 @@ NODES = "account_id string, clip_id string, title string, created_at string, cli
 EDGES = "account_id string, child_id string, parent_id string, edge_type string, role string, ordinal int, source_field string, status string, first_seen_at string, last_seen_at string"
 TREE = "account_id string, clip_id string, parent_id string, root_id string, status string"
 ROOTS = "account_id string, clip_id string, root_id string, status string, computed_at string"
+#: The columns of a clip that fold_batch() reads.
+FOLDED = ("account_id", "clip_id", "landed_at", "title", "created_at", "is_trashed", "handle", "clip_roots", "clip_attribution_type", *POINTING)
 LAPSING = "account_id string, clip_id string"
 LINEAGE = {"nodes": NODES, "edges": EDGES, "tree": TREE, "roots": ROOTS}
 
@@ -121,7 +124,7 @@ def fold_batch(batch: DataFrame, path: str, number: int) -> state.Version:
     if base.note.get("batch", -1) >= number:
         return base
     now, key = f"batch-{number}", ["account_id", "clip_id"]
-    latest = batch.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in key]), "landed_at").alias("r")).select(*key, "r.*")
+    latest = batch.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batch.columns if c in FOLDED and c not in key]), "landed_at").alias("r")).select(*key, "r.*")
     latest = written(latest, "batch")
     lapsing = state.table(spark, path, base, "lapsing", LAPSING)
     buckets = state.buckets_of(latest.select("account_id").union(lapsing.select("account_id")))
@@ -155,6 +158,7 @@ def stream_lineage(clips: DataFrame, path: str, checkpoint: str) -> StreamingQue
     def fold(batch: DataFrame, number: int) -> None:
         fold_batch(batch, path, number)
 
+    clips = clips.select(*(c for c in clips.columns if c in FOLDED))  # a batch is made with all the columns of its stream, read or not
     return clips.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

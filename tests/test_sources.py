@@ -214,3 +214,13 @@ def test_walks_in_any_order(spark, tmp_path):
         assert {(r.account_id, r.walk): tuple(r)[2:] for r in feeds.read_ledger(spark, path)["walks"].collect()} == want[number], number
     rejects = feeds.read_ledger(spark, path)["rejects"]
     assert sorted((r.account_id, r.page, r.reason) for r in rejects.collect()) == [("1", 1, "no object"), ("1", 1, "not JSON"), ("3", 0, "not JSON"), ("4", 0, "not JSON")]
+
+
+def test_batches_of_lineage_carry_only_what_is_folded(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    page = {"account_id": "a", "page": 0, "landed_at": "2024-01-01T00:00:00Z", "payload": json.dumps({"clips": [{"id": "x"}]})}
+    (tmp_path / "in" / "one.json").write_text(json.dumps(page))
+    seen = []
+    monkeypatch.setattr(feeds, "fold_batch", lambda batch, path, number: seen.append(batch.columns))
+    feeds.stream_lineage(feeds.stream_feed(spark, str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert seen and "lyrics" not in seen[0] and set(seen[0]) == set(feeds.FOLDED)
