@@ -220,3 +220,39 @@ def test_a_roll_forward_moves_few_bytes(spark):
     before = moved_bytes(spark)
     n = entry.queries()["h14_roll_forward"](spark, "/root/testdata/sf0.01").count()
     assert n and moved_bytes(spark) - before < 60_000_000  # 15000 clips
+
+
+def test_slots_meet_like_in_joins(spark):
+    """Rows that are there twice, keys that are null and accounts that are unknown, as a full outer join and a join to the clips have them."""
+    rnd = random.Random(11)
+    some = lambda n, *more: [(rnd.choice(["a", "b", None]), rnd.choice(["c1", "c2", "c3"]), *(f() for f in more)) for _ in range(n)]
+    kind, key, ord_, text = (lambda: rnd.choice(["cover_jpg", "stem", None])), (lambda: rnd.choice(["", "s", None])), (lambda: rnd.choice([1, 1, 2])), (lambda: rnd.choice(["P/x.mp3", "q/É.mp3", "", None]))
+    w = spark.createDataFrame([(*x, None, None) for x in some(200, ord_, kind, key, text, text, text)], "account_id string, clip_id string, ord int, kind string, key string, path string, source_url string, hash string, content string, format string")
+    s = spark.createDataFrame(some(200, kind, key, text, text, text), M_SLOTS)
+    # one ord to a clip, though its row may be there twice
+    c = [(a, c, n, can, True, False, "P/x.mp3", "p/x.mp3", "mp3", False, False, True) for a, c, n in (("a", "c1", 1), ("a", "c2", 2), ("b", "c3", 1), (None, "c1", 1)) for can in rnd.choice([(True,), (True, False), (True, True)])]
+    c = spark.createDataFrame(c, "account_id string, clip_id string, d_ord int, can_delete boolean, m boolean, m_preserve boolean, d_path string, d_pathkey string, d_format string, d_trashed boolean, protected_now boolean, d_stems_authoritative boolean")
+    keys = ["account_id", "clip_id", "kind", "key"]
+    current = w.join(c.selectExpr("account_id", "clip_id", "d_ord as ord"), ["account_id", "clip_id", "ord"], "left_semi").drop("ord")
+    pairs = current.selectExpr(*keys, "path as w_path", "true as w").join(s.selectExpr(*keys, "path as s_path", "true as s"), keys, "full_outer").join(c.selectExpr("account_id", "clip_id", "can_delete"), ["account_id", "clip_id"])
+    want = sorted(map(repr, pairs.select(*keys, "w", "w_path", "s", "s_path", "can_delete").collect()))
+    got = r.clip_slots(w, s, c).selectExpr(*keys, "if(w is null, null, true) as w", "w.path as w_path", "if(s is null, null, true) as s", "s.path as s_path", "c.may as can_delete")
+    assert sorted(map(repr, got.collect())) == want and len(want) > 60
+
+
+def test_files_listed_twice(spark):
+    files = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("a", "y"), ("b", "z")], "account_id string, path string")
+    assert [tuple(x) for x in r.repeated_files(files).collect()] == [("a", "x")] * 2
+    assert r.repeated_files(files.where("account_id = 'b'")).collect() == []
+
+
+def test_slots_move_few_rows(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on large tables
+    try:
+        before = moved_bytes(spark)
+        n = entry.queries()["h08_h09_plan_slots_and_stems"](spark, "/root/testdata/sf0.01").count()
+        moved = moved_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert n and moved < 16_000_000, moved  # 15000 clips
