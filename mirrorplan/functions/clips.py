@@ -216,8 +216,10 @@ def epoch_days(x: str | Column) -> Column:
 
 
 def rfc3339(unix_seconds: str | Column) -> Column:
-    """UTC stamp; the session's time zone has to be UTC."""
-    return F.date_format(F.timestamp_seconds(c(unix_seconds)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC stamp; the session's time zone has to be UTC. Years have four digits from 0 to 9999; others stand as they are, without a plus."""
+    at = F.timestamp_seconds(c(unix_seconds))
+    year = F.year(at).cast("string")
+    return F.concat(F.when(F.year(at).between(0, 9999), F.lpad(year, 4, "0")).otherwise(year), F.date_format(at, "-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def single_line(x: str | Column) -> Column:

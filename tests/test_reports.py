@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from mirrorplan.functions import clips as fn
@@ -17,6 +18,14 @@ def test_tenths_round_by_exact_value(spark):
     assert [r["t"] for r in odd] == ["NaN", "inf", "-inf", None]
 
 
+def test_stamps_of_far_years(spark):
+    """Years before 0 and after 9999 as DuckDB writes them; keys of 9,000,000 orders reach the year 26610."""
+    seconds = [0, 86399, 253402300799, 253402300800, 9_000_000 * 86399, 54_000_000 * 86399, -1, -62135596800, -62135596801, -62167219200, -62167219201, -100000000000, -50000000000]
+    want = duckdb.connect().execute("SELECT s, strftime(make_timestamp(s * 1000000), '%Y-%m-%dT%H:%M:%SZ') FROM (SELECT unnest(?) AS s)", [seconds]).fetchall()
+    got = spark.createDataFrame([(x,) for x in seconds], "s bigint").select("s", fn.rfc3339("s").alias("stamp")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_roots_are_compared_as_folders(spark):
     nests = [("/m/Music", "/m/music/x"), ("/m/a/../music/y", "/m/music"), ("./music", "music"), ("music//", "music/./b"), ("/\u00e9toile", "/e\u0301toile"), ("/", "/a"), ("/../a", "/a"), (".", "a/b"), ("", "/x"), ("../a", "../A/b"), ("a/..", "b"), ("../..", "../../c")]
     apart = [("/music", "/musicfoo"), ("/Music", "/Videos"), ("../a", "a"), ("/a", "a"), ("a/../../b", "b")]
