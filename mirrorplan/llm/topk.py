@@ -161,7 +161,8 @@ def _meet(queries: DataFrame, n_q: int, blocks: DataFrame, n_c: int, k: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["query_id", "vec_id", "score"])
 
     q = _blocks(queries, "q", n_q).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_c - 1).cast("bigint"))))
-    return q.join(blocks, "c").select("q_rows", "c_rows").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    # Spark sizes q as if it were not exploded, and would broadcast as many copies of the queries as there are blocks
+    return q.join(blocks.hint("merge"), "c").select("q_rows", "c_rows").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
 
 def search(embeddings: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5) -> DataFrame:

@@ -59,3 +59,13 @@ def test_threshold_prunes_and_keeps_what_counts():
             assert (score == exact[rows, cols]).all() and len(rows) == mask.sum()
         rows, cols, score = topk.heads(q.astype(kind), c.astype(kind), np.zeros(exact.shape, bool))
         assert (score == exact[rows, cols]).all() and len(rows) == 40 * topk.HEADS
+
+
+def test_copies_of_queries_are_not_broadcast(spark):
+    """Queries are few, their copies are not: a row for each block of candidates, which Spark does not see."""
+    rows = [(k, [float(k % 7), float(k % 5)]) for k in range(400)]
+    vectors = topk.quantise(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
+    found = topk._meet(vectors.where("vec_id % 50 = 0"), 1, topk._blocks(vectors, "c", 16), 16, 5)
+    assert found.count() > 0
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
