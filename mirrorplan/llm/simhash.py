@@ -106,7 +106,8 @@ def _meets(fps: DataFrame) -> DataFrame:
         F.expr("at * 2 + side").alias("anchor"), "a"
     )
     leads = _homes(fps).groupBy("anchor").agg(F.min("b").alias("b"), F.count("*").alias("n"))
-    return visits.join(leads, "anchor").where("a <> b or n > 1").select("anchor", "a", "b")
+    # Spark sizes visits as if they were not exploded, and would broadcast 32 rows of each fingerprint
+    return visits.join(leads.hint("merge"), "anchor").where("a <> b or n > 1").select("anchor", "a", "b")
 
 
 def _stars(meets: DataFrame, max_distance: int) -> DataFrame:
@@ -190,7 +191,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     of = lambda fp, key: leads.withColumnsRenamed({"fp": fp, "lead": key})
     meets = _meets(leads.select("fp"))
     apart = _stars(meets, MAX_DISTANCE).withColumnsRenamed({"a": "f", "b": "g"}).join(of("f", "a"), "f").join(of("g", "b"), "g")
-    comps = _jaccard.components(_jaccard.links_of(nodes, alike.union(apart.select("a", "b")), ties, docs))
+    links = _jaccard.links_of(nodes, alike.union(apart.select("a", "b")), ties, docs)
+    comps = _jaccard.components(links)
+    discard(links)
     of_key = _jaccard.with_component(nodes.select("key", "node"), comps)
     least = of_key.groupBy("component").agg(F.min("node").alias("component_id"))
     return ids.join(of_key.join(least, "component").select("key", "component_id"), "key").select("doc_id", "component_id")

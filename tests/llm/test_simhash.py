@@ -120,3 +120,11 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 50)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}, 200: 200, 201: 200}
+
+
+def test_visits_are_not_broadcast(spark):
+    """32 visits of each fingerprint, which Spark sizes as if there were one."""
+    meets = simhash._meets(spark.range(300).selectExpr("xxhash64(id) as fp").union(spark.range(300).selectExpr("xxhash64(id) ^ 5 as fp")))
+    assert meets.where("bit_count(a ^ b) <= 3").count() >= 300
+    meets.collect()
+    assert "Broadcast" not in meets._jdf.queryExecution().executedPlan().toString()
