@@ -42,12 +42,19 @@ def _key(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64))[0])
 
 
-def _parity(tokens: np.ndarray) -> np.ndarray:
-    size = 64 * _WORDS
+def _parity(tokens: np.ndarray, words: int = _WORDS) -> np.ndarray:
+    """Which of 64 * words places an odd number of tokens falls on. A longer map folds into one of half its length by xor."""
+    size = 64 * words
     odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _long_parity(tokens: np.ndarray) -> np.ndarray:
+    """A parity map of one to two places a token, for sets that crowd the _WORDS words of the others; none for the rest."""
+    words = 1 << len(tokens).bit_length() >> 6
+    return _parity(tokens, words) if words > _WORDS else np.zeros(0, np.int64)
+
+
 def fingerprint(tokens: np.ndarray) -> int:
     """SimHash of the set: a bit is 1 if it is set in over half the tokens."""
     counts = np.zeros(64, np.int64)
@@ -75,13 +82,13 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, key, fp, n, parity words p0.., prefix), one row per row."""
+    """(doc_id, text) -> (doc_id, key, fp, n, parity words p0.., prefix, long parity map), one row per row."""
     common, counts = _common(docs)
     names = [f"p{k}" for k in range(_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fps, sizes, bits, firsts = [], [], [], [], []
+            keys, fps, sizes, bits, firsts, maps = [], [], [], [], [], []
             for s in _texts(batch):
                 n, rank = len(s), np.zeros(len(s), np.int64)
                 if len(common):
@@ -91,18 +98,20 @@ def marks(docs: DataFrame) -> DataFrame:
                 fps.append(fingerprint(s))
                 sizes.append(n)
                 bits.append(_parity(s))
+                maps.append(_long_parity(s))
                 firsts.append(s[np.argsort(rank, kind="stable")[: n + (-n * NUM) // DEN + 1 if n else 0]].view(np.int64))
             table = np.array(bits, np.int64).reshape(-1, _WORDS)
             columns = [column(batch, "doc_id"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps)), pa.array(sizes, pa.int32())]
             columns += [pa.array(np.ascontiguousarray(table[:, k])) for k in range(_WORDS)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "n", *names, "prefix"])
+            columns += [pa.array(x, pa.list_(pa.int64())) for x in (firsts, maps)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "n", *names, "prefix", "map"])
 
-    return docs.mapInArrow(run, f"doc_id bigint, key bigint, fp bigint, n int, {', '.join(f'{p} bigint' for p in names)}, prefix array<bigint>")
+    return docs.mapInArrow(run, f"doc_id bigint, key bigint, fp bigint, n int, {', '.join(f'{p} bigint' for p in names)}, prefix array<bigint>, map array<bigint>")
 
 
 def nodes_of(found: DataFrame) -> DataFrame:
-    """The distinct sets of marks(): key, the smallest doc_id (node), fp, n, the parity words and the prefix."""
-    same = ["fp", "n", *[f"p{k}" for k in range(_WORDS)], "prefix"]
+    """The distinct sets of marks(): key, the smallest doc_id (node), fp, n, the parity words, the prefix and the map."""
+    same = ["fp", "n", *[f"p{k}" for k in range(_WORDS)], "prefix", "map"]
     return found.groupBy("key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in same])
 
 
@@ -130,11 +139,31 @@ def _bounds(a: str, b: str) -> str:
     )
 
 
+def may_reach(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys, a < b, that meet the bounds, once each; long sets by their maps too.
+
+    Whole sets are sent for each pair that is left, so most of the others have to go here: long sets crowd the short words,
+    and the pairs of unlike long texts grow with the square of the texts.
+    """
+    small = nodes.select("key", "n", *[f"p{k}" for k in range(_WORDS)])
+    x, y = small.alias("x"), small.alias("y")
+    pairs = pairs.join(x, F.col("x.key") == F.col("a")).join(y, F.col("y.key") == F.col("b")).where(_bounds("x", "y"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both")).distinct()
+    pairs = materialise(pairs, "close")
+    maps = nodes.where("size(map) > 0").select("key", "map")
+    rows = pairs.join(maps.withColumnsRenamed({"key": "a", "map": "s"}), "a", "left").join(maps.withColumnsRenamed({"key": "b", "map": "t"}), "b", "left")
+    # sizes within the bounds differ by less than 2, so one fold is enough
+    fold = "if(size({s}) > size({t}), zip_with(slice({s}, 1, size({t})), slice({s}, size({t}) + 1, size({t})), (p, q) -> p ^ q), {s})"
+    s, t = fold.replace("{s}", "s").replace("{t}", "t"), fold.replace("{s}", "t").replace("{t}", "s")
+    apart = f"aggregate(zip_with({s}, {t}, (p, q) -> bit_count(p ^ q)), 0, (u, v) -> u + v)"
+    found = materialise(rows.where(f"s is null or t is null or {NUM + DEN} * ({apart}) <= {DEN - NUM} * both").select("a", "b"), "pairs")
+    discard(pairs)
+    return found
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose sets reach the similarity, counted token by token."""
-    x, y = nodes.alias("x"), nodes.alias("y")
-    pairs = pairs.join(x, F.col("x.key") == F.col("a")).join(y, F.col("y.key") == F.col("b")).where(_bounds("x", "y"))
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = may_reach(pairs, nodes)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     ids = ends.join(nodes, "key").select(F.col("node").alias("doc_id"), F.col("key").alias("want"))
     texts = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -151,7 +180,10 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) keys -> (node, component), written."""
-    return materialise(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    out = materialise(found, "components")
+    discard(found)
+    return out
 
 
 def with_component(rows: DataFrame, comps: DataFrame, key: str = "key", name: str = "component") -> DataFrame:
@@ -172,20 +204,20 @@ def links_of(nodes: DataFrame, near: DataFrame, ties: DataFrame, docs: DataFrame
     near: pairs that may have it, ties: pairs that belong together whatever their sets.
     """
     firsts = nodes.select("key", F.posexplode("prefix").alias("at", "token"))
-    nodes = nodes.drop("prefix")
     groups = firsts.groupBy("token").agg(F.count("*").alias("size"), F.min("key").alias("lead")).where("size > 1")
-    live = materialise(firsts.join(groups, "token"), "shared")
+    groups = materialise(groups, "groups")  # its shuffle goes before the next begins
+    live = materialise(firsts.join(groups.hint("merge"), "token"), "shared")  # firsts are more than Spark takes them for: a row for each token
+    discard(groups)
 
     # first what is near, and every member of a group with the group's leader
     stars = live.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).union(near).distinct()
     stars = materialise(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "stars")
-    links = materialise(ties.union(verified(stars, docs, nodes)), "links")
-    comps = components(links)
+    links, comps = _linked(ties, stars, docs, nodes)
 
     # then every pair of a group that is in two components
     rows = with_component(live.select("token", "key", "at", "size"), comps)
     mixed = rows.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("token")
-    rows = rows.join(mixed, "token").join(nodes.drop("node", "fp"), "key")
+    rows = rows.join(mixed, "token").join(nodes.drop("node", "fp", "prefix", "map"), "key")
     blocks = f"cast(ceil(size / {_BLOCK}) as int)"
     x = rows.withColumn("block", F.explode(F.expr(f"sequence(0, {blocks} - 1)"))).alias("x")
     y = rows.withColumn("block", F.expr(f"cast(pmod(xxhash64(key), {blocks}) as int)")).alias("y")
@@ -201,7 +233,18 @@ def links_of(nodes: DataFrame, near: DataFrame, ties: DataFrame, docs: DataFrame
     last = pairs.agg(F.max("batch")).first()[0]
     for k in range(0 if last is None else last + 1):  # nearest first, eight times as many in each batch
         todo = _apart(pairs.where(f"batch = {k}").select("a", "b"), comps)
-        links = materialise(links.union(verified(todo, docs, nodes)), "links")
-        comps = components(links)
+        before = links, comps
+        links, comps = _linked(links, todo, docs, nodes)
+        for done in before:
+            discard(done)
     discard(pairs)
+    discard(comps)
     return links
+
+
+def _linked(links: DataFrame, pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links and those of the pairs that are verified, and the components of all of them."""
+    found = verified(pairs, docs, nodes)
+    links = materialise(links.union(found), "links")
+    discard(found)
+    return links, components(links)

@@ -1,10 +1,13 @@
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from mirrorplan.llm import _jaccard, simhash
+from mirrorplan.llm._state import discard, materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -76,3 +79,33 @@ def test_edges_of_input(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(tuple(r) for r in simhash.near_copies(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (4, 1), (5, 5)]
     assert sorted(r.doc_id or 0 for r in simhash.keep_similar(df).collect()) == [0, 1, 5]
+
+
+def test_unlike_long_texts_are_parted_by_their_maps(spark):
+    """Half of a long text in common meets the bounds of the short words; only pairs near the similarity are left to be counted."""
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    texts = [words(0, 3000), words(1000, 4000), words(300, 3300), words(5000, 6100), words(5090, 6100), words(4500, 5900), words(8000, 8400), words(8020, 8400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    nodes = _jaccard.nodes_of(_jaccard.marks(docs)).cache()
+    ids = {r["key"]: r["node"] for r in nodes.collect()}
+    pairs = nodes.alias("x").crossJoin(nodes.alias("y")).where("x.key < y.key").selectExpr("x.key as a", "y.key as b")
+    short = pairs.join(nodes.alias("x"), F.col("x.key") == F.col("a")).join(nodes.alias("y"), F.col("y.key") == F.col("b")).where(_jaccard._bounds("x", "y"))
+    named = lambda df: {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in df.collect()}
+    close = {(0, 2), (3, 4), (6, 7)}  # 1100 and 1010 words have maps of 2048 and 1024 places
+    assert (0, 1) in named(short) and named(_jaccard.may_reach(pairs, nodes)) == close == named(_jaccard.verified(pairs, docs, nodes))
+    nodes.unpersist()
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """What is written between steps is all that is left of them."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum("/shuffle_" in str(manager.getAllFiles().apply(k)) for k in range(manager.getAllFiles().size()))
+    before = shuffles()
+    made = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):  # files go a little later
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and made.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    discard(made)
