@@ -7,6 +7,7 @@ import unicodedata
 import pytest
 
 import __spark_entry__ as entry
+from mirrorplan import catalog, tables
 from mirrorplan.plans import reconcile as r
 
 from .measure import moved_bytes
@@ -193,6 +194,26 @@ def test_keys_are_made_once_and_steps_are_dropped(spark, monkeypatch):
     assert r.reconcile(*empty, accounts, st).collect() == []
 
 
+def test_slots_in_passes_are_the_same_plan(spark, monkeypatch):
+    d, ds, m, ms, inv, accounts, st = frames(spark, world(9, 30))
+    rows = lambda df: sorted(map(str, df.select(*r.PLAN).collect()))
+    want = rows(r.reconcile(d, ds, m, ms, inv, accounts, st))
+    made, left = r.written, []
+    monkeypatch.setattr(r, "written", lambda df, name: left.append(name) or made(df, name))
+    monkeypatch.setattr(r, "CLIPS_AT_ONCE", 8)
+    got = r.reconcile(d, ds, m, ms, inv, accounts, st)
+    assert rows(got) == want and left.count("plan") > 2
+
+
+def test_an_ordered_plan_drops_its_rows(spark):
+    """Of the plan's own tables only the numbered ranges are left."""
+    root = tables.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    ordered = catalog.plan.whole_plan(spark, "/root/testdata/sf0.001")
+    assert sorted(x.split("-")[0] for x in set(os.listdir(root)) - before) == ["clips", "ranges"]
+    assert ordered.count() == ordered.select("account_id", "seq").distinct().count() > 0
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 25 and all(x.total > 0 for x in rows)
