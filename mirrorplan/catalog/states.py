@@ -78,10 +78,10 @@ def a18(spark, sf_dir):
 
 
 def landed(spark, pages, at: str | None = None, later: int = 0) -> str:
-    """A folder of page files, each line a page of an account; `later` hours after the first."""
+    """A folder of gzipped page files, each line a page of an account; `later` hours after the first. Pages say the same names over and over."""
     at = at or f"{folder(spark)}/landing"
     stamp = F.timestamp_seconds(F.col("page") * 60 + 1_700_000_000 + 3600 * later)
-    pages.select("account_id", "page", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("landed_at"), "payload").write.mode("append").json(at)
+    pages.select("account_id", "page", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("landed_at"), "payload").write.mode("append").option("compression", "gzip").json(at)
     return at
 
 

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from mirrorplan.catalog import states
 from mirrorplan.operators.reports import orphan_files
 from mirrorplan.sources import files, ingest, state
 from mirrorplan.streaming import feeds
@@ -32,6 +33,15 @@ def test_clip_shapes(spark):
     assert got["d"].image_url == "https://new/x" and got["d"].audio_url.endswith("/d.mp3") and got["d"].batch_index == 3
 
 
+def test_landed_pages_take_little_disk(spark, tmp_path):
+    pages = states.feed_pages(spark, "/root/testdata/sf0.001")
+    at = states.landed(spark, pages, str(tmp_path / "landing"))
+    landed = spark.read.schema("account_id string, page int, payload string").json(at)
+    want = sorted(map(tuple, pages.selectExpr("cast(account_id as string)", "cast(page as int)", "payload").collect()))
+    assert sorted(map(tuple, landed.collect())) == want
+    assert 4 * sum(f.stat().st_size for f in (tmp_path / "landing").iterdir()) < sum(len(p or "") for _, _, p in want)
+
+
 def test_stems_and_lyrics(spark):
     page = {"pages": 2, "stems": [{"id": "s1", "title": "Song (Vocals)", "audio_url": "u1"}, {"id": "s2", "title": "x", "audio_url": "u1"}, {"id": "", "audio_url": "u3"}]}
     rows = raw(spark, page, [{"id": "s4", "title": "Song (a (b)", "audio_url": "u4"}]).selectExpr("account_id", "'c' as clip_id", "page", "payload")
